@@ -16,6 +16,7 @@ import base64
 import hashlib
 import heapq
 import re
+import struct
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -24,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A piece of up to this many bytes is merged directly, without halving.
-LEAF_BYTES = 24
-#: Entries that a worker keeps of encoded units and of compared token pairs; it starts afresh when full.
+LEAF_BYTES = 8
+#: Entries of each generation of a worker's caches of encoded units and of compared token pairs.
 CACHE_ENTRIES = 300_000
 #: Ids that one leaf of the decoding tree covers.
 DECODE_LEAF = 4096
@@ -42,15 +43,35 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+class Recent:
+    """A bounded cache of two generations: what was used since the last change of generation stays."""
+
+    def __init__(self, entries: int):
+        self.entries, self.young, self.old = entries, {}, {}
+
+    def get(self, key):
+        if (value := self.young.get(key)) is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.entries:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class TreeBpe:
     """Encoder and decoder of one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
+        #: The length of the longest token that begins with two given bytes.
+        self.longest: dict[bytes, int] = {}
+        for t in ranks:
+            self.longest[t[:2]] = max(len(t), self.longest.get(t[:2], 0))
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.units: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.units, self.pairs, self.small, self.shorter = Recent(CACHE_ENTRIES), Recent(CACHE_ENTRIES), Recent(CACHE_ENTRIES), {}
 
     # -- one piece ---------------------------------------------------------------------------------------
 
@@ -81,11 +102,54 @@ class TreeBpe:
 
     def stable(self, left: int, right: int) -> bool:
         """Whether the two tokens are the encoding of their own bytes, so that no merge crosses between them."""
-        key = (left, right)
+        key = left << 32 | right
         if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) >= CACHE_ENTRIES:
-                self.pairs.clear()
-            known = self.pairs[key] = self.direct(self.token[left] + self.token[right]) == [left, right]
+            known = self.direct(self.token[left] + self.token[right]) == [left, right]
+            self.pairs.put(key, known)
+        return known
+
+    def _longest(self, piece: bytes, at: int) -> int:
+        for end in range(min(len(piece), at + self.longest.get(piece[at : at + 2], 1)), at, -1):
+            if (rank := self.ranks.get(piece[at:end])) is not None:
+                return rank
+        raise ValueError("a byte has no token")
+
+    def _next_shorter(self, token: int) -> int:
+        """The longest token that is a proper prefix of the token, or -1."""
+        if (known := self.shorter.get(token)) is None:
+            whole = self.token[token]
+            known = self.shorter[token] = next((self.ranks[whole[:n]] for n in range(len(whole) - 1, 0, -1) if whole[:n] in self.ranks), -1)
+        return known
+
+    def leaf(self, piece: bytes) -> list[int]:
+        """A short piece: from the left the longest tokens whose neighbours are stable, going back where none is."""
+        out, at, dead, n = [], 0, set(), len(piece)
+        token = self._longest(piece, 0) if n else -1
+        while at < n or token >= 0:
+            while token >= 0:
+                end = at + len(self.token[token])
+                if end not in dead and (not out or self.stable(out[-1], token)):
+                    break
+                token = self._next_shorter(token)
+            if token >= 0:
+                out.append(token)
+                at = end
+                if at == n:
+                    return out
+                token = self._longest(piece, at)
+            else:
+                dead.add(at)
+                token = out.pop()
+                at -= len(self.token[token])
+        return out
+
+    def short(self, piece: bytes) -> list[int]:
+        """``leaf``, remembered: halves and windows of different pieces are often the same few bytes."""
+        if len(piece) > 2 * LEAF_BYTES:
+            return self.leaf(piece)
+        if (known := self.small.get(piece)) is None:
+            known = self.leaf(piece)
+            self.small.put(piece, known)
         return known
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -97,7 +161,7 @@ class TreeBpe:
             return left + right
         step_a = step_b = 1
         while True:
-            window = self.direct(self.decode(left[a:] + right[:b]))
+            window = self.short(b"".join(map(self.token.__getitem__, left[a:] + right[:b])))
             left_holds = a == 0 or self.stable(left[a - 1], window[0])
             right_holds = b == len(right) or self.stable(window[-1], right[b])
             if left_holds and right_holds:
@@ -111,19 +175,18 @@ class TreeBpe:
         if (rank := self.ranks.get(piece)) is not None:
             return [rank]
         if len(piece) <= LEAF_BYTES:
-            return self.direct(piece)
+            return self.short(piece)
         half = len(piece) // 2
         return self.join(self.encode_piece(piece[:half]), self.encode_piece(piece[half:]))
 
     # -- texts -------------------------------------------------------------------------------------------
 
     def _unit(self, unit: str) -> bytes:
-        ids = [i for piece in self.pieces(unit) for i in self.encode_piece(piece.encode())]
-        packed = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(self.units) >= CACHE_ENTRIES:
-            self.units.clear()
-        if len(unit) <= 64:
-            self.units[unit] = packed
+        if (packed := self.units.get(unit)) is None:
+            ids = [i for piece in self.pieces(unit) for i in self.encode_piece(piece.encode())]
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+            if len(unit) <= 64:
+                self.units.put(unit, packed)
         return packed
 
     def encode(self, text: str | None) -> bytes:
@@ -131,7 +194,7 @@ class TreeBpe:
         if not text:
             return b""
         units = self.pieces(text) if _ODD_SPACE(text) else _UNITS(text)
-        known = self.units.get
+        known = self.units.young.get
         return b"".join([known(u) or self._unit(u) for u in units])
 
     def decode(self, ids: list[int]) -> bytes:
@@ -175,7 +238,7 @@ def _mapper(path: str, pattern: str, make: Callable[[TreeBpe, str | None], tuple
 
 
 def encode_documents(docs: DataFrame, text: str, keep: list[str], path: str, pattern: str) -> DataFrame:
-    """Rows of ``docs``: the columns ``keep``, then ``ids`` array<bigint> of the whole text, then the text.
+    """Rows of ``docs``: the columns ``keep``, then ``ids`` array<bigint> of the whole text, then the text that they decode to.
 
     No shuffle; a row's result depends on its text alone.  Null and empty texts have no ids; repeated rows
     stay; other columns, whatever their names, are not read.
@@ -186,7 +249,8 @@ def encode_documents(docs: DataFrame, text: str, keep: list[str], path: str, pat
     rows = docs.select(*keep, F.col(text).alias("__text"))
 
     def make(bpe: TreeBpe, value: str | None) -> tuple:
-        return (np.frombuffer(bpe.encode(value), "<u4").astype("int64"), value)
+        ids = np.frombuffer(bpe.encode(value), "<u4").astype("int64")
+        return (ids, None if value is None else bpe.decode(ids.tolist()).decode())
 
     fields = pa.schema([("ids", pa.list_(pa.int64())), (text, pa.string())])
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]), "ids array<bigint>", f"`{text}` string"])

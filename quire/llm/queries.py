@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann_forest, bpe_tree, kd_search, line_dedup, mixing, quality, token_counts, warc
+from quire.llm import ann_forest, bpe_tree, jaccard, kd_search, line_dedup, lm, mixing, quality, token_counts, warc
 from quire.llm.shared import table
 
 #: Seed of the mix, its weights in the order of sources, and files of the public tokenizers.
@@ -54,6 +54,14 @@ def op6_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_search.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", every=100, k=10)
 
 
+def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), "doc_id", "text", k=3, num=90, den=100)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source", "text")
 
@@ -63,7 +71,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_hash_prefix_forest, op3_byte_bpe, op4_source_mix, op5_warc, op6_kd_top_k, op9_line_dedup, op10_token_counts)
+    f.__name__: f for f in (op1_quality_classifier, op2_hash_prefix_forest, op3_byte_bpe, op4_source_mix, op5_warc, op6_kd_top_k, op7_maxent_lm, op8_ngram_jaccard, op9_line_dedup, op10_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {

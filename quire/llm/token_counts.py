@@ -23,22 +23,22 @@ from quire.llm.shared import cut
 SHARE = 16_384
 #: Distinct pre-tokens that a task counts before it drops those that are too rare to be named.
 COUNTED = 400_000
-#: Entries of a worker's cache; it starts afresh when full.
-CACHE_ENTRIES = 500_000
+#: Entries of each of the two generations of a worker's cache.
+CACHE_ENTRIES = 400_000
 
 #: Python splits at these, the library's white space does not include them.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
-class Lengths(dict):
-    """Pre-token to length: the broadcast table first, then this cache, then the library."""
+class Lengths:
+    """Pre-token to length: the broadcast table first, then this worker's cache, then the library."""
 
     def __init__(self, path: str, frequent: dict[str, int]):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__(frequent)
-        self.frequent = frequent
+        #: The table and the younger generation of the cache are one dictionary, so that a look-up is one step.
+        self.path, self.frequent, self.young, self.old = path, frequent, dict(frequent), {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -52,17 +52,28 @@ class Lengths(dict):
         """Tokens of each whole text."""
         odd = [any(s in t for s in self.apart) or any(c in t for c in _ODD) for t in texts]
         split = [[] if o else t.split() for t, o in zip(texts, odd)]
-        if misses := list({w for words in split for w in words if w not in self}):
-            if len(self) + len(misses) > CACHE_ENTRIES + len(self.frequent):
-                self.clear()
-                self.update(self.frequent)
-                misses = list({w for words in split for w in words if w not in self})
-            self.update(zip(misses, self.whole(misses)))
+        if len(self.young) > CACHE_ENTRIES + len(self.frequent):
+            self.old, self.young = self.young, dict(self.frequent)
+        young, old = self.young, self.old
+        if misses := {w for words in split for w in words if w not in young}:
+            young.update((w, old[w]) for w in misses if w in old)
+            new = [w for w in misses if w not in old]
+            young.update(zip(new, self.whole(new)))
         whole = iter(self.whole([t for t, o in zip(texts, odd) if o]))
-        get = self.__getitem__
+        get = young.__getitem__
         return [next(whole) if o else sum(map(get, words)) for words, o in zip(split, odd)]
 
 
+_HELD: list[Lengths] = []
+
+
+def worker_lengths(path: str, frequent: dict[str, int]) -> Lengths:
+    """This worker's cache goes on from task to task, as long as the table stays the same."""
+    if not _HELD or _HELD[0].frequent != frequent or _HELD[0].path != path:
+        _HELD[:] = [Lengths(path, frequent)]
+    return _HELD[0]
+
+
 def frequent_pretokens(docs: DataFrame, text: str) -> list[str]:
     """Pre-tokens with at least one SHARE-th of all occurrences, as far as the tasks' summaries name them.
 
@@ -99,7 +110,7 @@ def token_counts(docs: DataFrame, doc_id: str, text: str, path: str, limit: int
     shared = spark.sparkContext.broadcast(dict(zip(words, Lengths(path, {}).whole(words))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = Lengths(path, shared.value)
+        lengths = worker_lengths(path, shared.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
