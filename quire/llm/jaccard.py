@@ -19,15 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import cut
+from quire.llm.shared import cut, discard
 from quire.llm.text_hash import Words, mix, shingles
 
 #: An n-gram in the prefixes of more classes than these is multiplied in blocks; a block has about BLOCK classes.
 RARE, BLOCK = 48, 256
 #: N-grams of CHUNK documents are looked at together for frequent ones: those in one of SHARE documents or more go last.
 CHUNK, SHARE = 2000, 500
-#: A prefix n-gram in more classes than these is put last too and the prefixes are formed anew, up to ROUNDS times.
-MANY, ROUNDS = 4096, 4
+#: Prefix n-grams in more classes than RARE that were not known to be frequent are put last too, and the prefixes formed anew: ROUNDS times in all.
+ROUNDS = 3
 #: Frequent n-grams that are broadcast (16 bytes each); the most frequent stay if there are more, which costs time only.
 KNOWN = 1 << 20
 #: Classes whose sets are fetched by a broadcast of their ids; more are fetched by a shuffle join.
@@ -111,19 +111,26 @@ def _sets(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int, k
 
 def _whole_sets(docs: DataFrame, doc_id: str, text: str, k: int, nodes: DataFrame) -> DataFrame:
     """node, grams: the whole sets of ``nodes`` (node, rep), formed again from the texts of one document each."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text"))
+    few = nodes.count() <= BROADCAST_IDS
+    reps = nodes.select(F.col("rep").alias("__rep")).distinct()
+    rows = rows.join(F.broadcast(reps) if few else reps, F.col("__id").eqNullSafe(F.col("__rep")), "left_semi")
+    wanted = spark.sparkContext.broadcast(np.sort(nodes.select("node").toPandas()["node"].to_numpy(np.int64)) if few else None)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = wanted.value
         for part, texts in _batches(batches):
             made = list(shingles(Words(texts), k))
             with np.errstate(over="ignore"):
-                node = [int(np.sum(mix(g), dtype=np.uint64).view(np.int64)) for g in made]
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([g.view(np.int64) for g in made], pa.list_(pa.int64()))], ["made", "grams"])
+                node = np.array([np.sum(mix(g), dtype=np.uint64) for g in made], dtype=np.uint64).view(np.int64)
+            keep = range(len(made)) if only is None else np.flatnonzero(np.isin(node, only))
+            yield pa.RecordBatch.from_arrays([pa.array(node[list(keep)], pa.int64()), pa.array([made[i].view(np.int64) for i in keep], pa.list_(pa.int64()))], ["made", "grams"])
 
-    ids = nodes.select(F.col("rep").alias("__rep")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    rows = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text")).join(ids, F.col("__id").eqNullSafe(F.col("__rep")), "left_semi")
     sets = rows.select("__text").mapInArrow(run, "made long, grams array<bigint>")
-    return sets.join(nodes.select("node"), F.col("made") == F.col("node")).groupBy("node").agg(F.first("grams").alias("grams"))
+    if not few:
+        sets = sets.join(nodes.select("node"), F.col("made") == F.col("node"), "left_semi")
+    return sets.groupBy(F.col("made").alias("node")).agg(F.first("grams").alias("grams"))
 
 
 def _bound(a: Column, b: Column, num: int, den: int) -> Column:
@@ -171,6 +178,18 @@ def linked_in_block(grams: list[np.ndarray], left: np.ndarray, num: int, den: in
     return forest
 
 
+def _more_known(known: tuple[np.ndarray, np.ndarray], often: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """The known frequent n-grams and those in many prefixes; None if there is no new one, or no room."""
+    new = often.orderBy(F.desc("df"), "gram").limit(KNOWN).toPandas()
+    gram, df = new["gram"].to_numpy(np.int64).view(np.uint64), new["df"].to_numpy(np.int64)
+    fresh = ~np.isin(gram, known[0])
+    if not fresh.any() or len(known[0]) + fresh.sum() > KNOWN:
+        return None
+    gram, df = np.concatenate([known[0], gram[fresh]]), np.concatenate([known[1], df[fresh]])
+    order = np.argsort(gram)
+    return gram[order], df[order]
+
+
 def _blocks(members: DataFrame, keys: list[str], sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) within the groups of ``keys`` of ``members`` (node, left, ...); the groups are bounded by their making."""
 
@@ -245,37 +264,33 @@ def classes(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int)
     known = frequent(docs, text, k)
     for last in range(ROUNDS):
         sets = cut(_sets(docs, doc_id, text, k, num, den, known))
-        nodes = sets.where("n > 0").groupBy("node", "check", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-        nodes = cut(nodes)
-        postings = nodes.select("node", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("gram"))
-        df = postings.groupBy("gram").agg(F.count("*").alias("df"))
-        often = cut(df.where(F.col("df") > RARE))
-        new = [r for r in often.where(F.col("df") > MANY).select("gram", "df").limit(KNOWN).collect()]
-        fresh = {np.int64(r.gram).view(np.uint64): r.df for r in new} if last < ROUNDS - 1 else {}
-        fresh = {g: d for g, d in fresh.items() if not len(known[0]) or known[0][min(np.searchsorted(known[0], g), len(known[0]) - 1)] != g}
-        if not fresh or len(known[0]) + len(fresh) > KNOWN:
+        nodes = cut(sets.where("n > 0").groupBy("node", "check", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")))
+        postings = nodes.select("node", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("gram"))
+        often = cut(postings.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") > RARE))
+        if last == ROUNDS - 1 or (more := _more_known(known, often)) is None:
             break
-        gram = np.concatenate([known[0], np.array(list(fresh), dtype=np.uint64)])
-        order = np.argsort(gram)
-        known = gram[order], np.concatenate([known[1], np.array(list(fresh.values()), dtype=np.int64)])[order]
-    rare = postings.join(F.broadcast(often.select("gram")), "gram", "left_anti")
-    held = rare.groupBy("gram").agg(F.collect_list(F.struct("node", "n", "p")).alias("m")).where(F.size("m") > 1)
-    x = held.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y"))
-    x = x.where(_near_sizes(F.col("x.n"), F.col("y.n"), num, den))
-    x = x.select(F.when(F.col("x.node") < F.col("y.node"), F.struct("x", "y")).otherwise(F.struct(F.col("y").alias("x"), F.col("x").alias("y"))).alias("e")).select("e.x", "e.y")
+        known = more
+        discard(sets)
+        discard(nodes)
+    hot = F.broadcast(often.select("gram"))
+    rare = postings.join(hot, "gram", "left_anti")
+    x, y = rare.select("gram", F.col("node").alias("a"), F.col("n").alias("na")), rare.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"))
+    met = x.join(y, (x["gram"] == y["gram"]) & (F.col("a") < F.col("b")) & _near_sizes(F.col("na"), F.col("nb"), num, den))
     # A pair's overlap is at most what its prefixes share here, the frequent columns they may share, and what follows the prefixes.
-    pairs = x.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("c"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"), F.first("x.p").alias("pa"), F.first("y.p").alias("pb"))
-    many = postings.join(F.broadcast(often.select("gram")), "gram", "left_semi").groupBy("node").agg(F.count("*").alias("o"))
-    pairs = cut(pairs.join(many.withColumnRenamed("node", "a").withColumnRenamed("o", "oa"), "a", "left").join(many.withColumnRenamed("node", "b").withColumnRenamed("o", "ob"), "b", "left")
-        .where(F.col("c") + F.least(F.coalesce("oa", F.lit(0)), F.coalesce("ob", F.lit(0))) + F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= _bound(F.col("na"), F.col("nb"), num, den))
-        .select("a", "b", "na", "nb"))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(postings.join(F.broadcast(often.select("gram")), "gram", "left_semi").select("node")).distinct()
+    pairs = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    held = postings.join(hot, "gram", "left_semi").select("gram", "node")
+    many = held.groupBy("node").agg(F.count("*").alias("o"))
+    of = lambda c: many.select(F.col("node").alias(c), F.col("o").alias(f"o{c}"))
+    follows = F.ceil(F.greatest("na", "nb") * num / F.lit(den)) - 1
+    most = F.col("c") + F.least(F.coalesce("oa", F.lit(0)), F.coalesce("ob", F.lit(0))) + follows
+    pairs = cut(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(most >= _bound(F.col("na"), F.col("nb"), num, den)).select("a", "b", "na", "nb"))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(held.select("node")).distinct()
     whole = cut(_whole_sets(docs, doc_id, text, k, cut(nodes.select("node", "rep").join(needed, "node", "left_semi"))))
     fetched = pairs.join(whole.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(whole.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
     inter = F.size(F.array_intersect("ga", "gb"))
     links = fetched.select("a", "b", "na", "nb", inter.cast("long").alias("inter")).where(F.col("inter") * den >= (F.col("na") + F.col("nb") - F.col("inter")) * num).select("a", "b")
     if not often.isEmpty():
-        links = links.unionByName(_often_links(postings.select("gram", "node"), often, whole, num, den))
+        links = links.unionByName(_often_links(held, often, whole, num, den))
     labels = components(links)
     told = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = told.join(told.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select(F.col("node").alias("of"), "component_id")
