@@ -1,5 +1,6 @@
 """Queries over the driver's tables; importing the package registers them."""
 
+from quire.plans import folds, relational
 from quire.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES"]
+__all__ = ["ORACLE_SQL", "QUERIES", "folds", "relational"]
