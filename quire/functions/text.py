@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word boundary between ASCII word characters and anything else, whatever the regex engine takes ``\b`` for.
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
@@ -126,7 +132,7 @@ def slugify(title: Column, most: int = 40) -> Column:
 
 def author(name: Column) -> Column:
     """"Last, First" becomes "First Last", if there are exactly two parts."""
-    parts = F.transform(F.split(name, ","), F.trim)
+    parts = F.transform(F.split(name, ","), lambda x: F.trim(x))
     return F.when((F.size(parts) == 2) & (parts[0] != "") & (parts[1] != ""), F.concat_ws(" ", parts[1], parts[0])).otherwise(F.trim(name))
 
 
@@ -234,7 +240,7 @@ def segments(answer: Column) -> Column:
         F.transform(F.regexp_extract_all(answer, F.lit(pattern), F.lit(1)), lambda x: x.cast("int")).alias("id"),
         F.transform(F.regexp_extract_all(answer, F.lit(pattern), F.lit(2)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")).alias("text"),
     )
-    return F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda p: p["0"])), lambda i: F.struct(i, F.element_at(F.filter(pairs, lambda p: p["0"] == i), -1)["1"])))
+    return F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda p: p["id"])), lambda i: F.struct(i, F.element_at(F.filter(pairs, lambda p: p["id"] == i), -1)["text"])))
 
 
 def repaired_map(raw: Column) -> Column:

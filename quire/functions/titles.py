@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.text import let
+
 # Words that mark the right-hand part of a title as advertising.
 MARKETING = (
     "推荐|出品|新著|畅销|获奖|纪念版|珍藏版|修订版|完整版|完整传记|全译本|出版社|译丛|丛书|edition|kindle|illustrated|anniversary|complete|with a new|foreword|introduction|"
@@ -34,8 +36,7 @@ def without_quotes(title: Column) -> Column:
     out = _trim(title)
     for _ in range(DEPTH):
         for left, right in QUOTES:
-            inner = _trim(F.substring(out, F.lit(2), F.length(out) - 2))
-            out = F.when(out.startswith(left) & out.endswith(right) & (F.length(out) > 2), inner).otherwise(out)
+            out = F.regexp_replace(out, f"(?s)^{left}(?=.{{2}}){SPACE}*(.*?){SPACE}*{right}$", "$1")
     return out
 
 
@@ -52,22 +53,27 @@ def without_brackets(title: Column) -> Column:
     for _ in range(DEPTH):
         for left, right in BRACKETS:
             a, b = (f"\\{c}" if c in "()[]" else c for c in (left, right))
-            # Text without brackets, or with one nested pair.
+            # Text without brackets, or with nested pairs of one level.
             inner = f"[^{a}{b}]*(?:{a}[^{a}{b}]*{b}[^{a}{b}]*)*"
-            before = _trim(F.regexp_replace(out, f"{a}{inner}{b}$", ""))
-            out = F.when(before != "", before).otherwise(out)
+            out = F.regexp_replace(out, rf"(?s)^(.*\S){SPACE}*{a}{inner}{b}$", "$1")
     return out
 
 
 def without_marketing(title: Column) -> Column:
-    out = _trim(title)
-    for mark in (" | ", "｜"):
-        at = F.instr(out, F.lit(mark))
-        left, right = _trim(F.substring(out, F.lit(1), at - 1)), _trim(F.substring(out, at + len(mark), F.length(out)))
-        out = F.when((at > 1) & (left != "") & (right.rlike(f"(?i){MARKETING}") | (F.length(out) > 80)), left).otherwise(out)
-    dash = r"^(.+?)(?:\s+[-–—]\s+|——)(.+)$"
-    left, right = _trim(F.regexp_extract(out, dash, 1)), _trim(F.regexp_extract(out, dash, 2))
-    return F.when((left != "") & right.rlike(f"(?i){MARKETING}"), left).otherwise(out)
+    def at_mark(mark: str):
+        def body(out: Column) -> Column:
+            at = F.instr(out, F.lit(mark))
+            left, right = _trim(F.substring(out, F.lit(1), at - 1)), _trim(F.substring(out, at + len(mark), F.length(out)))
+            return F.when((at > 1) & (left != "") & (right.rlike(f"(?i){MARKETING}") | (F.length(out) > 80)), left).otherwise(out)
+
+        return body
+
+    def at_dash(out: Column) -> Column:
+        dash = r"^(.+?)(?:\s+[-–—]\s+|——)(.+)$"
+        left, right = _trim(F.regexp_extract(out, dash, 1)), _trim(F.regexp_extract(out, dash, 2))
+        return F.when((left != "") & right.rlike(f"(?i){MARKETING}"), left).otherwise(out)
+
+    return let(let(let(_trim(title), at_mark(" | ")), at_mark("｜")), at_dash)
 
 
 def without_edition(title: Column) -> Column:
@@ -77,26 +83,38 @@ def without_edition(title: Column) -> Column:
 
 def clean_title(title: Column) -> Column:
     """All of the above in order; what would be empty stays as it was."""
-    first = spaced(title)
-    out = without_quotes(spaced(without_edition(without_marketing(without_brackets(unwrapped(without_quotes(first)))))))
-    return F.when(F.coalesce(out, F.lit("")) != "", out).otherwise(first)
+
+    def body(first: Column) -> Column:
+        out = without_edition(let(without_brackets(let(without_quotes(first), unwrapped)), without_marketing))
+        return let(without_quotes(spaced(out)), lambda x: F.when(F.coalesce(x, F.lit("")) != "", x).otherwise(first))
+
+    return let(spaced(title), body)
 
 
 def spine_title(title: Column) -> Column:
     """The part before the subtitle, shortened for a narrow spine."""
-    whole = spaced(title)
-    out, done = whole, F.lit(False)
-    for mark in ("：", ":", " / ", "／"):
-        at = F.instr(whole, F.lit(mark))
-        left, right = without_quotes(F.substring(whole, F.lit(1), at - 1)), _trim(F.substring(whole, at + len(mark), F.length(whole)))
-        fits = ~done & (at > 1) & (left != "") & (F.length(right) >= 2)
-        out, done = F.when(fits, left).otherwise(out), done | fits
-    comma = F.regexp_extract(out, r"(?i)^([^,]{4,36}),\s+(?:from|to|with|being|including|containing|or)(?![A-Za-z0-9_])", 1)
-    out = F.when(comma != "", _trim(comma)).otherwise(out)
-    elements = F.regexp_extract(out, r"(?i)^(?:the\s+)?elements\s+of\s+(.+)$", 1)
-    out = F.when((elements != "") & (F.length(out) > 28), _trim(elements)).otherwise(out)
-    out = without_quotes(spaced(out))
-    return F.when(out != "", out).otherwise(whole)
+
+    def main_part(whole: Column) -> Column:
+        parts = []
+        for mark in ("：", ":", " / ", "／"):
+            at = F.instr(whole, F.lit(mark))
+            left, right = without_quotes(F.substring(whole, F.lit(1), at - 1)), _trim(F.substring(whole, at + len(mark), F.length(whole)))
+            parts.append(F.when((at > 1) & (left != "") & (F.length(right) >= 2), left))
+        return F.coalesce(*parts, whole)
+
+    def before_comma(out: Column) -> Column:
+        left = F.regexp_extract(out, r"(?i)^([^,]{4,36}),\s+(?:from|to|with|being|including|containing|or)(?![A-Za-z0-9_])", 1)
+        return F.when(left != "", _trim(left)).otherwise(out)
+
+    def elements(out: Column) -> Column:
+        of = F.regexp_extract(out, r"(?i)^(?:the\s+)?elements\s+of\s+(.+)$", 1)
+        return F.when((of != "") & (F.length(out) > 28), _trim(of)).otherwise(out)
+
+    def body(whole: Column) -> Column:
+        out = without_quotes(spaced(let(let(main_part(whole), before_comma), elements)))
+        return let(out, lambda x: F.when(x != "", x).otherwise(whole))
+
+    return let(spaced(title), body)
 
 
 def usable_title(original: Column, fallback: Column, candidate: Column, most: int = 120) -> Column:
