@@ -6,7 +6,7 @@ chapters with text, events for whatever users do.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import numbers, text
@@ -297,7 +297,10 @@ def wiped_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.wiped(rows, _plan(spark, sf_dir).withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
 
 
-STATUS = F.element_at(F.lit(jobs.STATES), (F.pmod(F.col("event_id"), F.lit(5)) + 1).cast("int"))
+def _status() -> Column:
+    return F.element_at(F.lit(jobs.STATES), (F.pmod(F.col("event_id"), F.lit(5)) + 1).cast("int"))
+
+
 STATUS_SQL = "['pending', 'extracting_glossary', 'translating', 'completed', 'error'][(event_id % 5 + 1)::INTEGER]"
 
 
@@ -307,7 +310,7 @@ STATUS_SQL = "['pending', 'extracting_glossary', 'translating', 'completed', 'er
     SELECT job_id, status, updated_at, row_number() OVER (ORDER BY updated_at, job_id)::INTEGER AS turn FROM s QUALIFY turn <= 100""")
 def stalled_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred jobs that are to be resumed first."""
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), STATUS.alias("status"), F.col("ts").alias("updated_at"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), _status().alias("status"), F.col("ts").alias("updated_at"))
     active = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "P").select(F.col("o_orderkey").alias("job_id"))
     return jobs.stalled(rows, active, F.lit("2024-01-20").cast("timestamp_ntz")).where("turn <= 100").select("job_id", "status", "updated_at", "turn")
 
@@ -318,12 +321,12 @@ def stalled_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT *, before NOT IN ('completed', 'error') AND (status = 'error' OR list_position(['pending', 'extracting_glossary', 'translating', 'completed', 'error'], status)
               > list_position(['pending', 'extracting_glossary', 'translating', 'completed', 'error'], before)) AS legal FROM n""")
 def job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.transitions(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", STATUS.alias("status")), "user_id", ["ts", "event_id"])
+    return jobs.transitions(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", _status().alias("status")), "user_id", ["ts", "event_id"])
 
 
 @query(f"SELECT user_id, arg_max({STATUS_SQL}, (ts, event_id)) AS status, count(*) AS events FROM events GROUP BY user_id")
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.latest_state(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", STATUS.alias("status")), "user_id", ["ts", "event_id"])
+    return jobs.latest_state(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", _status().alias("status")), "user_id", ["ts", "event_id"])
 
 
 @query("SELECT conv_id, turn, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2)::BIGINT AS chunk FROM conversations")

@@ -13,7 +13,7 @@ def checkpoint(spark: SparkSession, path: str, schema: StructType, key: str = "i
     Order is that of the files' names and of the lines in them; a file is one writer's, so the lines of an id are read in order by one task.
     """
     bad = "__bad"
-    rows = spark.read.schema(StructType(schema.fields).add(bad, "string")).option("columnNameOfCorruptRecord", bad).json(path)
+    rows = spark.read.schema(StructType([*schema.fields]).add(bad, "string")).option("columnNameOfCorruptRecord", bad).json(path)
     rows = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__line"))
     rows = rows.where(F.col(bad).isNull() & F.col(key).isNotNull())
     values = [f.name for f in schema.fields if f.name != key]
