@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from quire.llm import vectors as V
 from quire.llm.shared import cut
 
-TREES, BITS, SEED = 40, 32, 20_240
+TREES, BITS, SEED = 64, 32, 20_240
 #: Rows of a shard (of V.SHARD_ROWS) that a query looks at, at least; smaller shards are looked at whole.
-CANDIDATES = 3600
+CANDIDATES = 2600
 FOUND = "query_id long, query_row long, vec_id long, score double"
 
 
