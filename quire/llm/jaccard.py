@@ -5,8 +5,9 @@ pair must share are multiplied at first: in one order of all n-grams, two sets w
 the first ``n - ceil(t * n) + 1`` of each.  The order puts n-grams found to be in many documents last, so that these columns are rare.
 
 Rare columns are multiplied by a join on the n-gram: overlaps are added up for each pair and pairs are discarded that, by their sizes, cannot reach the
-threshold any more; what remains is counted on the whole sets.  Columns that are still in many prefixes are multiplied in blocks of
-bounded size with all of their columns; a block sends a spanning forest of its links, never all pairs.
+threshold any more; what remains is counted on the whole sets.  Columns that are still in many prefixes belong to
+large groups of near copies: their classes are compared with pivots first, and only what these leave outside the group's component is compared with the rest, as pairs or in
+blocks of bounded size that send a spanning forest of their links, never all pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from quire.llm.shared import cut, discard
 from quire.llm.text_hash import Words, mix, shingles
 
-#: An n-gram in the prefixes of more classes than these is multiplied in blocks; a block has about BLOCK classes.
+#: An n-gram in the prefixes of more classes than these is frequent; a block has about BLOCK classes.
 RARE, BLOCK = 48, 256
 #: N-grams of CHUNK documents are looked at together for frequent ones: those in one of SHARE documents or more go last.
 CHUNK, SHARE = 2000, 500
@@ -30,9 +31,11 @@ CHUNK, SHARE = 2000, 500
 ROUNDS = 3
 #: Frequent n-grams that are broadcast (16 bytes each); the most frequent stay if there are more, which costs time only.
 KNOWN = 1 << 20
-#: Classes whose sets are fetched by a broadcast of their ids; more are fetched by a shuffle join.
+#: Classes whose sets are fetched by a broadcast of their ids, and frequent n-grams that are told by a broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 COLUMNS = 4096
+#: Pivots that a class is compared with for each frequent n-gram, turns of that, and pairs of one n-gram that are compared as pairs.
+PIVOTS, TURNS, PAIRS = 3, 3, 50_000
 
 
 def _batches(batches: Iterable[pa.RecordBatch], size: int = 500, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -206,33 +209,65 @@ def _salted(key: str, salt: int, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit(salt)), blocks)
 
 
-def _often_links(postings: DataFrame, often: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links of classes that share an n-gram that is in many prefixes.
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The links among pairs (a, b, na, nb), by the overlap of the whole sets."""
+    fetched = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
+    inter = F.size(F.array_intersect("ga", "gb")).cast("long")
+    return fetched.select("a", "b", "na", "nb", inter.alias("inter")).where(F.col("inter") * den >= (F.col("na") + F.col("nb") - F.col("inter")) * num).select("a", "b")
 
-    Two rounds of blocks by different salts find most of the links.  Then, for each n-gram, the classes outside its largest component so far are compared
-    with all: links inside one component would tell nothing new.
+
+def _told(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members of n-grams whose classes are not all in one component yet, with ``label``, and ``most``, the label of the largest part of the n-gram's."""
+    told = members.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = told.groupBy("gram", "label").agg(F.count("*").alias("k"))
+    most = parts.groupBy("gram").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.max("k").alias("largest"), F.sum("k").alias("all"))
+    return cut(told.join(most.where(F.col("all") > F.col("largest")), "gram"))
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    """Pairs x, y (node, n) as a < b with their sizes."""
+    e = F.when(F.col("x.node") < F.col("y.node"), F.struct("x", "y")).otherwise(F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
+    return rows.select(e.alias("e")).select(F.col("e.x.node").alias("a"), F.col("e.y.node").alias("b"), F.col("e.x.n").alias("na"), F.col("e.y.n").alias("nb"))
+
+
+def _often_links(members: DataFrame, prefixes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of classes that share an n-gram that is in many prefixes: enough of them for the components.
+
+    First each class is compared with a few pivots of its n-grams, the same for all who share them; near copies mostly meet there, and pairs stay linear in number.  Later turns
+    do so with the classes outside an n-gram's largest component, against pivots inside it.  What is still outside is compared with all that share an n-gram with it, as
+    pairs, or in blocks where these would be many; links inside one component would tell nothing new.
     """
-    members = postings.join(F.broadcast(often), "gram").select("gram", "node", F.ceil(F.col("df") / BLOCK).alias("blocks"))
-    members = cut(members)
-    found = None
-    for salt in (1, 2):
-        placed = members.withColumn("block", _salted("node", salt, F.col("blocks"))).withColumn("left", F.lit(True))
-        new = cut(_blocks(placed, ["gram", "block"], sets, num, den))
+    members, found = cut(members), None
+    one = F.struct("node", "n")
+    rest = inside = members
+    for turn in range(TURNS):
+        pivots = inside.groupBy("gram").agg(F.array_distinct(F.array(*[F.min_by(one, F.xxhash64("node", F.lit(PIVOTS * turn + i))) for i in range(PIVOTS)])).alias("pivots"))
+        rows = rest.join(pivots, "gram").select(one.alias("x"), F.explode("pivots").alias("y")).where("x.node <> y.node").where(_near_sizes(F.col("x.n"), F.col("y.n"), num, den))
+        new = cut(_verified(_ordered(rows).distinct(), sets, num, den))
         found = new if found is None else found.unionByName(new)
-        if members.where("blocks > 1").isEmpty():
+        told = _told(members, found)
+        rest, inside = told.where("label <> most"), told.where("label = most")
+        if told.isEmpty():
             return found
-    labels = components(found)
-    told = members.where("blocks > 1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    per = told.groupBy("gram", "label").agg(F.count("*").alias("n"))
-    most = per.groupBy("gram").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.sum("n").alias("all"), F.max("n").alias("largest"))
-    most = most.where(F.col("all") > F.col("largest")).withColumn("rests", F.ceil((F.col("all") - F.col("largest")) / BLOCK))
-    told = cut(told.join(F.broadcast(most), "gram"))
-    rest = told.where(F.col("label") != F.col("most")).withColumn("i", _salted("node", 3, F.col("rests")))
-    rest = rest.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("left", F.lit(True))
-    every = told.withColumn("j", _salted("node", 4, F.col("blocks")))
-    every = every.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1))).withColumn("left", F.lit(False))
-    columns = ["gram", "i", "j", "node", "left"]
-    both = rest.select(*columns).unionByName(every.select(*columns)).groupBy("gram", "i", "j", "node").agg(F.max("left").alias("left"))
+    size = F.col("all") - F.col("largest")
+    few = size * F.col("all") <= PAIRS
+    x = rest.where(few).select("gram", one.alias("x"), F.col("label").alias("lx"))
+    y = told.where(few).select("gram", one.alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("most")).alias("in_most"))
+    rows = x.join(y, "gram").where((F.col("lx") != F.col("ly")) & (F.col("in_most") | (F.col("x.node") < F.col("y.node"))) & _near_sizes(F.col("x.n"), F.col("y.n"), num, den))
+    pairs = _ordered(rows).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    # Here the shared columns that are not frequent are at most those of the prefixes.
+    rare = prefixes.select("node", "rare")
+    of = lambda c: rare.select(F.col("node").alias(c), F.col("rare").alias(f"r{c}"))
+    most = F.col("c") + F.least("ra", "rb") + F.ceil(F.greatest("na", "nb") * num / F.lit(den)) - 1
+    pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(most >= _bound(F.col("na"), F.col("nb"), num, den))
+    found = found.unionByName(cut(_verified(pairs.select("a", "b", "na", "nb"), sets, num, den)))
+    large = told.where(~few).withColumn("rests", F.ceil(size / BLOCK)).withColumn("blocks", F.ceil(F.col("all") / BLOCK))
+    if large.isEmpty():
+        return found
+    left = large.where("label <> most").withColumn("i", _salted("node", 3, F.col("rests"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    every = large.withColumn("j", _salted("node", 4, F.col("blocks"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)))
+    keys = ["gram", "i", "j", "node"]
+    both = left.select(*keys, F.lit(True).alias("left")).unionByName(every.select(*keys, F.lit(False).alias("left"))).groupBy(*keys).agg(F.max("left").alias("left"))
     return found.unionByName(cut(_blocks(both, ["gram", "i", "j"], sets, num, den)))
 
 
@@ -272,13 +307,14 @@ def classes(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int)
         known = more
         discard(sets)
         discard(nodes)
-    hot = F.broadcast(often.select("gram"))
+    hot = often.select("gram")
+    hot = F.broadcast(hot) if often.count() <= BROADCAST_IDS else hot
     rare = postings.join(hot, "gram", "left_anti")
     x, y = rare.select("gram", F.col("node").alias("a"), F.col("n").alias("na")), rare.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"))
     met = x.join(y, (x["gram"] == y["gram"]) & (F.col("a") < F.col("b")) & _near_sizes(F.col("na"), F.col("nb"), num, den))
     # A pair's overlap is at most what its prefixes share here, the frequent columns they may share, and what follows the prefixes.
     pairs = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    held = postings.join(hot, "gram", "left_semi").select("gram", "node")
+    held = postings.join(hot, "gram", "left_semi").select("gram", "node", "n")
     many = held.groupBy("node").agg(F.count("*").alias("o"))
     of = lambda c: many.select(F.col("node").alias(c), F.col("o").alias(f"o{c}"))
     follows = F.ceil(F.greatest("na", "nb") * num / F.lit(den)) - 1
@@ -286,11 +322,10 @@ def classes(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int)
     pairs = cut(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(most >= _bound(F.col("na"), F.col("nb"), num, den)).select("a", "b", "na", "nb"))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(held.select("node")).distinct()
     whole = cut(_whole_sets(docs, doc_id, text, k, cut(nodes.select("node", "rep").join(needed, "node", "left_semi"))))
-    fetched = pairs.join(whole.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(whole.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    inter = F.size(F.array_intersect("ga", "gb"))
-    links = fetched.select("a", "b", "na", "nb", inter.cast("long").alias("inter")).where(F.col("inter") * den >= (F.col("na") + F.col("nb") - F.col("inter")) * num).select("a", "b")
+    links = _verified(pairs, whole, num, den)
     if not often.isEmpty():
-        links = links.unionByName(_often_links(held, often, whole, num, den))
+        prefixes = nodes.join(many, "node").select("node", (F.size("prefix") - F.col("o")).alias("rare"))
+        links = links.unionByName(_often_links(held, prefixes, whole, num, den))
     labels = components(links)
     told = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = told.join(told.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select(F.col("node").alias("of"), "component_id")

@@ -329,10 +329,12 @@ def brute_classes(texts, ids, k, num, den):
     return sorted(((ids[i], len(sets[i]), names.get(root(i)) if sets[i] else ids[i]) for i in range(len(sets))), key=repr)
 
 
-@pytest.mark.parametrize("rare, block", [(48, 256), (3, 4)])
-def test_classes_against_brute_force(spark, monkeypatch, rare, block):
-    """The second case sends nearly all columns through the blocks."""
+@pytest.mark.parametrize("rare, block, pairs, turns", [(48, 256, 50_000, 3), (3, 4, 50_000, 1), (3, 4, 0, 1)])
+def test_classes_against_brute_force(spark, monkeypatch, rare, block, pairs, turns):
+    """The second case compares frequent groups as pairs, the third in blocks."""
     monkeypatch.setattr(jaccard, "RARE", rare)
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
+    monkeypatch.setattr(jaccard, "TURNS", turns)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     rnd = random.Random(11)
     vocabulary = [f"w{i}" for i in range(400)]
