@@ -257,3 +257,10 @@ def titled(raw: Column) -> Column:
     text = F.trim(raw)
     text = F.when(text.startswith("```"), F.trim(F.regexp_replace(F.regexp_replace(text, r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""))).otherwise(text)
     return F.coalesce(F.get_json_object(text, "$.title"), F.when(~text.rlike(r"[{}\n]"), text))
+
+
+def paragraphs(text: Column, large: int = 3000) -> Column:
+    """The parts that a large text is worked on in: its paragraphs, else its lines, else the whole; smaller texts stay whole.  Blank parts are left out."""
+    parts = lambda pattern: F.filter(F.split(text, pattern), lambda x: F.trim(x) != "")
+    by_paragraph, by_line = parts("\n\n+"), parts("\n")
+    return F.when(F.length(text) <= large, F.array(text)).when(F.size(by_paragraph) > 1, by_paragraph).when(F.size(by_line) > 1, by_line).otherwise(F.array(text))

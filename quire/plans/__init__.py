@@ -1,6 +1,6 @@
 """Queries over the driver's tables; importing the package registers them."""
 
-from quire.plans import folds, pages, relational, texts
+from quire.plans import accounts, folds, pages, relational, texts
 from quire.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "folds", "pages", "relational", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "accounts", "folds", "pages", "relational", "texts"]
