@@ -35,11 +35,11 @@ def identity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT a.conv_id, a.turn, coalesce(nullif(CASE WHEN b.turn % 3 = 0 THEN '' ELSE upper(b.text) END, ''), a.text) AS shown FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn AND b.turn % 2 = 1""")
+    SELECT a.conv_id, a.turn, coalesce(nullif(CASE WHEN b.turn % 3 = 0 THEN '' ELSE 't: ' || b.text END, ''), a.text) AS shown FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn AND b.turn % 2 = 1""")
 def shown_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The translation of a paragraph, or its source where there is none or it is empty."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    done = rows.where("turn % 2 = 1").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, "").otherwise(F.upper("text")).alias("translated_text"))
+    done = rows.where("turn % 2 = 1").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, "").otherwise(F.concat(F.lit("t: "), "text")).alias("translated_text"))
     return reading.shown_text(rows, done, ["conv_id", "turn"]).select("conv_id", "turn", "shown")
 
 
