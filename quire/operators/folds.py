@@ -2,42 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 
+def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], values: list[str], start: Callable, step: Callable, outputs: str) -> DataFrame:
+    """rows with ``outputs``: what ``step(state, *values)`` returns besides the next state, row by row in ``order`` for each key, from ``start()`` on.
+
+    Keys are dealt to tasks and sorted by Spark, which spills; a task holds one batch of rows and the state of one key, however many rows the key has.
+    """
+    schema = StructType([*rows.schema, *StructType.fromDDL(outputs)])
+    names = [f.name for f in StructType.fromDDL(outputs)]
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None
+        for batch in batches:
+            out = []
+            of_keys = zip(*[[None if x != x else x for x in batch[k].tolist()] for k in keys])
+            for key, value in zip(of_keys, zip(*[batch[v].tolist() for v in values])):
+                if state is None or key != at:
+                    at, state = key, start()
+                state, made = step(state, *value)
+                out.append(made)
+            yield batch.assign(**dict(zip(names, zip(*out)))) if out else batch.assign(**{n: [] for n in names})
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 def batches(rows: DataFrame, keys: list[str], order: list[str], size: str, budget: int) -> DataFrame:
     """rows with ``batch`` (from 1) and ``batch_size`` so far: a row opens a new batch if the open one is not empty and would exceed the budget.
 
     An oversize row so gets a batch of its own.  Each key is folded by itself.
     """
-    schema = StructType([*rows.schema, *StructType.fromDDL("batch bigint, batch_size bigint")])
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group, batch, full, numbers, sums = group.sort_values(order, kind="stable"), 1, None, [], []
-        for x in group[size].tolist():
-            if full is not None and full + x > budget:
-                batch, full = batch + 1, None
-            full = x if full is None else full + x
-            numbers.append(batch)
-            sums.append(full)
-        return group.assign(batch=numbers, batch_size=sums)
+    def step(state: tuple, x: int) -> tuple:
+        batch, full = state
+        batch, full = (batch + 1, x) if full is not None and full + x > budget else (batch, x + (full or 0))
+        return (batch, full), (batch, full)
 
-    return rows.groupBy(*keys).applyInPandas(fold, schema)
+    return ordered_fold(rows, keys, order, [size], lambda: (1, None), step, "batch bigint, batch_size bigint")
 
 
 def packed(rows: DataFrame, keys: list[str], group: str, order: list[str], width: str, capacity: float, gap: float = 0.0) -> DataFrame:
     """rows with ``shelf_row`` (from 0) and ``x``: books side by side, wrapped where one would not fit; each group starts on a fresh row."""
-    schema = StructType([*rows.schema, *StructType.fromDDL("shelf_row bigint, x double")])
-
-    def fold(books: pd.DataFrame) -> pd.DataFrame:
-        books, row, x, last, places = books.sort_values([group, *order], kind="stable"), -1, 0.0, None, []
-        for name, w in zip(books[group].tolist(), books[width].tolist()):
-            if row < 0 or name != last or (x > 0 and x + w > capacity + 1e-6):
-                row, x, last = row + 1, 0.0, name
-            places.append((row, x))
-            x += w + gap
-        return books.assign(shelf_row=[r for r, _ in places], x=[p for _, p in places])
-
-    return rows.groupBy(*keys).applyInPandas(fold, schema)
+
+    def step(state: tuple, name: str, w: float) -> tuple:
+        row, x, last = state
+        if row < 0 or name != last or (x > 0 and x + w > capacity + 1e-6):
+            row, x = row + 1, 0.0
+        return (row, x + w + gap, name), (row, x)
+
+    return ordered_fold(rows, keys, [group, *order], [group, width], lambda: (-1, 0.0, None), step, "shelf_row bigint, x double")

@@ -41,12 +41,13 @@ def finalize(planned_units: DataFrame, keys: list[str]) -> DataFrame:
     return sums.withColumn("fault", F.when(F.col("incomplete") > 0, "incomplete chapters").when((F.col("expected") == 0) & (F.col("found") == 0), "empty book"))
 
 
-def stalled(jobs: DataFrame, active: DataFrame, now: Column, idle: str = "5 minutes", owner: str | None = None) -> DataFrame:
-    """Unfinished jobs that nothing has touched for ``idle`` and that are not active; oldest first in ``turn``."""
+def stalled(jobs: DataFrame, active: DataFrame, now: Column, n: int, idle: str = "5 minutes", owner: str | None = None) -> DataFrame:
+    """The n oldest of the unfinished jobs that nothing has touched for ``idle`` and that are not active, in the order of ``turn``."""
     rows = jobs.where(~F.col("status").isin(FINAL) & (F.col("updated_at") < now - F.expr(f"INTERVAL {idle}")))
     if owner is not None:
         rows = rows.where(F.col("backend") == owner)
     rows = rows.join(active.select("job_id"), "job_id", "left_anti")
+    rows = rows.orderBy("updated_at", "job_id").limit(n)
     return rows.withColumn("turn", F.row_number().over(Window.orderBy("updated_at", "job_id")))
 
 

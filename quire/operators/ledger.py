@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from quire.operators.folds import ordered_fold
 
 
 def running_balance(entries: DataFrame, user: str, order: list[str], amount: str, opening: int = 1000) -> DataFrame:
@@ -19,18 +19,13 @@ def guarded(entries: DataFrame, user: str, order: list[str], amount: str, openin
 
     Folded in order for each user, since a refusal depends on the balance that earlier refusals left.
     """
-    schema = StructType([*entries.schema, *StructType.fromDDL("accepted boolean, balance_after bigint")])
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group, balance, accepted, after = group.sort_values(order, kind="stable"), opening, [], []
-        for x in group[amount].tolist():
-            fits = x >= 0 or balance >= -x
-            balance += x if fits else 0
-            accepted.append(fits)
-            after.append(balance)
-        return group.assign(accepted=accepted, balance_after=after)
-
-    return entries.groupBy(user).applyInPandas(fold, schema)
+
+    def step(balance: int, x: int) -> tuple:
+        fits = x >= 0 or balance >= -x
+        balance += x if fits else 0
+        return balance, (fits, balance)
+
+    return ordered_fold(entries, [user], order, [amount], lambda: opening, step, "accepted boolean, balance_after bigint")
 
 
 def once_each(credits: DataFrame, payment: str, order: list[str]) -> DataFrame:

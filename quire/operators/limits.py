@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from quire.operators.folds import ordered_fold
 
 
 def admit(times: list[int], window: int, limit: int, held: deque | None = None) -> tuple[list[bool], list[int], deque]:
@@ -31,17 +31,14 @@ def admit(times: list[int], window: int, limit: int, held: deque | None = None)
 def sliding_window(events: DataFrame, key: str, micros: str, order: str, window: int, limit: int) -> DataFrame:
     """events with ``limited`` and ``current``.  Times are microseconds; ``order`` breaks ties.
 
-    A key's events are folded in order, since a refusal depends on earlier ones; a key's memory is its accepted events inside one window.
+    A key's events are folded in order, since a refusal depends on earlier ones; the state is its accepted events inside one window.
     """
-    rows = events.select(*events.columns)
-    schema = StructType([*rows.schema, *StructType.fromDDL("limited boolean, current bigint")])
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([micros, order], kind="stable")
-        limited, current, _ = admit(group[micros].tolist(), window, limit)
-        return group.assign(limited=limited, current=current)
+    def step(held: deque, t: int) -> tuple:
+        limited, current, held = admit([t], window, limit, held)
+        return held, (limited[0], current[0])
 
-    return rows.groupBy(key).applyInPandas(fold, schema)
+    return ordered_fold(events, [key], [micros, order], [micros], deque, step, "limited boolean, current bigint")
 
 
 def issuance_counters(codes: DataFrame, now: Column, address: str, ip: str) -> DataFrame:

@@ -312,7 +312,7 @@ def stalled_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred jobs that are to be resumed first."""
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), _status().alias("status"), F.col("ts").alias("updated_at"))
     active = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "P").select(F.col("o_orderkey").alias("job_id"))
-    return jobs.stalled(rows, active, F.lit("2024-01-20").cast("timestamp_ntz")).where("turn <= 100").select("job_id", "status", "updated_at", "turn")
+    return jobs.stalled(rows, active, F.lit("2024-01-20").cast("timestamp_ntz"), 100).select("job_id", "status", "updated_at", "turn")
 
 
 @query(f"""
