@@ -23,11 +23,16 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+#: Texts make wide rows: batches between Spark and Python are bounded by rows, and by bytes where Spark knows the setting.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once an application, so that its Python functions load there."""
+    """Send this package to the executors, once an application, so that its Python functions load there, and bound the session's batches."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         package = Path(__file__).resolve().parent
