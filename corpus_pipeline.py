@@ -17,8 +17,7 @@ from quire.session import ship
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps."""
     ship(spark)
-    scored = quality.score(docs.withColumn("__text", F.col("text")), "doc_id", "__text", quality.fit(docs, "text"))
-    return scored.where("keep").select(*docs.columns)
+    return quality.kept(docs, "text", quality.fit(docs, "text"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 #: A piece of up to this many bytes is merged directly, without halving.
 LEAF_BYTES = 8
 #: Entries of each generation of a worker's caches of encoded units and of compared token pairs.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 #: Ids that one leaf of the decoding tree covers.
 DECODE_LEAF = 4096
 

@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.shared import cut
@@ -150,7 +150,7 @@ def _fit(examples: list[tuple[list[int], list[float], float]]) -> np.ndarray:
 def _rows(docs: DataFrame, text: str, make, schema: str, types: pa.Schema) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
+            for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 1024)
                 made = [make(t or "") for t in part.columns[-1].to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(x, f.type) for x, f in zip(zip(*made), types))], names=[*part.schema.names[:-1], *types.names])
@@ -180,9 +180,8 @@ def fit(docs: DataFrame, text: str, fitted: int = FITTED) -> dict:
     return {"w": _fit(sorted((r.i, r.x, r.y) for r in rows)), "posterior": posterior, "share": share, "rates": rates}
 
 
-def score(docs: DataFrame, doc_id: str, text: str, model: dict, least: float = 0.5) -> DataFrame:
-    """The columns of ``docs`` other than the text, then ``score`` (probability of fit), ``posterior`` (of the labellers alone) and ``keep`` (score >= least)."""
-    shared = docs.sparkSession.sparkContext.broadcast((model["w"], model["posterior"]))
+def _scorer(spark: SparkSession, model: dict, least: float):
+    shared = spark.sparkContext.broadcast((model["w"], model["posterior"]))
 
     def scored(t: str) -> tuple:
         w, posterior = shared.value
@@ -191,5 +190,30 @@ def score(docs: DataFrame, doc_id: str, text: str, model: dict, least: float = 0
         s = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(sum(w[i] * v for i, v in x.items()))))))
         return s, posterior.get(votes(m), 0.5), s >= least
 
-    others = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text]
-    return _rows(docs, text, scored, ", ".join([*others, "score double, posterior double, keep boolean"]), pa.schema([("score", pa.float64()), ("posterior", pa.float64()), ("keep", pa.bool_())]))
+    return scored
+
+
+def score(docs: DataFrame, doc_id: str, text: str, model: dict, least: float = 0.5) -> DataFrame:
+    """doc_id, ``score`` (probability of fit), ``posterior`` (of the labellers alone) and ``keep`` (score >= least) of every row.
+
+    A null text counts as empty and is unfit; null ids and repeated rows stay; other columns are not read.
+    """
+    types = pa.schema([("score", pa.float64()), ("posterior", pa.float64()), ("keep", pa.bool_())])
+    kind = docs.schema[doc_id].dataType.simpleString()
+    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
+    out = _rows(rows, "__text", _scorer(docs.sparkSession, model, least), f"__id {kind}, score double, posterior double, keep boolean", types)
+    return out.select(F.col("__id").alias(doc_id), "score", "posterior", "keep")
+
+
+def kept(docs: DataFrame, text: str, model: dict, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score at least ``least``, with all of their columns."""
+    scored = _scorer(docs.sparkSession, model, least)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                yield part.filter(pa.array([scored(t or "")[2] for t in part.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

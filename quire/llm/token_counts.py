@@ -24,7 +24,7 @@ SHARE = 16_384
 #: Distinct pre-tokens that a task counts before it drops those that are too rare to be named.
 COUNTED = 400_000
 #: Entries of each of the two generations of a worker's cache.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 #: Python splits at these, the library's white space does not include them.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
