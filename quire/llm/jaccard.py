@@ -24,7 +24,7 @@ from quire.llm.shared import cut, discard
 from quire.llm.text_hash import Words, mix, shingles
 
 #: An n-gram in the prefixes of more classes than these is frequent; a block has about BLOCK classes.
-RARE, BLOCK = 48, 256
+RARE, BLOCK = 16, 256
 #: N-grams of CHUNK documents are looked at together for frequent ones: those in one of SHARE documents or more go last.
 CHUNK, SHARE = 2000, 500
 #: Prefix n-grams in more classes than RARE that were not known to be frequent are put last too, and the prefixes formed anew: ROUNDS times in all.
