@@ -8,6 +8,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,15 @@ def test_quality_odd_rows(spark):
     assert not next(r.keep for r in got if r.doc_id is None)
 
 
+def test_quality_gives_one_row_a_document(spark):
+    rows = spark.createDataFrame([(i, f"some words of text {i}") for i in range(1100)], "doc_id long, text string").coalesce(1)
+    model = quality.fit(rows, "text")
+    got = [r.doc_id for r in quality.score(rows, "doc_id", "text", model).collect()]
+    assert sorted(got) == list(range(1100))
+    votes = quality._rows(rows.select("text"), "text", lambda t: (quality.votes(quality.measures(t)),), "votes string", pa.schema([("votes", pa.string())]))
+    assert votes.count() == 1100
+
+
 def test_em_finds_the_bad_labeller():
     random.seed(4)
     counts = collections.Counter()
