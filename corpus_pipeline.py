@@ -21,8 +21,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the boilerplate lines of their source; n_chars follows the text."""
-    kept = line_dedup.drop_boilerplate(docs, "source", "text")
+    """Texts without the boilerplate lines of their source; n_chars follows the text.
+
+    Copies of a text count as one page: they are taken out later, and one of them has to keep its lines.
+    """
+    kept = line_dedup.drop_boilerplate(docs, "source", "text", copies_once=True)
     return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

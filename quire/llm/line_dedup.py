@@ -33,16 +33,20 @@ def _blank(line: Column) -> Column:
     return F.trim(line) == ""
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_with_line: int = LEAST_WITH_LINE) -> DataFrame:
+def boilerplate(
+    pages: DataFrame, host: str, text: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_with_line: int = LEAST_WITH_LINE, copies_once: bool = False
+) -> DataFrame:
     """host, lines array<bigint>: the keys of each host's boilerplate lines, for hosts that have any.
 
     A page counts once for each different line, so counting needs one shuffle of (host, key, count) after map-side sums.  A host has at
-    most (its lines a page) / ratio such lines, whatever the number of its pages.
+    most (its lines a page) / ratio such lines, whatever the number of its pages.  With ``copies_once``, rows of a host with the same text
+    are one page (by a 64-bit hash, null texts being one too), so that a text's own copies do not make its lines boilerplate.
     """
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: ~_blank(x)), _key))
     marked = F.concat(F.array(F.lit(None).cast("long")), F.coalesce(keys, F.array().cast("array<bigint>")))
+    rows = pages.select(F.col(host).alias("host"), F.xxhash64(F.col(text)).alias("copy"), F.explode(marked).alias("key"))
     counts = cut(
-        pages.select(F.col(host).alias("host"), F.explode(marked).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
+        (rows.distinct() if copies_once else rows).groupBy("host", "key").agg(F.count("*").alias("n"))
         .where(F.col("key").isNull() | (F.col("n") >= least_with_line))
     )
     totals = counts.where(F.col("key").isNull() & (F.col("n") >= least_pages)).select(F.col("host").alias("of"), F.col("n").alias("pages"))
@@ -51,13 +55,15 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, le
     return lines.groupBy("host").agg(F.collect_list("key").alias("lines"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_with_line: int = LEAST_WITH_LINE) -> DataFrame:
+def drop_boilerplate(
+    pages: DataFrame, host: str, text: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_with_line: int = LEAST_WITH_LINE, copies_once: bool = False
+) -> DataFrame:
     """The rows of ``pages`` with ``text`` less its boilerplate lines; ``n_lines`` and ``n_dropped`` follow.
 
-    Null texts stay null and have 0 lines; blank lines are never dropped; a null host is a host; repeated rows count as pages and stay; all columns stay.
+    Null texts stay null and have 0 lines; blank lines are never dropped; a null host is a host; repeated rows count as pages (as one with ``copies_once``) and stay; all columns stay.
     An empty table gives an empty table.
     """
-    bad = cut(boilerplate(pages, host, text, ratio, least_pages, least_with_line)).select(F.col("host").alias("__of"), F.col("lines").alias("__bad"))
+    bad = cut(boilerplate(pages, host, text, ratio, least_pages, least_with_line, copies_once)).select(F.col("host").alias("__of"), F.col("lines").alias("__bad"))
     small = bad.agg(F.coalesce(F.sum(F.size("__bad")), F.lit(0))).first()[0] <= BROADCAST_LINES
     if small:
         joined = pages.join(F.broadcast(bad), pages[host].eqNullSafe(F.col("__of")), "left")

@@ -41,6 +41,25 @@ def test_repeated_rows_are_copies(spark):
     assert sorted((r.doc_id for r in got), key=str) == [1, 3, 4, None]
 
 
+def test_copies_keep_their_lines(spark):
+    copy = "first line of the copy\nsecond line of the copy"
+    texts = [copy] * 20 + [f"page {i}\nMenu" for i in range(38)] + [None, None]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, FOLDER).collect()}
+    assert len(got) == 60 and all(got[i] == (copy, len(copy)) for i in range(20))
+    assert all(got[20 + i] == (f"page {i}", len(f"page {i}")) for i in range(38)) and got[58][0] is None
+
+
+def test_copies_count_as_one_page(spark):
+    """A line on 3 of 60 different pages is no boilerplate, whatever the copies; nor are 19 different pages enough."""
+    rows = [(f"a {i}\n" + ("Shared" if i < 3 else "own"), "h") for i in range(60)] + [("a 0\nShared", "h")] * 40 + [(f"b {i % 19}\nMenu", "few") for i in range(60)]
+    docs = spark.createDataFrame(rows, "text string, source string")
+    found = lambda once: sorted((r.host, len(r.lines)) for r in line_dedup.boilerplate(docs, "source", "text", copies_once=once).collect())
+    assert found(True) == [("h", 1)]
+    assert found(False) == [("few", 4), ("h", 3)]
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages_on_no_rows(spark, name):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("false")
