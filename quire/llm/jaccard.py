@@ -1,13 +1,13 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence, with size-derived bounds.
 
-Documents with equal sets of n-grams are one class, so the product is over classes.  Its entry for two classes is their overlap.  Only columns that a linked
-pair must share are multiplied at first: in one order of all n-grams, two sets with a Jaccard similarity of t or more share an n-gram among
-the first ``n - ceil(t * n) + 1`` of each.  The order puts n-grams found to be in many documents last, so that these columns are rare.
-
-Rare columns are multiplied by a join on the n-gram: overlaps are added up for each pair and pairs are discarded that, by their sizes, cannot reach the
-threshold any more; what remains is counted on the whole sets.  Columns that are still in many prefixes belong to
-large groups of near copies: their classes are compared with pivots first, and only what these leave outside the group's component is compared with the rest, as pairs or in
-blocks of bounded size that send a spanning forest of their links, never all pairs.
+Documents with equal sets of n-grams are one class, so the product is over classes.  Two linked sets of at most ``r`` n-grams differ in at most ``d`` of them, a bound that
+follows from their sizes.  The columns of the incidence, the n-grams, are dealt by hash range to ``m = d + 1 + e`` parts, so linked rows are equal in at least ``e + 1``
+whole parts.  Rows that are equal in as many parts as they must be are put in one family, and only rows of a family are multiplied: in blocks of bounded size, a range of columns at a time,
+adding up overlaps and discarding pairs that cannot reach the threshold any more.  A block sends a spanning forest of its links, never all pairs.
+
+A part shared by many rows without their being similar (a common passage) makes no family: of the parts that a row shares with others, as many of the most frequent
+are left out as a linked row must share beyond one.  Families too large for one block are compared with a few of their most connected members first; then only what is
+outside a family's largest component is compared with the rest, block by block.
 """
 
 from __future__ import annotations
@@ -15,157 +15,159 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.llm.shared import cut, discard
-from quire.llm.text_hash import Words, mix, shingles
-
-#: An n-gram in the prefixes of more classes than these is frequent; a block has about BLOCK classes.
-RARE, BLOCK = 16, 256
-#: N-grams of CHUNK documents are looked at together for frequent ones: those in one of SHARE documents or more go last.
-CHUNK, SHARE = 2000, 500
-#: Prefix n-grams in more classes than RARE that were not known to be frequent are put last too, and the prefixes formed anew: ROUNDS times in all.
-ROUNDS = 3
-#: Frequent n-grams that are broadcast (16 bytes each); the most frequent stay if there are more, which costs time only.
-KNOWN = 1 << 20
-#: Classes whose sets are fetched by a broadcast of their ids, and frequent n-grams that are told by a broadcast; more are joined by shuffle.
+from quire.llm.text_hash import Words, mix, shingles, slices
+
+#: Rows of a block, columns of the incidence that are multiplied at once, and members that a large family is compared with first.
+BLOCK, COLUMNS, PIVOTS = 512, 4096, 3
+#: Rows that are told by a broadcast of their keys; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-COLUMNS = 4096
-#: Pivots that a class is compared with for each frequent n-gram, turns of that, and pairs of one n-gram that are compared as pairs.
-PIVOTS, TURNS, PAIRS = 3, 3, 50_000
+#: Bits of a part's token; its lowest bit is that of its band.
+TOKEN_BITS = 48
 
 
-def _batches(batches: Iterable[pa.RecordBatch], size: int = 500, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of up to ``size`` rows, and of about ``most`` bytes, with their texts (the last column)."""
-    for batch in batches:
-        at = 0
-        while at < batch.num_rows:
-            part = batch.slice(at, size)
-            while part.num_rows > 1 and part.columns[-1].nbytes > most:
-                part = part.slice(0, part.num_rows // 2)
-            at += part.num_rows
-            yield part, part.columns[-1].to_pylist()
+class Bands:
+    """Sizes in bands [low, low / t]: linked sets are in one band or in neighbours, so a set takes part in its own band and in the next."""
 
+    def __init__(self, num: int, den: int):
+        low = [1]
+        while low[-1] < 1 << 40:
+            low.append(low[-1] * den // num + 1)
+        self.low = np.array(low[:-1], dtype=np.int64)
+        high = np.array(low[1:], dtype=np.int64) - 1
+        #: Most n-grams that two linked sets of the band differ in; spare parts, more where the parts are so small that some are empty; parts.
+        self.differ = (den - num) * 2 * high // (den + num)
+        self.spare = 3 + self.differ * 5 * (den - num) // (3 * den)
+        self.parts = self.differ + 1 + self.spare
 
-def frequent(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted n-grams that are frequent in chunks of documents, and how many documents of such chunks have them."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def found() -> pa.RecordBatch:
-            gram, count = np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True)
-            often = count >= max(4, n // SHARE)
-            return pa.RecordBatch.from_arrays([pa.array(gram[often].view(np.int64)), pa.array(count[often])], ["gram", "n"])
-
-        for _, texts in _batches(batches):
-            held += shingles(Words(texts), k)
-            n += len(texts)
-            if n >= CHUNK:
-                yield found()
-                held, n = [], 0
-        yield found()
-
-    rows = docs.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = rows.orderBy(F.desc("n"), "gram").limit(KNOWN).toPandas().sort_values("gram")
-    gram, n = rows["gram"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy().astype(np.int64)
-    order = np.argsort(gram)
-    return gram[order], n[order]
-
-
-def _prefix(grams: np.ndarray, size: int, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first ``size`` of sorted ``grams``: unknown ones by value, then known ones from the rarest on."""
-    if not len(known[0]):
-        return grams[:size]
-    at = np.minimum(np.searchsorted(known[0], grams), len(known[0]) - 1)
-    often = known[0][at] == grams
-    rare = grams[~often]
-    if len(rare) >= size:
-        return rare[:size]
-    last = grams[often]
-    return np.concatenate([rare, last[np.lexsort((last, known[1][at[often]]))][: size - len(rare)]])
-
-
-def _sets(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int, known) -> DataFrame:
-    """doc_id, n, node (64 bits of the set's signature), check (64 more), prefix; one row a document."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+def tokens(grams: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows of ``size`` sorted ``grams`` each: row, token and need of each of their parts.
+
+    A token stands for a part, the n-grams in it and its band.  Linked rows share at least ``need`` tokens of one band, whichever's need is taken: e + 1 parts are
+    equal, and those of them that are empty have no token.  A row with more than e empty parts has tokens for these too, and needs one.
+    """
+    rows, found, needs = [], [], []
+    of = np.repeat(np.arange(len(size)), size)
+    own = np.searchsorted(bands.low, size, side="right") - 1
+    with np.errstate(over="ignore"):
+        mixed = mix(grams)
+        for next_ in (0, 1):
+            band = own + next_
+            on = (size > 0) & (bands.differ[band] > 0)
+            if not on.any():
+                continue
+            use = on[of]
+            g, x, at = grams[use], mixed[use], of[use]
+            part = ((g >> np.uint64(32)) * bands.parts[band].astype(np.uint64)[at]) >> np.uint64(32)
+            start = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (part[1:] != part[:-1])]))
+            row, part, value = at[start], part[start], np.add.reduceat(x, start)
+            empty = bands.parts[band] - np.bincount(row, minlength=len(size))
+            over = on & (empty > bands.spare[band])
+            for r in np.flatnonzero(over):
+                idle = np.setdiff1d(np.arange(bands.parts[band[r]], dtype=np.uint64), part[row == r])
+                row, part, value = np.concatenate([row, np.full(len(idle), r)]), np.concatenate([part, idle]), np.concatenate([value, np.zeros(len(idle), np.uint64)])
+            b = band[row].astype(np.uint64)
+            token = mix(value ^ mix(part * np.uint64(4096) + b + np.uint64(1))) >> np.uint64(64 - TOKEN_BITS)
+            rows.append(row)
+            found.append(token & ~np.uint64(1) | b & np.uint64(1))
+            needs.append(np.where(over, 1, bands.spare[band] + 1 - empty)[row])
+    if not rows:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    row = np.concatenate(rows)
+    order = np.argsort(row, kind="stable")
+    return row[order], np.concatenate(found)[order].view(np.int64), np.concatenate(needs)[order]
+
+
+def _signature(g: np.ndarray) -> tuple[int, int]:
+    with np.errstate(over="ignore"):
+        node, check = np.sum(mix(g), dtype=np.uint64), np.bitwise_xor.reduce(mix(g + np.uint64(len(g)))) if len(g) else np.uint64(0)
+    return int(node.view(np.int64)), int(np.uint64(check).view(np.int64))
+
+
+def _lists(values: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(values))
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, key, text; rows with one key are repetitions of one row."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+
+
+def _sets(rows: DataFrame, k: int) -> DataFrame:
+    """doc_id, key, n, node (64 bits of the set's signature), check (64 more); one row a document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _batches(batches):
-            made = []
-            for g in shingles(Words(texts), k):
-                n = len(g)
-                with np.errstate(over="ignore"):
-                    node, check = np.sum(mix(g), dtype=np.uint64), np.bitwise_xor.reduce(mix(g + np.uint64(n))) if n else np.uint64(0)
-                prefix = _prefix(g, n - -(-num * n // den) + 1 if n else 0, shared.value)
-                made.append((n, int(node.view(np.int64)), int(np.uint64(check).view(np.int64)), prefix.view(np.int64)))
-            n, node, check, prefix = zip(*made)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["doc_id", "n", "node", "check", "prefix"],
-            )
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"))
-    return rows.mapInArrow(run, "doc_id long, n long, node long, check long, prefix array<bigint>")
-
-
-def _whole_sets(docs: DataFrame, doc_id: str, text: str, k: int, nodes: DataFrame) -> DataFrame:
-    """node, grams: the whole sets of ``nodes`` (node, rep), formed again from the texts of one document each."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text"))
-    few = nodes.count() <= BROADCAST_IDS
-    reps = nodes.select(F.col("rep").alias("__rep")).distinct()
-    rows = rows.join(F.broadcast(reps) if few else reps, F.col("__id").eqNullSafe(F.col("__rep")), "left_semi")
-    wanted = spark.sparkContext.broadcast(np.sort(nodes.select("node").toPandas()["node"].to_numpy(np.int64)) if few else None)
+        for part, texts in slices(batches):
+            made = [(len(g), *_signature(g)) for g in shingles(Words(texts), k)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], *(pa.array(x, pa.int64()) for x in zip(*made))], ["doc_id", "key", "n", "node", "check"])
+
+    return rows.mapInArrow(run, "doc_id long, key long, n long, node long, check long")
+
+
+def _posted(rows: DataFrame, k: int, bands: Bands, copied: DataFrame) -> DataFrame:
+    """token, node, need: the tokens of one document of each class; ``copied`` (of, rep) names it for classes of several."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = wanted.value
-        for part, texts in _batches(batches):
-            made = list(shingles(Words(texts), k))
-            with np.errstate(over="ignore"):
-                node = np.array([np.sum(mix(g), dtype=np.uint64) for g in made], dtype=np.uint64).view(np.int64)
-            keep = range(len(made)) if only is None else np.flatnonzero(np.isin(node, only))
-            yield pa.RecordBatch.from_arrays([pa.array(node[list(keep)], pa.int64()), pa.array([made[i].view(np.int64) for i in keep], pa.list_(pa.int64()))], ["made", "grams"])
+        for part, texts in slices(batches):
+            sets = list(shingles(Words(texts), k))
+            size = np.array([len(g) for g in sets], dtype=np.int64)
+            row, token, need = tokens(np.concatenate(sets), size, bands)
+            each = np.bincount(row, minlength=len(sets))
+            node = pa.array([_signature(g)[0] for g in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(1), node, _lists(token, each), _lists(need.astype(np.int32), each)], ["key", "node", "token", "need"])
 
-    sets = rows.select("__text").mapInArrow(run, "made long, grams array<bigint>")
-    if not few:
-        sets = sets.join(nodes.select("node"), F.col("made") == F.col("node"), "left_semi")
-    return sets.groupBy(F.col("made").alias("node")).agg(F.first("grams").alias("grams"))
+    made = rows.mapInArrow(run, "key long, node long, token array<bigint>, need array<int>")
+    one = made.join(copied, made["node"] == copied["of"], "left").where(F.col("rep").isNull() | (F.col("rep") == F.col("key")))
+    return one.select("node", F.explode(F.arrays_zip("token", "need")).alias("x")).select("x.token", "node", "x.need")
 
 
-def _bound(a: Column, b: Column, num: int, den: int) -> Column:
-    """The least overlap of two sets of sizes a and b with a similarity of num / den."""
-    return F.ceil((a + b) * num / F.lit(num + den))
+def _edges(posts: DataFrame) -> DataFrame:
+    """a, b, w: chains of nodes that share enough tokens, by way of the first node of each token; w counts whom ``a`` meets there.
 
+    Of the tokens of a band that a node shares with others, the need - 1 most frequent are left out: linked nodes share one of the others still.
+    """
+    same, mine = Window.partitionBy("token"), Window.partitionBy("node", F.col("token").bitwiseAND(F.lit(1)))
+    shared = posts.select("token", "node", "need", F.count("*").over(same).alias("c"), F.min("node").over(same).alias("first")).where("c > 1")
+    ranked = shared.withColumn("rank", F.dense_rank().over(mine.orderBy("c", "token"))).withColumn("all", F.max("rank").over(mine))
+    kept = ranked.where(F.col("rank") <= F.col("all") - F.col("need") + 1)
+    return kept.groupBy(F.col("node").alias("a"), F.col("first").alias("b")).agg(F.sum("c").alias("w"))
 
-def _near_sizes(a: Column, b: Column, num: int, den: int) -> Column:
-    return (F.least(a, b) * den) >= (F.greatest(a, b) * num)
 
+def linked_in_block(grams: np.ndarray, size: np.ndarray, left: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links of rows of ``size`` grams each, of which one at least is in ``left``.
 
-def linked_in_block(grams: list[np.ndarray], left: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between rows of a block, of which one at least is in ``left``; overlaps add up over blocks of columns."""
-    size = np.array([len(g) for g in grams], dtype=np.int64)
-    of = np.repeat(np.arange(len(grams)), size)
-    gram, column = np.unique(np.concatenate(grams), return_inverse=True)
-    often = np.bincount(column, minlength=len(gram)) > 1
-    place = np.cumsum(often) - 1
-    use = often[column]
-    column, of = place[column[use]], of[use]
+    Overlaps add up over ranges of columns; a row leaves when none of its pairs can reach the least overlap for their sizes any more.
+    """
+    of = np.repeat(np.arange(len(size)), size)
+    _, column, often = np.unique(grams, return_inverse=True, return_counts=True)
+    use = often[column] > 1
+    column, of = (np.cumsum(often > 1) - 1)[column[use]], of[use]
     order = np.argsort(column, kind="stable")
     column, of = column[order], of[order]
-    overlap = np.zeros((len(grams), len(grams)), dtype=np.float32)
-    for c in range(0, int(often.sum()), COLUMNS):
-        a, b = np.searchsorted(column, [c, c + COLUMNS])
-        part = np.zeros((len(grams), COLUMNS), dtype=np.float32)
-        part[of[a:b], column[a:b] - c] = 1
-        overlap += part @ part.T
-    inter = overlap.astype(np.int64)
-    linked = (den * inter >= num * (size[:, None] + size[None, :] - inter)) & (left[:, None] | left[None, :])
-    linked[np.tril_indices(len(grams))] = False
-    parent = list(range(len(grams)))
+    rows = np.arange(len(size))
+    a, b, rest = np.flatnonzero(left), rows, np.bincount(of, minlength=len(size)).astype(np.float32)
+    need = -(-(size[a][:, None] + size[None, :]) * num // (num + den))
+    overlap = np.zeros((len(a), len(b)), dtype=np.float32)
+    end = int(column[-1]) + 1 if len(column) else 0
+    for c in range(0, end, COLUMNS):
+        possible = overlap + np.minimum(rest[a][:, None], rest[b][None, :]) >= need
+        in_a, in_b = possible.any(axis=1), possible.any(axis=0)
+        if not in_a.any():
+            break
+        a, b, need, overlap = a[in_a], b[in_b], need[in_a][:, in_b], overlap[in_a][:, in_b]
+        i, j = np.searchsorted(column, [c, c + COLUMNS])
+        part = np.zeros((len(size), min(COLUMNS, end - c)), dtype=np.float32)
+        part[of[i:j], column[i:j] - c] = 1
+        overlap += part[a] @ part[b].T
+        rest -= np.bincount(of[i:j], minlength=len(size))
+    parent = list(range(len(size)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -173,108 +175,79 @@ def linked_in_block(grams: list[np.ndarray], left: np.ndarray, num: int, den: in
         return x
 
     forest = []
-    for a, b in zip(*np.nonzero(linked)):
-        ra, rb = root(int(a)), root(int(b))
+    for i, j in zip(*np.nonzero(overlap >= need)):
+        ra, rb = root(int(a[i])), root(int(b[j]))
         if ra != rb:
             parent[ra] = rb
-            forest.append((int(a), int(b)))
+            forest.append((int(a[i]), int(b[j])))
     return forest
 
 
-def _more_known(known: tuple[np.ndarray, np.ndarray], often: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
-    """The known frequent n-grams and those in many prefixes; None if there is no new one, or no room."""
-    new = often.orderBy(F.desc("df"), "gram").limit(KNOWN).toPandas()
-    gram, df = new["gram"].to_numpy(np.int64).view(np.uint64), new["df"].to_numpy(np.int64)
-    fresh = ~np.isin(gram, known[0])
-    if not fresh.any() or len(known[0]) + fresh.sum() > KNOWN:
-        return None
-    gram, df = np.concatenate([known[0], gram[fresh]]), np.concatenate([known[1], df[fresh]])
-    order = np.argsort(gram)
-    return gram[order], df[order]
-
-
-def _blocks(members: DataFrame, keys: list[str], sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) within the groups of ``keys`` of ``members`` (node, left, ...); the groups are bounded by their making."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        grams = [np.asarray(g, dtype=np.int64) for g in group["grams"]]
-        node = group["node"].to_numpy()
-        pairs = linked_in_block(grams, group["left"].to_numpy(dtype=bool), num, den) if len(grams) > 1 else []
-        return pd.DataFrame({"a": [node[a] for a, _ in pairs], "b": [node[b] for _, b in pairs]}, dtype="int64")
+def _products(rows: DataFrame, cells: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) in the blocks of ``cells`` (node, rep, family, i, j, left).  Each set is formed once, from its document's text, and sent to its blocks."""
+    wanted = cut(cells.groupBy("node", "rep").agg(F.collect_list(F.struct("family", "i", "j", "left")).alias("cells")))
+    few = wanted.count() <= BROADCAST_IDS
+    found = rows.join(F.broadcast(wanted) if few else wanted, rows["key"] == wanted["rep"]).select("node", "cells", "text")
 
-    return members.join(sets, "node").groupBy(*keys).applyInPandas(run, "a long, b long")
-
-
-def _salted(key: str, salt: int, blocks: Column) -> Column:
-    return F.pmod(F.xxhash64(F.col(key), F.lit(salt)), blocks)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The links among pairs (a, b, na, nb), by the overlap of the whole sets."""
-    fetched = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    inter = F.size(F.array_intersect("ga", "gb")).cast("long")
-    return fetched.select("a", "b", "na", "nb", inter.alias("inter")).where(F.col("inter") * den >= (F.col("na") + F.col("nb") - F.col("inter")) * num).select("a", "b")
-
-
-def _told(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members of n-grams whose classes are not all in one component yet, with ``label``, and ``most``, the label of the largest part of the n-gram's."""
-    told = members.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    parts = told.groupBy("gram", "label").agg(F.count("*").alias("k"))
-    most = parts.groupBy("gram").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.max("k").alias("largest"), F.sum("k").alias("all"))
-    return cut(told.join(most.where(F.col("all") > F.col("largest")), "gram"))
-
-
-def _ordered(rows: DataFrame) -> DataFrame:
-    """Pairs x, y (node, n) as a < b with their sizes."""
-    e = F.when(F.col("x.node") < F.col("y.node"), F.struct("x", "y")).otherwise(F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
-    return rows.select(e.alias("e")).select(F.col("e.x.node").alias("a"), F.col("e.y.node").alias("b"), F.col("e.x.n").alias("na"), F.col("e.y.n").alias("nb"))
-
-
-def _often_links(members: DataFrame, prefixes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links of classes that share an n-gram that is in many prefixes: enough of them for the components.
-
-    First each class is compared with a few pivots of its n-grams, the same for all who share them; near copies mostly meet there, and pairs stay linear in number.  Later turns
-    do so with the classes outside an n-gram's largest component, against pivots inside it.  What is still outside is compared with all that share an n-gram with it, as
-    pairs, or in blocks where these would be many; links inside one component would tell nothing new.
-    """
-    members, found = cut(members), None
-    one = F.struct("node", "n")
-    rest = inside = members
-    for turn in range(TURNS):
-        pivots = inside.groupBy("gram").agg(F.array_distinct(F.array(*[F.min_by(one, F.xxhash64("node", F.lit(PIVOTS * turn + i))) for i in range(PIVOTS)])).alias("pivots"))
-        rows = rest.join(pivots, "gram").select(one.alias("x"), F.explode("pivots").alias("y")).where("x.node <> y.node").where(_near_sizes(F.col("x.n"), F.col("y.n"), num, den))
-        new = cut(_verified(_ordered(rows).distinct(), sets, num, den))
-        found = new if found is None else found.unionByName(new)
-        told = _told(members, found)
-        rest, inside = told.where("label <> most"), told.where("label = most")
-        if told.isEmpty():
-            return found
-    size = F.col("all") - F.col("largest")
-    few = size * F.col("all") <= PAIRS
-    x = rest.where(few).select("gram", one.alias("x"), F.col("label").alias("lx"))
-    y = told.where(few).select("gram", one.alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("most")).alias("in_most"))
-    rows = x.join(y, "gram").where((F.col("lx") != F.col("ly")) & (F.col("in_most") | (F.col("x.node") < F.col("y.node"))) & _near_sizes(F.col("x.n"), F.col("y.n"), num, den))
-    pairs = _ordered(rows).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    # Here the shared columns that are not frequent are at most those of the prefixes.
-    rare = prefixes.select("node", "rare")
-    of = lambda c: rare.select(F.col("node").alias(c), F.col("rare").alias(f"r{c}"))
-    most = F.col("c") + F.least("ra", "rb") + F.ceil(F.greatest("na", "nb") * num / F.lit(den)) - 1
-    pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(most >= _bound(F.col("na"), F.col("nb"), num, den))
-    found = found.unionByName(cut(_verified(pairs.select("a", "b", "na", "nb"), sets, num, den)))
-    large = told.where(~few).withColumn("rests", F.ceil(size / BLOCK)).withColumn("blocks", F.ceil(F.col("all") / BLOCK))
+    def form(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches):
+            made = list(shingles(Words(texts), k))
+            same = np.flatnonzero([_signature(g)[0] == node for g, node in zip(made, part.column(0).to_pylist())])
+            grams = _lists(np.concatenate([made[i].view(np.int64) for i in same] or [np.empty(0, np.int64)]), np.array([len(made[i]) for i in same], dtype=np.int64))
+            own = part.take(pa.array(same, pa.int64()))
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), grams], ["node", "cells", "grams"])
+
+    def multiply(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, first, again = np.unique(table["node"].to_numpy(), return_index=True, return_inverse=True)
+        left = np.bincount(again, weights=table["left"].to_numpy()) > 0
+        sets = table["grams"].combine_chunks().take(pa.array(first))
+        grams, size = sets.flatten().to_numpy(), np.diff(sets.offsets.to_numpy())
+        pairs = linked_in_block(grams, size.astype(np.int64), left, num, den) if len(node) > 1 else []
+        return pa.table({"a": pa.array([node[a] for a, _ in pairs], pa.int64()), "b": pa.array([node[b] for _, b in pairs], pa.int64())})
+
+    sets = found.mapInArrow(form, "node long, cells array<struct<family: bigint, i: bigint, j: bigint, left: boolean>>, grams array<bigint>")
+    sets = sets.select("node", "grams", F.explode("cells").alias("x")).select("x.family", "x.i", "x.j", "x.left", "node", "grams")
+    out = cut(sets.groupBy("family", "i", "j").applyInArrow(multiply, "a long, b long"))
+    discard(wanted)
+    return out
+
+
+def _dealt(salt: int, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(salt)), blocks)
+
+
+def _upto(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+
+def _links(rows: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) of nodes (node, rep) within the families that ``edges`` span: enough of them for the components."""
+    popular = edges.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("w"))
+    members = components(edges.select("a", "b")).withColumnRenamed("label", "family").join(popular, "node", "left").join(nodes, "node")
+    members = cut(members.select("node", "rep", "family", F.coalesce("w", F.lit(0)).alias("w")))
+    sizes = members.groupBy("family").agg(F.count("*").alias("all"))
+    zero, yes, no = F.lit(0).cast("long"), F.lit(True), F.lit(False)
+    large = cut(members.join(sizes.where(F.col("all") > BLOCK), "family").withColumn("blocks", F.ceil(F.col("all") / BLOCK)))
+    small = members.join(large.select("family").distinct(), "family", "left_anti").select("node", "rep", "family", zero.alias("i"), zero.alias("j"), yes.alias("left"))
+    best = [F.max_by(F.struct("node", "rep"), F.struct(F.when(_dealt(i, F.lit(PIVOTS)) == 0, F.col("w")).otherwise(-1), "node")).alias(f"p{i}") for i in range(PIVOTS)]
+    pivots = large.groupBy("family").agg(F.max("blocks").alias("blocks"), *best).select("family", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("p"), "blocks")
+    pivots = pivots.select("p.node", "p.rep", "family", _upto(F.col("blocks")).alias("i"), zero.alias("j"), yes.alias("left"))
+    chunks = large.select("node", "rep", "family", _dealt(7, F.col("blocks")).alias("i"), zero.alias("j"), no.alias("left"))
+    found = _products(rows, small.unionByName(pivots).unionByName(chunks), k, num, den)
     if large.isEmpty():
         return found
-    left = large.where("label <> most").withColumn("i", _salted("node", 3, F.col("rests"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    every = large.withColumn("j", _salted("node", 4, F.col("blocks"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)))
-    keys = ["gram", "i", "j", "node"]
-    both = left.select(*keys, F.lit(True).alias("left")).unionByName(every.select(*keys, F.lit(False).alias("left"))).groupBy(*keys).agg(F.max("left").alias("left"))
-    return found.unionByName(cut(_blocks(both, ["gram", "i", "j"], sets, num, den)))
+    told = large.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    most = told.groupBy("family", "label").agg(F.count("*").alias("k")).groupBy("family").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.max("k").alias("largest"))
+    told = cut(told.join(most, "family").where("all > largest").withColumn("rests", F.ceil((F.col("all") - F.col("largest")) / BLOCK)))
+    rest = told.where("label <> most").select("node", "rep", "family", _dealt(3, F.col("rests")).alias("i"), _upto(F.col("blocks")).alias("j"), yes.alias("left"))
+    every = told.select("node", "rep", "family", _upto(F.col("rests")).alias("i"), _dealt(4, F.col("blocks")).alias("j"), no.alias("left"))
+    return found if told.isEmpty() else found.unionByName(_products(rows, rest.unionByName(every), k, num, den))
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node that links (a, b) reach, for each node that has links; by alternating large and small stars."""
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    edges, state = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
     while True:
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
@@ -282,7 +255,8 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = cut(small.where("u <> v").distinct())
+        before, edges = edges, cut(small.where("u <> v").distinct())
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
@@ -294,40 +268,17 @@ def classes(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int)
 
     A text with fewer than k words is one shingle, its whole sequence; one without words, or null, is empty, linked with nothing and its own component.  The component is
     named by its smallest doc_id (null if it has only null ids).  Repeated rows stay and are linked; columns other than the two named are not read; an
-    empty table gives an empty table.  N-grams are compared as 64-bit hashes.
+    empty table gives an empty table.  N-grams and sets are compared as 64-bit hashes.
     """
-    known = frequent(docs, text, k)
-    for last in range(ROUNDS):
-        sets = cut(_sets(docs, doc_id, text, k, num, den, known))
-        nodes = cut(sets.where("n > 0").groupBy("node", "check", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")))
-        postings = nodes.select("node", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("gram"))
-        often = cut(postings.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") > RARE))
-        if last == ROUNDS - 1 or (more := _more_known(known, often)) is None:
-            break
-        known = more
-        discard(sets)
-        discard(nodes)
-    hot = often.select("gram")
-    hot = F.broadcast(hot) if often.count() <= BROADCAST_IDS else hot
-    rare = postings.join(hot, "gram", "left_anti")
-    x, y = rare.select("gram", F.col("node").alias("a"), F.col("n").alias("na")), rare.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"))
-    met = x.join(y, (x["gram"] == y["gram"]) & (F.col("a") < F.col("b")) & _near_sizes(F.col("na"), F.col("nb"), num, den))
-    # A pair's overlap is at most what its prefixes share here, the frequent columns they may share, and what follows the prefixes.
-    pairs = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    held = postings.join(hot, "gram", "left_semi").select("gram", "node", "n")
-    many = held.groupBy("node").agg(F.count("*").alias("o"))
-    of = lambda c: many.select(F.col("node").alias(c), F.col("o").alias(f"o{c}"))
-    follows = F.ceil(F.greatest("na", "nb") * num / F.lit(den)) - 1
-    most = F.col("c") + F.least(F.coalesce("oa", F.lit(0)), F.coalesce("ob", F.lit(0))) + follows
-    pairs = cut(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(most >= _bound(F.col("na"), F.col("nb"), num, den)).select("a", "b", "na", "nb"))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(held.select("node")).distinct()
-    whole = cut(_whole_sets(docs, doc_id, text, k, cut(nodes.select("node", "rep").join(needed, "node", "left_semi"))))
-    links = _verified(pairs, whole, num, den)
-    if not often.isEmpty():
-        prefixes = nodes.join(many, "node").select("node", (F.size("prefix") - F.col("o")).alias("rare"))
-        links = links.unionByName(_often_links(held, prefixes, whole, num, den))
-    labels = components(links)
-    told = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = told.join(told.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select(F.col("node").alias("of"), "component_id")
+    rows = _keyed(docs, doc_id, text)
+    sets = cut(_sets(rows, k))
+    same = sets.where("n > 0").groupBy("node", "check", "n").agg(F.min("doc_id").alias("least"), F.min("key").alias("rep"), F.count("*").alias("copies"))
+    nodes = cut(same.select("node", "least", "rep", "copies"))
+    several = nodes.where("copies > 1")
+    copied = several.select(F.col("node").alias("of"), "rep")
+    edges = cut(_edges(_posted(rows, k, Bands(num, den), F.broadcast(copied) if several.count() <= BROADCAST_IDS else copied)))
+    labels = components(_links(rows, nodes.select("node", "rep"), edges, k, num, den))
+    told = nodes.join(labels, "node", "left").where("copies > 1 OR label IS NOT NULL").select("node", "least", F.coalesce("label", "node").alias("label"))
+    named = told.join(told.groupBy("label").agg(F.min("least").alias("component_id")), "label").select(F.col("node").alias("of"), "component_id")
     out = sets.join(cut(named), (F.col("node") == F.col("of")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

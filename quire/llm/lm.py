@@ -21,9 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.jaccard import _batches
 from quire.llm.shared import cut
-from quire.llm.text_hash import Words, mix
+from quire.llm.text_hash import Words, mix, slices
 
 #: Classes, slots of a class (OWN of them for single words), buckets that words enter features by (HEAD of them for single words).
 CLASSES, SLOTS, OWN = 64, 64, 48
@@ -130,7 +129,7 @@ def _count_words(docs: DataFrame, text: str) -> DataFrame:
             cls = np.concatenate([c for _, c in held])[first]
             return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(cls), pa.array(n)], ["word", "cls", "n"])
 
-        for _, texts in _batches(batches):
+        for _, texts in slices(batches):
             t = Tokens(texts)
             held.append((t.hash, t.cls))
             size += len(t.hash)
@@ -180,7 +179,7 @@ def _cells(docs: DataFrame, text: str, vocabulary) -> DataFrame:
         from pyspark import TaskContext
 
         cells = np.zeros(_CELLS)
-        for _, texts in _batches(batches, 2000):
+        for _, texts in slices(batches, 2000):
             t = Tokens(texts)
             vocabulary.value.look_up(t)
             cells[:_FIRST] += np.bincount(t.context * CLASSES + t.cls, minlength=_FIRST)
@@ -303,7 +302,7 @@ def score(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             table[new] = weights.log_softmax(side, new) / np.log(10)
             return table[key, outcome].astype(np.float64)
 
-        for part, texts in _batches(batches):
+        for part, texts in slices(batches):
             t = Tokens(texts)
             vocab.look_up(t)
             rare = t.at < 0

@@ -6,9 +6,10 @@ taken as a difference of prefix sums, and then mixed.  Two of n different words
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes whose prefix sums are formed at once.
 SPAN = 1 << 19
@@ -93,3 +94,15 @@ def shingles(words: Words, k: int) -> Iterator[np.ndarray]:
                 yield one
             else:
                 yield h[:0]
+
+
+def slices(batches: Iterable[pa.RecordBatch], size: int = 500, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of up to ``size`` rows, and of about ``most`` bytes, with their texts (the last column)."""
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, size)
+            while part.num_rows > 1 and part.columns[-1].nbytes > most:
+                part = part.slice(0, part.num_rows // 2)
+            at += part.num_rows
+            yield part, part.columns[-1].to_pylist()

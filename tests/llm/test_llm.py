@@ -339,13 +339,11 @@ def brute_classes(texts, ids, k, num, den):
     return sorted(((ids[i], len(sets[i]), names.get(root(i)) if sets[i] else ids[i]) for i in range(len(sets))), key=repr)
 
 
-@pytest.mark.parametrize("rare, block, pairs, turns", [(48, 256, 50_000, 3), (3, 4, 50_000, 1), (3, 4, 0, 1)])
-def test_classes_against_brute_force(spark, monkeypatch, rare, block, pairs, turns):
-    """The second case compares frequent groups as pairs, the third in blocks."""
-    monkeypatch.setattr(jaccard, "RARE", rare)
-    monkeypatch.setattr(jaccard, "PAIRS", pairs)
-    monkeypatch.setattr(jaccard, "TURNS", turns)
+@pytest.mark.parametrize("k, num, block, few", [(3, 90, 512, 1_000_000), (3, 90, 4, 1_000_000), (5, 80, 4, 0)])
+def test_classes_against_brute_force(spark, monkeypatch, k, num, block, few):
+    """The second and third case compare families in blocks, the third joins by shuffles."""
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", few)
     rnd = random.Random(11)
     vocabulary = [f"w{i}" for i in range(400)]
     passage = rnd.choices(vocabulary, k=60)
@@ -361,8 +359,38 @@ def test_classes_against_brute_force(spark, monkeypatch, rare, block, pairs, tur
         texts.append(" ".join(rnd.choices(vocabulary, k=rnd.randint(30, 90)) + passage))
     texts += texts[20:26]
     ids = [None if i % 17 == 0 else i // 2 if i % 5 == 0 else i for i in range(len(texts))]
-    got = sorted((tuple(r) for r in jaccard.classes(docs(spark, texts, ids), "doc_id", "text", 3, 90, 100).collect()), key=repr)
-    assert got == brute_classes(texts, ids, 3, 90, 100)
+    got = sorted((tuple(r) for r in jaccard.classes(docs(spark, texts, ids), "doc_id", "text", k, num, 100).collect()), key=repr)
+    assert got == brute_classes(texts, ids, k, num, 100)
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_linked_sets_share_as_many_tokens_as_they_need(num):
+    rng, bands = np.random.default_rng(num), jaccard.Bands(num, 100)
+    for n in [*range(2, 60), 100, 300, 1000, 4000]:
+        a = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        gone = int(rng.integers(0, n - -(-n * num // 100) + 1))
+        b = np.concatenate([a[gone:], rng.integers(0, 1 << 64, int(rng.integers(0, 3)), dtype=np.uint64)])
+        union = len(np.union1d(a, b))
+        if gone + union - n == 0 or 100 * (n - gone) < num * union:
+            continue
+        row, token, need = jaccard.tokens(np.concatenate([np.sort(a), np.sort(b)]), np.array([len(a), len(b)]), bands)
+        shared = [[t for t in token[row == 0] if t in set(token[row == 1]) and t & 1 == p] for p in (0, 1)]
+        needs = [[max(need[(row == r) & (token & 1 == p)], default=0) for r in (0, 1)] for p in (0, 1)]
+        assert any(x and len(x) >= max(w) for x, w in zip(shared, needs))
+
+
+def test_block_product():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 40, 9000)
+    sets = [np.sort(rng.choice(base, int(rng.integers(7000, 9000)), replace=False)) for _ in range(12)] + [np.sort(base[:8900]), np.sort(base[:8000])]
+    left = rng.random(len(sets)) < 0.6
+    got = jaccard.linked_in_block(np.concatenate(sets), np.array([len(s) for s in sets]), left, 90, 100)
+    linked = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if (left[a] or left[b]) and 10 * len(np.intersect1d(sets[a], sets[b])) >= 9 * len(np.union1d(sets[a], sets[b]))}
+    part = {i: i for i in range(len(sets))}
+    for a, b in got:
+        assert (min(a, b), max(a, b)) in linked
+        part = {i: part[a] if p == part[b] else p for i, p in part.items()}
+    assert linked and all(part[a] == part[b] for a, b in linked)
 
 
 def test_components(spark):
