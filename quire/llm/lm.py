@@ -3,12 +3,13 @@
 P(word | context) = P(class | context) * P(slot | class, context) * P(word | slot).  The class of a word is a hash of its last two bytes.  A class's most
 frequent words have slots of their own; its other words share hashed slots, inside which they follow their counts.  The first two factors are log-linear:
 the class has features of the word before (n-gram), of the word before that (skip) and a hash of both (n-gram), the slot has features of its class and the
-word before.  Words enter features by hashed buckets, so the model has a fixed size.
+word before.  Words enter features by buckets: frequent words by buckets of their own, the others by a hash of their ending.  The number of buckets grows with the
+training tokens, as their sixth root, so that the contexts told apart grow as their cube root.
 
-Training passes over every training token once, for counts: of words, and of (context, class) and (class, word before, slot) cells.  The cells are all that the likelihood's gradient
-depends on.  Each update is one Spark job: tasks hold parts of the cells and add up the expected counts of every feature, and the weights move by
-the gradient, scaled by the features' own counts.  Scoring is one pass of numpy over batches of texts, which
-works out the softmax for the contexts that occur; only words too rare to broadcast are joined with their counts.
+Training passes over every training token once for counts of words, and once for counts of (word before, word before that, class) and (word before, class, slot).  These cells are all that the
+likelihood's gradient depends on.  They are dealt by the word before, and so are the weights of the features that it takes part in: an update is one Spark job, in which tasks move these weights by
+their gradient and write them to the shared folder, and add up what the model expects of the few features that all share, whose gradient step the driver takes.
+Scoring is one pass of numpy over batches of texts, which works out the softmax for the contexts that occur; only words too rare to broadcast are joined with their counts.
 """
 
 from __future__ import annotations
@@ -16,33 +17,42 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import cut
+from quire.llm.shared import cut, discard
 from quire.llm.text_hash import Words, mix, slices
 
-#: Classes, slots of a class (OWN of them for single words), buckets that words enter features by (HEAD of them for single words).
+#: Classes, and slots of a class (OWN of them for single words).
 CLASSES, SLOTS, OWN = 64, 64, 48
-BUCKETS, HEAD = 128, 64
-#: Rows that the hash of both words before falls on.
-PAIRS = 8192
 #: Words with at least one TIER-th of all training tokens are broadcast: at most TIER words, whatever the corpus.
 TIER = 1 << 17
-#: Updates, and the count that is added to a feature's observed and expected counts when its step is scaled.
-UPDATES, PRIOR = 16, 2.0
-#: Tokens that a task counts at once, cells of a row of counts, and parts in which rows of counts are first added up.
-TOKENS, CELLS, PARTS = 1 << 21, 8192, 64
+#: Updates, steps of an update on the weights that tasks hold, and the count that is added to a feature's observed and expected counts when its step is scaled.
+UPDATES, STEPS, PRIOR = 8, 3, 2.0
+#: Tokens that a task counts at once, cells that it holds before it sends them on, and tasks of an update at most.
+TOKENS, HELD, TASKS = 1 << 19, 1 << 21, 16
 #: Added to every word's count.
 ADD = 0.1
 
 END = np.uint64(0xE7D0C0DE5EED0001)
-_FIRST = CLASSES * BUCKETS * BUCKETS
-_CELLS = _FIRST + CLASSES * BUCKETS * SLOTS
 _CLASS = (mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(77)) % np.uint64(CLASSES)).astype(np.int64)
-_TAIL = (mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(99)) % np.uint64(BUCKETS - HEAD)).astype(np.int64) + HEAD
+
+
+class Sizes:
+    """Buckets that words enter features by, how many of them are single words', and rows of each word before for its pairs with the word before that."""
+
+    def __init__(self, tokens: int):
+        self.buckets = 1 << max(5, round(np.log2(max(2, tokens)) / 6 + 3.5))
+        self.head, self.pairs = self.buckets * 3 // 4, self.buckets // 2
+        #: Cells of one word before: those of the class side, then those of the slot side.
+        self.first = self.buckets * CLASSES
+        self.cells = self.first + CLASSES * SLOTS
+        self.tail = (mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(99)) % np.uint64(self.buckets - self.head)).astype(np.int64) + self.head
+
+    def pair(self, b1, b2):
+        """The row, among those of ``b1``, that a pair of buckets is hashed to."""
+        return (mix((b1 * self.buckets + b2).astype(np.uint64) + np.uint64(5)) % np.uint64(self.pairs)).astype(np.int64)
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -73,7 +83,7 @@ class Vocabulary:
     def __init__(self, words: np.ndarray, cls: np.ndarray, n: np.ndarray, total: int, distinct: int, sums: dict[tuple[int, int], tuple[int, int]]):
         order = np.argsort(words)
         self.words, self.n, cls = words[order], n[order], cls[order]
-        self.total, self.distinct = total, distinct
+        self.total, self.distinct, self.sizes = total, distinct, Sizes(total)
         self.base = np.log10(total + ADD * (distinct + 1))
         self.slot, self.bucket = np.full(len(words), -1), np.full(len(words), -1)
         best, used, heads = np.lexsort((self.words, -self.n)), [0] * CLASSES, 1
@@ -85,14 +95,14 @@ class Vocabulary:
                 self.slot[i] = used[c]
                 used[c] += 1
                 shared[c, shared_slot(self.words[i])] -= (self.n[i], 1)
-            if heads < HEAD:
+            if heads < self.sizes.head:
                 self.bucket[i] = heads
                 heads += 1
         #: What a word of a shared slot is divided by: all its words' counts, and one more word for all that training did not see.
         self.inside = np.log10(shared[:, :, 0] + ADD * (shared[:, :, 1] + 1))
 
     def look_up(self, t: Tokens) -> None:
-        """Give tokens their place among the frequent words (or -1), slot, bucket, and the buckets of the two tokens before."""
+        """Give tokens their place among the frequent words (or -1), slot, and the buckets of the two tokens before (0 before the first)."""
         if len(self.words):
             at = np.minimum(np.searchsorted(self.words, t.hash), len(self.words) - 1)
             t.at = np.where(self.words[at] == t.hash, at, -1)
@@ -102,14 +112,13 @@ class Vocabulary:
             t.at = t.slot = bucket = np.full(len(t.hash), -1)
         t.own = t.slot >= 0
         t.slot = np.where(t.own, t.slot, shared_slot(t.hash))
-        bucket = np.where(bucket >= 0, bucket, _TAIL[t.tail])
+        bucket = np.where(bucket >= 0, bucket, self.sizes.tail[t.tail])
         starts = t.ends - t.n + 1
         t.b1, t.b2 = np.concatenate([[0], bucket[:-1]]), np.concatenate([[0, 0], bucket[:-2]])[: len(bucket)]
         t.b1[starts] = 0
         t.b2[starts] = 0
         second = starts[t.n > 1] + 1
         t.b2[second] = 0
-        t.context = t.b1 * BUCKETS + t.b2
 
 
 def shared_slot(word):
@@ -152,128 +161,188 @@ def _vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(rows["word"].to_numpy(np.int64).view(np.uint64), rows["cls"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), total, distinct, {(r.cls, r.slot): (r.n, r.v) for r in sums})
 
 
-def _added_up(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Element-wise sums of ``counts`` (binary of doubles) for each group; groups are bounded by the parts that tasks are dealt to."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        out = group.iloc[:1][keys].copy()
-        out["counts"] = [np.sum([np.frombuffer(x) for x in group["counts"]], axis=0).tobytes()]
-        return out
-
-    return rows.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} int" for k in keys) + ", counts binary")
-
-
-def _dense(values: np.ndarray, part: int) -> pa.RecordBatch:
-    """Rows (block, part, counts) of the blocks that hold anything."""
-    values = np.concatenate([values, np.zeros(-len(values) % CELLS)]).reshape(-1, CELLS)
-    blocks = np.flatnonzero(values.any(axis=1))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(blocks, pa.int32()), pa.array([part] * len(blocks), pa.int32()), pa.array([values[b].tobytes() for b in blocks], pa.binary())], ["block", "part", "counts"]
-    )
-
-
 def _cells(docs: DataFrame, text: str, vocabulary) -> DataFrame:
-    """block, counts: how often each cell occurs in the texts."""
+    """before, counts (float32): how often each cell of a bucket of the word before occurs in the texts."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary.value
+        sizes = vocab.sizes
+        keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def sent() -> pa.RecordBatch:
+            before = keys // sizes.cells
+            start = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
+            ends = pa.array(np.concatenate([start, [len(keys)]]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (keys % sizes.cells, n)]
+            return pa.RecordBatch.from_arrays([pa.array(before[start], pa.int32()), *lists], ["before", "cell", "n"])
 
-        cells = np.zeros(_CELLS)
         for _, texts in slices(batches, 2000):
             t = Tokens(texts)
-            vocabulary.value.look_up(t)
-            cells[:_FIRST] += np.bincount(t.context * CLASSES + t.cls, minlength=_FIRST)
-            cells[_FIRST:] += np.bincount((t.cls * BUCKETS + t.b1) * SLOTS + t.slot, minlength=_CELLS - _FIRST)
-        yield _dense(cells, TaskContext.get().partitionId() % PARTS)
-
-    rows = docs.select(text).mapInArrow(run, "block int, part int, counts binary")
-    return _added_up(_added_up(rows, ["block", "part"]).select("block", "counts"), ["block"])
+            vocab.look_up(t)
+            at = t.b1 * sizes.cells
+            both = np.concatenate([at + t.b2 * CLASSES + t.cls, at + sizes.first + t.cls * SLOTS + t.slot])
+            for i in range(0, len(both), TOKENS):
+                key, m = np.unique(both[i : i + TOKENS], return_counts=True)
+                keys, again = np.unique(np.concatenate([keys, key]), return_inverse=True)
+                n = np.bincount(again, weights=np.concatenate([n, m])).astype(np.int64)
+                if len(keys) > HELD:
+                    yield sent()
+                    keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(keys):
+            yield sent()
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, sums = vocabulary.value.sizes.cells, {}
+        for batch in batches:
+            for b, cell, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                sums.setdefault(b, np.zeros(cells))[cell.values.to_numpy()] += n.values.to_numpy()
+        for b, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["before", "counts"])
 
+    rows = docs.select(text).mapInArrow(count, "before int, cell array<int>, n array<int>")
+    return rows.repartition("before").mapInArrow(add, "before int, counts binary")
 
-class Weights:
-    """Rows of the features: class side (bias, word before, skip, hash of both), slot side (class, class and word before)."""
 
-    NAMES = ("bias", "before", "skip", "both", "slot", "slot_before")
+class Shared:
+    """Weights that all contexts share, or their observed or expected counts: class bias, class by the word before last, slot of a class."""
 
-    def __init__(self, parts: dict[str, np.ndarray] | None = None):
-        self.parts = parts or {
-            "bias": np.zeros((1, CLASSES)), "before": np.zeros((BUCKETS, CLASSES)), "skip": np.zeros((BUCKETS, CLASSES)), "both": np.zeros((PAIRS, CLASSES)),
-            "slot": np.zeros((CLASSES, SLOTS)), "slot_before": np.zeros((CLASSES * BUCKETS, SLOTS)),
-        }
+    def __init__(self, sizes: Sizes, flat: np.ndarray | None = None):
+        shapes = {"bias": (CLASSES,), "skip": (sizes.buckets, CLASSES), "slot": (CLASSES, SLOTS)}
+        ends = np.cumsum([0, *(int(np.prod(x)) for x in shapes.values())])
+        self.flat = np.zeros(ends[-1]) if flat is None else flat
+        self.bias, self.skip, self.slot = (self.flat[a:b].reshape(x) for a, b, x in zip(ends, ends[1:], shapes.values()))
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.parts[k].ravel() for k in self.NAMES])
 
-    @classmethod
-    def of(cls, flat: np.ndarray) -> Weights:
-        out, at = cls(), 0
-        for k in cls.NAMES:
-            out.parts[k] = flat[at : at + out.parts[k].size].reshape(out.parts[k].shape)
-            at += out.parts[k].size
-        return out
+class Own:
+    """Weights of the features that a word before takes part in: the class by it, by its pair with the word before that, and the slot of a class by it."""
 
-    @staticmethod
-    def rows(side: str, key: np.ndarray) -> dict[str, np.ndarray]:
-        """The row of each feature that is on in a context (class side) or a class with the word before (slot side)."""
-        if side == "class":
-            return {"bias": np.zeros(len(key), np.int64), "before": key // BUCKETS, "skip": key % BUCKETS, "both": (mix(key.astype(np.uint64) + np.uint64(5)) % np.uint64(PAIRS)).astype(np.int64)}
-        return {"slot": key // BUCKETS, "slot_before": key}
+    def __init__(self, sizes: Sizes, flat: np.ndarray | None = None):
+        shapes = {"before": (CLASSES,), "pair": (sizes.pairs, CLASSES), "slot": (CLASSES, SLOTS)}
+        ends = np.cumsum([0, *(int(np.prod(x)) for x in shapes.values())])
+        self.flat = np.zeros(ends[-1]) if flat is None else flat
+        self.before, self.pair, self.slot = (self.flat[a:b].reshape(x) for a, b, x in zip(ends, ends[1:], shapes.values()))
 
-    def log_softmax(self, side: str, key: np.ndarray) -> np.ndarray:
-        x = sum(self.parts[k][i] for k, i in self.rows(side, key).items())
-        x = x - x.max(axis=1, keepdims=True)
-        return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
-    def add(self, side: str, key: np.ndarray, values: np.ndarray) -> None:
-        for k, i in self.rows(side, key).items():
-            np.add.at(self.parts[k], i, values)
+def log_softmax(x: np.ndarray) -> np.ndarray:
+    x = x - x.max(axis=-1, keepdims=True)
+    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
 
-def _of_block(block: int, counts: bytes) -> tuple[str, np.ndarray, np.ndarray]:
-    """Side, contexts and outcome counts of a row of cells; a row never holds both sides."""
-    start, width = block * CELLS, CLASSES if block * CELLS < _FIRST else SLOTS
-    x = np.frombuffer(counts).reshape(-1, width)
-    key = (start - (0 if start < _FIRST else _FIRST)) // width + np.arange(len(x))
-    seen = np.flatnonzero(x.any(axis=1))
-    return "class" if start < _FIRST else "slot", key[seen], x[seen]
+def class_scores(shared: Shared, before: np.ndarray, pair: np.ndarray, b2: np.ndarray) -> np.ndarray:
+    """What the softmax of the classes is taken of; ``before`` and ``pair`` are the rows of the contexts' own weights."""
+    return shared.bias + before + shared.skip[b2] + pair
 
 
-def _gradient_job(cells: DataFrame, weights: np.ndarray | None) -> np.ndarray:
-    """One distributed pass over the cells: observed counts of every feature (weights None), or those that the weights expect."""
-    shared = cells.sparkSession.sparkContext.broadcast(weights)
+def _moved(observed: np.ndarray, expected: np.ndarray, together: float) -> np.ndarray:
+    """A feature's step: its gradient, observed less expected count, over the mean of the two, and over the number of features that act together."""
+    return 2 * (observed - expected) / (observed + expected + 2 * PRIOR) / together
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, model = Weights(), None if shared.value is None else Weights.of(shared.value)
-        for batch in batches:
-            for row in batch.to_pylist():
-                side, key, x = _of_block(row["block"], row["counts"])
-                out.add(side, key, x if model is None else np.exp(model.log_softmax(side, key)) * x.sum(axis=1, keepdims=True))
-        yield _dense(out.flat(), 0)
 
-    rows = _added_up(cells.mapInArrow(run, "block int, part int, counts binary"), ["block"]).collect()
-    total = np.zeros(-(-len(Weights().flat()) // CELLS) * CELLS)
-    for r in rows:
-        total[r.block * CELLS : (r.block + 1) * CELLS] = np.frombuffer(r.counts)
-    shared.unpersist()
-    return total[: len(Weights().flat())]
+def _update(sizes: Sizes, shared: Shared, b1: int, counts: np.ndarray, own: Own, out: Shared, steps: int) -> None:
+    """Move ``own`` by ``steps`` gradient steps on the cells of b1, and add to ``out`` what the model then expects (steps < 0: what is observed)."""
+    of_class, of_slot = counts[: sizes.first].reshape(-1, CLASSES), counts[sizes.first :].reshape(CLASSES, SLOTS)
+    b2 = np.flatnonzero(of_class.any(axis=1))
+    seen = of_class[b2]
+    if steps < 0:
+        out.bias += seen.sum(axis=0)
+        out.skip[b2] += seen
+        out.slot += of_slot
+        return
+    row, n, m = sizes.pair(np.int64(b1), b2), seen.sum(axis=1, keepdims=True), of_slot.sum(axis=1, keepdims=True)
+    pair = np.zeros_like(own.pair)
+    np.add.at(pair, row, seen)
+    for step in range(steps + 1):
+        expected = np.exp(log_softmax(class_scores(shared, own.before, own.pair[row], b2))) * n
+        slots = np.exp(log_softmax(shared.slot + own.slot)) * m
+        if step < steps:
+            by_pair = np.zeros_like(pair)
+            np.add.at(by_pair, row, expected)
+            own.before += _moved(seen.sum(axis=0), expected.sum(axis=0), 4.0)
+            own.pair += _moved(pair, by_pair, 4.0)
+            own.slot += _moved(of_slot, slots, 2.0)
+    out.bias += expected.sum(axis=0)
+    out.skip[b2] += expected
+    out.slot += slots
 
 
-def train(cells: DataFrame, updates: int = UPDATES) -> np.ndarray:
-    """Weights after ``updates`` distributed gradient updates.
+def _job(state: DataFrame, sizes: Sizes, shared: Shared, steps: int) -> tuple[DataFrame, Shared, DataFrame]:
+    """One update: the state (before, counts, own) with its weights moved, the sums for the shared features (see ``_update``), and the files that hold both."""
+    told = state.sparkSession.sparkContext.broadcast(shared.flat)
 
-    A feature's step is its gradient, observed less expected count, over the mean of the two, and over the number of features that act together.
-    """
-    observed = _gradient_job(cells, None)
-    weights = Weights()
-    together = np.concatenate([np.full(weights.parts[k].size, 4.0 if k in ("bias", "before", "skip", "both") else 2.0) for k in Weights.NAMES])
-    seen = Weights.of(observed.copy())
-    weights.parts["bias"] = np.log(seen.parts["bias"] + PRIOR)
-    weights.parts["slot"] = np.log(seen.parts["slot"] + PRIOR)
-    flat = weights.flat()
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, now, any_ = Shared(sizes), Shared(sizes, told.value), False
+        for batch in batches:
+            for b1, counts, own in zip(*(c.to_pylist() for c in batch.columns)):
+                any_, mine = True, Own(sizes, None if own is None else np.frombuffer(own, np.float32).astype(np.float64))
+                _update(sizes, now, b1, np.frombuffer(counts, np.float32).astype(np.float64), mine, out, steps)
+                yield pa.RecordBatch.from_arrays([pa.array([b1], pa.int32()), pa.array([counts], pa.binary()), pa.array([mine.flat.astype(np.float32).tobytes()], pa.binary())], ["before", "counts", "own"])
+        if any_:
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([out.flat.tobytes()], pa.binary()), pa.array([None], pa.binary())], ["before", "counts", "own"])
+
+    new = cut(state.mapInArrow(run, "before int, counts binary, own binary"))
+    sums = [np.frombuffer(r.counts) for r in new.where("before < 0").select("counts").toLocalIterator()]
+    told.destroy()
+    return new.where("before >= 0"), Shared(sizes, np.sum([np.zeros_like(shared.flat), *sums], axis=0)), new
+
+
+def train(cells: DataFrame, sizes: Sizes, updates: int = UPDATES) -> tuple[Shared, dict[int, np.ndarray]]:
+    """The shared weights, and the own weights (float32) of each word before, after ``updates`` distributed gradient updates."""
+    state, observed, files = _job(cells.coalesce(TASKS).withColumn("own", F.lit(None).cast("binary")), sizes, Shared(sizes), -1)
+    shared = Shared(sizes)
+    shared.bias[:] = np.log(observed.bias + PRIOR)
+    shared.slot[:] = np.log(observed.slot + PRIOR)
     for _ in range(updates):
-        expected = _gradient_job(cells, flat)
-        flat = flat + 2 * (observed - expected) / (observed + expected + 2 * PRIOR) / together
-    return flat
+        old = files
+        state, expected, files = _job(state, sizes, shared, STEPS)
+        discard(old)
+        together = np.where(np.arange(len(shared.flat)) < CLASSES * (sizes.buckets + 1), 4.0, 2.0)
+        shared = Shared(sizes, shared.flat + _moved(observed.flat, expected.flat, together))
+    own = {r.before: np.frombuffer(r.own, np.float32) for r in state.select("before", "own").toLocalIterator()}
+    discard(files)
+    return shared, own
+
+
+class Model:
+    """The weights as tasks score with them: those of all words before as rows of arrays."""
+
+    def __init__(self, sizes: Sizes, shared: Shared, own: dict[int, np.ndarray]):
+        rows = np.zeros((sizes.buckets, len(Own(sizes).flat)), np.float32)
+        for b, x in own.items():
+            rows[b] = x
+        self.sizes, self.shared, self.rows = sizes, Shared(sizes, shared.flat), rows
+
+    def class_rows(self, key: np.ndarray) -> np.ndarray:
+        """log10 probability of every class in contexts ``b1 * buckets + b2``."""
+        b1, b2 = key // self.sizes.buckets, key % self.sizes.buckets
+        pair = self.rows[:, CLASSES : CLASSES * (1 + self.sizes.pairs)].reshape(self.sizes.buckets, self.sizes.pairs, CLASSES)
+        return log_softmax(class_scores(self.shared, self.rows[b1, :CLASSES], pair[b1, self.sizes.pair(b1, b2)], b2)) / np.log(10)
+
+    def slot_rows(self, key: np.ndarray) -> np.ndarray:
+        """log10 probability of every slot of a class after a word, for ``class * buckets + b1``."""
+        cls, b1 = key // self.sizes.buckets, key % self.sizes.buckets
+        slot = self.rows[:, CLASSES * (1 + self.sizes.pairs) :].reshape(self.sizes.buckets, CLASSES, SLOTS)
+        return log_softmax(self.shared.slot[cls] + slot[b1, cls]) / np.log(10)
+
+    def of_tokens(self, t: Tokens) -> np.ndarray:
+        """log10 probability of each token's class and slot."""
+
+        def told(rows, key: np.ndarray, outcome: np.ndarray) -> np.ndarray:
+            new, at = np.unique(key, return_inverse=True)
+            out = np.empty(len(key))
+            for i in range(0, len(new), 1 << 14):
+                here = (at >= i) & (at < i + (1 << 14))
+                out[here] = rows(new[i : i + (1 << 14)])[at[here] - i, outcome[here]]
+            return out
+
+        return told(self.class_rows, t.b1 * self.sizes.buckets + t.b2, t.cls) + told(self.slot_rows, t.cls * self.sizes.buckets + t.b1, t.slot)
+
+
+def fit(training: DataFrame, text: str) -> tuple[DataFrame, Vocabulary, Model]:
+    """The words' counts (word, cls, n), what of them is broadcast, and the model, from all rows of ``training``."""
+    counts = cut(_count_words(training, text))
+    own = _vocabulary(counts)
+    vocabulary = training.sparkSession.sparkContext.broadcast(own)
+    return counts, own, Model(own.sizes, *train(cut(_cells(training, text, vocabulary)), own.sizes))
 
 
 def score(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -286,27 +355,16 @@ def score(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), is_held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
     training = rows.where(~F.col("held_out"))
-    counts = cut(_count_words(training, "text"))
-    own = _vocabulary(counts)
-    vocabulary = spark.sparkContext.broadcast(own)
-    cells = cut(_cells(training, "text", vocabulary))
-    model = spark.sparkContext.broadcast(train(cells))
+    counts, own, fitted = fit(training, "text")
+    shared = spark.sparkContext.broadcast((own, fitted))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, vocab = Weights.of(model.value), vocabulary.value
-        known = {"class": np.full((BUCKETS * BUCKETS, CLASSES), np.nan, np.float32), "slot": np.full((CLASSES * BUCKETS, SLOTS), np.nan, np.float32)}
-
-        def log10_of(side: str, key: np.ndarray, outcome: np.ndarray) -> np.ndarray:
-            table = known[side]
-            new = np.unique(key[np.isnan(table[key, 0])])
-            table[new] = weights.log_softmax(side, new) / np.log(10)
-            return table[key, outcome].astype(np.float64)
-
+        vocab, model = shared.value
         for part, texts in slices(batches):
             t = Tokens(texts)
             vocab.look_up(t)
             rare = t.at < 0
-            p = log10_of("class", t.context, t.cls) + log10_of("slot", t.cls * BUCKETS + t.b1, t.slot)
+            p = model.of_tokens(t)
             n = np.where(rare, 0, vocab.n[t.at] if len(vocab.n) else 0)
             counted = np.where(rare, 0.0, np.log10(n + ADD))
             p += np.where(t.own, 0.0, counted - vocab.inside[t.cls, t.slot])

@@ -282,6 +282,45 @@ def test_lm_against_brute_force(spark):
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
+def test_lm_score_by_the_weights(spark):
+    """Each score is the sum of log10 probabilities worked out token by token, in plain Python, from the same weights."""
+    rnd = random.Random(8)
+    vocabulary = [f"{x}{e}" for x in "abcdefgh" for e in ("ing", "ed", "s", "ly", "on")]
+    texts = [" ".join(rnd.choices(vocabulary, k=rnd.randint(0, 40))) for _ in range(150)] + ["unseen words follow"]
+    rows = docs(spark, texts)
+    got = {r.doc_id: r.score for r in lm.score(rows, "doc_id", "text").collect()}
+    counts, vocab, model = lm.fit(rows.where(~lm.is_held_out(F.col("doc_id"))), "text")
+    count = {r.word: r.n for r in counts.collect()}
+    own = {int(w): (int(s), int(b)) for w, s, b in zip(vocab.words, vocab.slot, vocab.bucket)}
+    sizes, shared = vocab.sizes, model.shared
+
+    def log10(scores, outcome):
+        return scores[outcome] / math.log(10) - math.log10(sum(map(math.exp, scores)))
+
+    for i, text in enumerate(texts):
+        t, b1, b2, total = lm.Tokens([text]), 0, 0, 0.0
+        for h, cls, tail in zip(t.hash, t.cls, t.tail):
+            slot, bucket = own.get(int(h), (-1, -1))
+            mine = lm.Own(sizes, model.rows[b1].astype(float))
+            row = int(sizes.pair(np.array([b1]), np.array([b2]))[0])
+            total += log10([shared.bias[c] + shared.skip[b2][c] + mine.before[c] + mine.pair[row][c] for c in range(lm.CLASSES)], cls)
+            at = slot if slot >= 0 else int(lm.shared_slot(h))
+            total += log10([shared.slot[cls][s] + mine.slot[cls][s] for s in range(lm.SLOTS)], at)
+            if slot < 0:
+                total += math.log10(count.get(int(h.view(np.int64)), 0) + lm.ADD) - vocab.inside[cls, at]
+            b1, b2 = (bucket if bucket >= 0 else int(sizes.tail[tail])), b1
+        assert got[i] == pytest.approx(total, rel=1e-5)
+
+
+def test_lm_learns_contexts(spark):
+    """Words that follow one another in a fixed order score far above what their counts alone say."""
+    cycle = [f"{x}{e}" for x in ("ab", "cd", "ef") for e in ("ing", "ed", "ly", "on")]
+    texts = [" ".join(cycle[(i + j) % len(cycle)] for j in range(40)) for i in range(200)]
+    got = lm.score(docs(spark, texts), "doc_id", "text").collect()
+    held = [r for r in got if r.held_out]
+    assert sum(r.score for r in held) > 0.5 * sum(r.base_score for r in held)
+
+
 def test_lm_odd_ids(spark):
     got = lm.score(docs(spark, ["a b", "a b", None], [1, 1, None]), "doc_id", "text").collect()
     assert len(got) == 3 and [r.held_out for r in got if r.doc_id is None] == [True]
@@ -295,13 +334,14 @@ def test_lm_probabilities_sum_to_one():
         s = int(lm.shared_slot(w))
         sums[int(k), s] = (sums[int(k), s][0] + int(m), sums[int(k), s][1] + 1)
     vocabulary = lm.Vocabulary(words[100:], cls[100:], n[100:], int(n.sum()), 199, dict(sums))
-    rng, weights = np.random.default_rng(1), lm.Weights()
-    weights = lm.Weights.of(rng.normal(0, 1, len(weights.flat())))
-    p_class = np.exp(weights.log_softmax("class", np.array([77])))[0]
+    sizes, rng = vocabulary.sizes, np.random.default_rng(1)
+    width = len(lm.Own(sizes).flat)
+    model = lm.Model(sizes, lm.Shared(sizes, rng.normal(0, 1, len(lm.Shared(sizes).flat))), {b: rng.normal(0, 1, width) for b in range(sizes.buckets)})
+    p_class = 10 ** model.class_rows(np.array([3 * sizes.buckets + 2]))[0]
     total = 0.0
     own = {int(w): int(vocabulary.slot[i]) for i, w in enumerate(vocabulary.words)}
     for k in range(lm.CLASSES):
-        p_slot = np.exp(weights.log_softmax("slot", np.array([k * lm.BUCKETS + 3])))[0]
+        p_slot = 10 ** model.slot_rows(np.array([k * sizes.buckets + 3]))[0]
         used = {own[int(w)] for w, c in zip(words, cls) if c == k and own.get(int(w), -1) >= 0}
         for slot in range(lm.OWN):
             total += p_class[k] * p_slot[slot] * (1 if slot in used else 0)
