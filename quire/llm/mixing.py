@@ -2,8 +2,8 @@
 
 Documents are aggregated by the set of sources that they belong to.  The network leads from each pattern, through up to
 MAX_TAKES arcs of its size whose cost rises with each repetition, to the patterns' sources, whose quotas are the targets;
-the cheapest largest flow says how much of each pattern to take.  A pattern's amount is whole passes over all its documents
-and a rest, which goes to the documents that come first in the order of a seeded hash.
+the cheapest largest flow says how much of each pattern to take.  Sources that share no documents, also by way of others, have networks of their own, which
+tasks solve one by one.  A pattern's amount is whole passes over all its documents and a rest, which goes to the documents that come first in the order of a seeded hash.
 """
 
 from __future__ import annotations
@@ -11,15 +11,15 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.shared import cut
+from quire.llm.jaccard import components
+from quire.llm.shared import cut, numbered, small
 
 #: Times that a document may be taken; the n-th time costs n - 1 for each word.
 MAX_TAKES = 3
-#: Patterns that the flow is solved for on the driver.  They are counted first; more is an error, never a cut.
-MAX_PATTERNS = 200_000
 #: Hash ranges that the documents of a pattern are summed in to find where the rest ends: 2**12 of them.
 RANGE_BITS = 12
 HASH_BITS = 60
@@ -37,21 +37,23 @@ def seeded(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def share_out(sizes: list[int], weights: list[int], total: int) -> list[float]:
-    """Targets that share ``total`` by weight, none above MAX_TAKES times its size; the excess is reshared by weight.
+def targets(sources: DataFrame, weights: list[int], total: int) -> DataFrame:
+    """source, source_size, target of ``sources`` (source, source_size): they share ``total`` by weight, none above MAX_TAKES times its size.
 
-    The fixed point is ``min(cap, level * weight)``: sources reach their caps in the order of cap / weight.
+    Weights repeat over the sources in the order of code points, null last.  What a source can't take is reshared by weight until none is above; each resharing is
+    one aggregate, and ends at ``min(cap, level * weight)``.
     """
-    caps = [MAX_TAKES * s for s in sizes]
-    left, weight, level = total, sum(weights), 0.0
-    for i in sorted(range(len(sizes)), key=lambda i: (caps[i] / weights[i], i)):
-        level = left / weight
-        if caps[i] > level * weights[i]:
+    position = numbered(sources, F.col("source").isNull(), F.col("source"))
+    weighed = cut(position.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("position") % len(weights) + 1).cast("int"))).withColumn("cap", MAX_TAKES * F.col("source_size")))
+    level, full = 0.0, -1
+    weight = weighed.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    while weight:
+        r = weighed.where(F.col("cap") <= F.lit(level) * F.col("weight") if full >= 0 else F.lit(False)).agg(F.count("*"), F.coalesce(F.sum("cap"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+        if r[0] == full:
             break
-        left, weight = left - caps[i], weight - weights[i]
-    else:
-        return [float(c) for c in caps]
-    return [float(min(c, level * w)) for c, w in zip(caps, weights)]
+        full, level = r[0], (total - r[1]) / (weight - r[2]) if weight > r[2] else float("inf")
+    target = F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight"))
+    return weighed.select("source", "source_size", target.alias("target"))
 
 
 def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], targets: list[float]) -> list[float]:
@@ -75,10 +77,7 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], targets: list[flo
             parts[root(members[0])].append(k)
     taken = [0.0] * len(patterns)
     for ks in parts.values():
-        if len(ks) == 1 and len(patterns[ks[0]][0]) == 1:  # one source with one pattern: its arcs fill in order
-            taken[ks[0]] = min(targets[patterns[ks[0]][0][0]], float(MAX_TAKES * patterns[ks[0]][1]))
-        else:
-            _solve(ks, patterns, targets, taken)
+        _solve(ks, patterns, targets, taken)
     return taken
 
 
@@ -130,46 +129,56 @@ def _solve(ks: list[int], patterns: list[tuple[tuple[int, ...], int]], targets:
         taken[k] = sum(cap[e ^ 1] for e in out[0] if head[e] == 2 + i)
 
 
+def _key(of: Column) -> Column:
+    """A number for a source, null included."""
+    return F.xxhash64(F.to_json(F.array(of)))
+
+
+def _flows(patterns: DataFrame, told: DataFrame) -> DataFrame:
+    """pattern, amount: the words that the flow takes of each of ``patterns`` (pattern, members, size); ``told`` has the sources' targets.
+
+    Networks are told apart by the components of sources that patterns join, and each is solved in a task.
+    """
+    joined = patterns.where(F.size("members") > 1).select(F.col("members")[0].alias("x"), F.explode("members").alias("y"))
+    labels = components(joined.select(_key(F.col("x")).alias("a"), _key(F.col("y")).alias("b")))
+    arcs = patterns.select("pattern", "size", F.explode("members").alias("source")).join(told.select(F.col("source").alias("of"), "target"), F.col("source").eqNullSafe(F.col("of")))
+    arcs = arcs.withColumn("node", _key(F.col("source"))).join(labels, "node", "left").select(F.coalesce("label", "node").alias("network"), "node", "target", "pattern", "size")
+
+    def solve(network: pd.DataFrame) -> pd.DataFrame:
+        sources = network.groupby("node")["target"].first().sort_index()
+        at = {node: i for i, node in enumerate(sources.index)}
+        of = {p: (tuple(sorted(at[n] for n in g["node"])), int(g["size"].iloc[0])) for p, g in network.groupby("pattern", sort=True)}
+        return pd.DataFrame({"pattern": list(of), "amount": min_cost_flow(list(of.values()), [float(x) for x in sources])})
+
+    return arcs.groupBy("network").applyInPandas(solve, "pattern string, amount double")
+
+
 def takes(slim: DataFrame, weights: list[int], seed: int) -> DataFrame:
-    """For each membership pattern: how often its documents are taken, as ``pattern``, ``passes`` and ``edge``.
+    """For each membership pattern: how often its documents are taken, as ``pattern``, ``passes`` and ``edge``; source_size and target of patterns of one source.
 
-    ``slim`` has ``members`` array<string>, ``size`` long and ``h``, the seeded hash.  A document is taken ``passes`` times, and once more if its
-    hash is at most ``edge``.  Weights repeat over the sources in the order of code points, null last.
+    ``slim`` has ``pattern``, ``members`` array<string>, ``size`` long and ``h``, the seeded hash.  A document is taken ``passes`` times, and once more if its
+    hash is at most ``edge``.
     """
-    spark = slim.sparkSession
-    sums = slim.groupBy("members", F.shiftright("h", HASH_BITS - RANGE_BITS).alias("range")).agg(F.sum("size").alias("size"))
-    sums = sums.withColumn("upto", F.sum("size").over(Window.partitionBy("members").orderBy("range")))
-    totals = sums.groupBy("members").agg(F.sum("size").alias("size"))
-    if (n := totals.count()) > MAX_PATTERNS:
-        raise ValueError(f"{n} membership patterns; the flow is solved for at most {MAX_PATTERNS}")
-    rows = totals.collect()
-    names = sorted({m for r in rows for m in r.members}, key=lambda m: (m is None, m or ""))
-    index = {m: i for i, m in enumerate(names)}
-    sizes = [0] * len(names)
-    for r in rows:
-        for m in r.members:
-            sizes[index[m]] += r.size
-    weight = [weights[i % len(weights)] for i in range(len(names))]
-    patterns = [(tuple(sorted(index[m] for m in set(r.members))), r.size) for r in rows]
-    targets = share_out(sizes, weight, sum(r.size for r in rows))
-    plan = []
-    for r, (members, size), amount in zip(rows, patterns, min_cost_flow(patterns, targets)):
-        passes = min(MAX_TAKES, int(amount // size)) if size else 0
-        one = members[0] if len(members) == 1 else None
-        plan.append((r.members, passes, amount - passes * size if passes < MAX_TAKES else 0.0, sizes[one] if one is not None else None, targets[one] if one is not None else None))
-    chosen = F.broadcast(spark.createDataFrame(plan, "pattern array<string>, passes int, rest double, source_size long, target double"))
-    here = F.col("members").eqNullSafe(F.col("pattern"))
+    sums = slim.groupBy("pattern", F.shiftright("h", HASH_BITS - RANGE_BITS).alias("range")).agg(F.first("members").alias("members"), F.sum("size").alias("size"))
+    sums = cut(sums.withColumn("upto", F.sum("size").over(Window.partitionBy("pattern").orderBy("range"))))
+    patterns = cut(sums.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size")))
+    sources = patterns.select(F.explode("members").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("source_size"))
+    told = cut(targets(sources, weights, patterns.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]))
+    flows = _flows(patterns, told).join(patterns, "pattern")
+    passes = F.when(F.col("size") > 0, F.least(F.lit(MAX_TAKES), F.floor(F.col("amount") / F.col("size")))).otherwise(0)
+    rest = F.when(F.col("passes") < MAX_TAKES, F.col("amount") - F.col("passes") * F.col("size")).otherwise(0.0)
+    one = F.when(F.size("members") == 1, F.array(F.col("members")[0]))
+    chosen = flows.withColumn("passes", passes).withColumn("rest", rest).withColumn("one", one).join(told, F.col("one").eqNullSafe(F.array("source")), "left")
+    chosen = cut(chosen.select("pattern", "passes", "rest", "source_size", "target"))
     # The range in which the rest ends, then the exact hash: the document at the edge is taken if that comes nearer to the target.
-    ends = sums.join(chosen, here).where((F.col("upto") - F.col("size") < F.col("rest")) & (F.col("upto") >= F.col("rest")))
-    ends = ends.select("pattern", F.col("range").alias("last"), (F.col("rest") - F.col("upto") + F.col("size")).alias("left"))
-    near = slim.join(F.broadcast(ends), here & (F.shiftright("h", HASH_BITS - RANGE_BITS) == F.col("last")))
+    ends = sums.join(small(chosen), "pattern").where((F.col("upto") - F.col("size") < F.col("rest")) & (F.col("upto") >= F.col("rest")))
+    ends = cut(ends.select("pattern", F.col("range").alias("last"), (F.col("rest") - F.col("upto") + F.col("size")).alias("left")))
+    near = slim.select("pattern", F.shiftright("h", HASH_BITS - RANGE_BITS).alias("last"), "h", "size").join(small(ends), ["pattern", "last"])
     near = near.groupBy("pattern", "left", "h").agg(F.sum("size").alias("size"))
     upto = near.withColumn("upto", F.sum("size").over(Window.partitionBy("pattern").orderBy("h")))
     inside = upto.where(2 * F.col("upto") - F.col("size") <= 2 * F.col("left")).groupBy("pattern").agg(F.max("h").alias("inside"))
-    before = ends.select("pattern", (F.shiftleft("last", HASH_BITS - RANGE_BITS) - 1).alias("before"))
-    edges = before.alias("b").join(inside.alias("i"), F.col("b.pattern").eqNullSafe(F.col("i.pattern")), "left")
-    edges = F.broadcast(edges.select(F.col("b.pattern").alias("members"), F.coalesce("inside", "before").alias("edge")))
-    return chosen.join(edges, here, "left").select("pattern", "passes", F.coalesce("edge", F.lit(-1).cast("long")).alias("edge"), "source_size", "target")
+    edges = ends.join(inside, "pattern", "left").select("pattern", F.coalesce("inside", F.shiftleft("last", HASH_BITS - RANGE_BITS) - 1).alias("edge"))
+    return chosen.join(edges, "pattern", "left").select("pattern", F.col("passes").cast("int").alias("passes"), F.coalesce("edge", F.lit(-1).cast("long")).alias("edge"), "source_size", "target")
 
 
 def taken_times(h: Column) -> Column:
@@ -182,8 +191,10 @@ def mix(docs: DataFrame, members: Column, doc_id: str, size: Column, weights: li
     ``members`` is an array of the sources of a row; a null or empty array belongs to no source and is not taken.  The columns of ``docs`` stay, after them come ``times``
     and ``__``-named helpers.  Rows of one id share a hash, so repeated rows are taken alike; null ids count as one id.  An empty table gives an empty table.
     """
-    own = docs.select(F.struct(*docs.columns).alias("__row"), F.array_sort(F.array_distinct(F.coalesce(members, F.array().cast("array<string>")))).alias("__members"), size.cast("long").alias("__size"), seeded(docs[doc_id], seed).alias("__h"))
-    slim = own.select(F.col("__members").alias("members"), F.col("__size").alias("size"), F.col("__h").alias("h")).where(F.size("members") > 0)
+    told = F.array_sort(F.array_distinct(F.coalesce(members, F.array().cast("array<string>"))))
+    own = docs.select(F.struct(*docs.columns).alias("__row"), told.alias("__members"), size.cast("long").alias("__size"), seeded(docs[doc_id], seed).alias("__h"))
+    own = own.withColumn("__pattern", F.to_json("__members"))
+    slim = own.select(F.col("__pattern").alias("pattern"), F.col("__members").alias("members"), F.col("__size").alias("size"), F.col("__h").alias("h")).where(F.size("members") > 0)
     plan = cut(takes(cut(slim), weights, seed))
-    out = own.join(F.broadcast(plan), F.col("__members").eqNullSafe(F.col("pattern")), "left")
+    out = own.join(small(plan), F.col("__pattern") == F.col("pattern"), "left")
     return out.select("__row", "__size", "source_size", "target", F.coalesce(taken_times(F.col("__h")), F.lit(0)).alias("times")), plan

@@ -131,14 +131,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least(w.doc_id, m.least), w.doc_id) AS component_id FROM w LEFT JOIN n ON n.k = w.k LEFT JOIN m ON m.k = w.k
     """,
     "op9_line_dedup": f"""
-        WITH l AS (
-            SELECT row_number() OVER () AS k, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
-        p AS (SELECT source, count(*) AS pages FROM l GROUP BY source),
-        x AS (SELECT DISTINCT k, source, trim(u.line) AS line FROM l, unnest(lines) AS u(line) WHERE trim(u.line) <> ''),
+        WITH l AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+        c AS (SELECT DISTINCT source, text FROM documents),
+        p AS (SELECT source, count(*) AS pages FROM c GROUP BY source),
+        x AS (SELECT DISTINCT source, text, trim(u.line) AS line FROM c, unnest(string_split(text, chr(10))) AS u(line) WHERE trim(u.line) <> ''),
         n AS (SELECT source, line, count(*) AS n FROM x GROUP BY source, line),
         b AS (
             SELECT n.source, list(n.line) AS bad FROM n JOIN p ON n.source IS NOT DISTINCT FROM p.source
-            WHERE pages >= {line_dedup.LEAST_PAGES} AND n >= {line_dedup.LEAST_WITH_LINE} AND n > pages * {line_dedup.RATIO}::DOUBLE GROUP BY n.source),
+            WHERE n >= {line_dedup.LEAST_WITH_LINE} AND n > pages * {line_dedup.RATIO}::DOUBLE GROUP BY n.source),
         o AS (SELECT l.*, list_filter(lines, lambda y: trim(y) = '' OR NOT list_contains(coalesce(bad, []), trim(y))) AS kept FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source)
         SELECT doc_id, source, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(kept, chr(10)) END AS text,
                coalesce(len(lines), 0)::BIGINT AS n_lines, (coalesce(len(lines), 0) - coalesce(len(kept), 0))::BIGINT AS n_dropped

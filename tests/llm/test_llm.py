@@ -187,10 +187,31 @@ def test_bpe_rows(spark):
 # -- 4 -----------------------------------------------------------------------------------------------------------
 
 
-def test_targets():
-    assert mixing.share_out([100, 100, 100], [1, 2, 3], 300) == [50.0, 100.0, 150.0]
-    assert mixing.share_out([10, 1000, 100], [1, 2, 3], 1110) == [30.0, 780.0, 300.0]
-    assert mixing.share_out([0, 0], [1, 2], 0) == [0.0, 0.0]
+def test_targets(spark):
+    def of(*sizes):
+        rows = [(chr(97 + i), n) for i, n in enumerate(sizes)]
+        got = mixing.targets(spark.createDataFrame(rows, "source string, source_size long"), [1, 2, 3], sum(sizes)).collect()
+        return [r.target for r in sorted(got)]
+
+    assert of(100, 100, 100) == [50.0, 100.0, 150.0] and of(10, 1000, 100) == [30.0, 780.0, 300.0] and of(0, 0) == [0.0, 0.0]
+    weights, sizes = [1, 2, 3] * 7, [7 * i * i % 101 for i in range(21)]
+    capped, level = set(), 0.0
+    while True:
+        level = (sum(sizes) - sum(3 * sizes[i] for i in capped)) / sum(w for i, w in enumerate(weights) if i not in capped)
+        if {i for i in range(21) if 3 * sizes[i] <= level * weights[i]} == capped:
+            break
+        capped = {i for i in range(21) if 3 * sizes[i] <= level * weights[i]}
+    assert of(*sizes) == [min(3.0 * n, level * w) for n, w in zip(sizes, weights)]
+
+
+def test_plan_comes_from_the_flow(spark, monkeypatch):
+    """The amounts of op4 are those of the network: one that takes half as much is followed."""
+    docs_ = spark.createDataFrame([(i, "ab"[i % 2], 10) for i in range(400)], "doc_id long, source string, size long")
+    taken = lambda: mixing.mix(docs_, F.array("source"), "doc_id", F.col("size"), [1, 2, 3], 5)[0].agg(F.sum(F.col("__size") * F.col("times"))).first()[0]
+    assert abs(taken() - 4000) <= 20
+    whole = mixing._flows
+    monkeypatch.setattr(mixing, "_flows", lambda *a: whole(*a).withColumn("amount", F.col("amount") / 2))
+    assert abs(taken() - 2000) <= 20
 
 
 def test_flow_is_cheapest():
@@ -463,6 +484,23 @@ def test_lines(spark, monkeypatch, limit):
     assert got[0] == ("own 0\n", 4, 2) and got[31] == ("menu 31", 2, 1) and got[60] == ("Menu", 1, 0) and got[61] == (None, 0, 0) and got[62] == ("", 1, 0) and len(got) == 63
 
 
+def test_copies_count_as_one_page(spark):
+    """A group of copies that holds a third of a host keeps its text; a line on 2 pages is never boilerplate, one on 3 of 5 is."""
+    copy = "first line of the copy\nsecond line of the copy"
+    rows = [(copy, "h")] * 30 + [(f"a {i}\n" + ("Shared" if i < 2 else "Menu"), "h") for i in range(60)] + [(f"b {i}\n" + ("Foot" if i < 3 else "x"), "few") for i in range(5)] * 4
+    got = line_dedup.drop_boilerplate(spark.createDataFrame(rows, "text string, source string"), "source", "text")
+    texts = collections.Counter(r.text for r in got.collect())
+    assert texts[copy] == 30 and texts["a 0\nShared"] == 1 and texts["a 5"] == 1 and texts["b 0"] == 4 and texts["b 4\nx"] == 4
+
+
+def test_lines_among_clashing_names(spark):
+    names = ["doc.id", "text", "source", "n_lines", "n_dropped", "bad", "of", "row", "kept", "host", "salt", "__bad"]
+    rows = [(i, f"page {i}\nMenu", "s", 9, 9, "b", "o", "r", "k", "h", "t", "u") for i in range(6)]
+    got = line_dedup.drop_boilerplate(spark.createDataFrame(rows, names), "source", "text")
+    assert got.columns == [n for n in names if n not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"]
+    assert sorted(tuple(r) for r in got.collect()) == [(i, f"page {i}", "s", "b", "o", "r", "k", "h", "t", "u", 2, 1) for i in range(6)]
+
+
 def test_counts_equal_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(P.path(queries.WORD_BPE))
