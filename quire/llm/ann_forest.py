@@ -2,8 +2,9 @@
 
 A shard keeps TREES sorted arrays of BITS-bit hash strings, each bit the side of a random hyperplane.  A query
 descends in every tree to its longest matching prefix, found by binary search, and then all trees ascend together,
-one bit at a time, until the rows below the common prefix length number at least CANDIDATES.  Those rows are scored on
-the original vectors in double precision.  The hyperplanes come from a seed, so nothing is fitted.
+one bit at a time.  At each step a row below a tree's prefix gains a point, so that a row's points are the lengths of the prefixes that it
+shares with the query, over all trees.  The ascent ends at STOP bits, or above if fewer rows have points than are looked at; the rows with the most points are
+scored on the original vectors in double precision.  The hyperplanes come from a seed, so nothing is fitted.
 
 Largest inner product is made an angle by one more component: with M the largest norm of the shard, a row becomes
 (x, sqrt(M^2 - |x|^2)) and a query (q, 0), which leaves inner products as they are and all rows on one sphere.
@@ -11,34 +12,39 @@ Largest inner product is made an angle by one more component: with M the largest
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quire.llm import vectors as V
-from quire.llm.shared import cut
 
-TREES, BITS, SEED = 64, 32, 20_240
-#: Rows of a shard (of V.SHARD_ROWS) that a query looks at, at least; smaller shards are looked at whole.
-CANDIDATES = 2600
-FOUND = "query_id long, query_row long, vec_id long, score double"
+TREES, BITS, STOP, SEED = 128, 32, 4, 20_240
+#: Rows of a shard (of V.SHARD_ROWS) that a query looks at, at least; in a shard of fewer than twice as many rows, half of them, but no fewer than 4 k.
+CANDIDATES = 600
 
 
 def hashes(points: np.ndarray) -> np.ndarray:
     """TREES x rows hash strings, the first bit the highest."""
     planes = np.random.default_rng(SEED).standard_normal((points.shape[1], TREES * BITS)).astype(np.float32)
-    sides = (points.astype(np.float32) @ planes > 0).reshape(len(points), TREES, BITS)
-    weight = (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)).astype(np.float64)
-    return (sides @ weight).astype(np.int64).T
+    weight, out = (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)).astype(np.float64), []
+    for a in range(0, len(points), 1024):
+        sides = (points[a : a + 1024].astype(np.float32) @ planes > 0).reshape(-1, TREES, BITS)
+        out.append((sides @ weight).astype(np.int64))
+    return np.concatenate(out).T
 
 
 class Forest:
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, ids: np.ndarray | None = None, rows: np.ndarray | None = None, least: int = CANDIDATES):
+        self.points, self.ids, self.rows, self.least = points, ids, rows, least
         norm = (points**2).sum(axis=1)
-        self.codes = hashes(np.column_stack([points, np.sqrt(np.maximum(norm.max() - norm, 0))]))
-        self.order = np.argsort(self.codes, axis=1, kind="stable")
-        self.codes = np.take_along_axis(self.codes, self.order, axis=1)
+        codes = hashes(np.column_stack([points, np.sqrt(np.maximum(norm.max() - norm, 0))]))
+        self.order = np.argsort(codes, axis=1, kind="stable").astype(np.int32)
+        self.codes = np.take_along_axis(codes, self.order, axis=1)
+
+    def looked_at(self, k: int) -> int:
+        n = self.codes.shape[1]
+        return min(n, max(4 * k, min(self.least, n // 2)))
 
     def ranges(self, codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """For each tree (row) and query (column), the range of strings that share the first ``length`` bits."""
@@ -47,37 +53,36 @@ class Forest:
         a = np.stack([np.searchsorted(own, x) for own, x in zip(self.codes, low)])
         return a, np.stack([np.searchsorted(own, x) for own, x in zip(self.codes, high)])
 
-    def candidates(self, queries: np.ndarray, least: int):
-        """For each query, a mask of rows: all trees have ascended to the longest common prefix length that gives ``least`` rows."""
-        n = self.codes.shape[1]
+    def candidates(self, queries: np.ndarray, k: int) -> Iterator[np.ndarray]:
+        """For each query, the rows with the most points, ties at the edge included."""
+        n, least = self.codes.shape[1], self.looked_at(k)
         codes = hashes(np.column_stack([queries, np.zeros(len(queries))]))
-        levels = [self.ranges(codes, x) for x in range(BITS + 1)]
-        # Rows below all trees' prefixes count once a tree here, so this is where the ascent can stop at the earliest.
-        sums = np.stack([(b - a).sum(axis=0) for a, b in levels])
+        # Deeper than this no two strings of a shard agree but by being near.
+        levels = [self.ranges(codes, x) for x in range(STOP, min(BITS, int(n).bit_length() + 4) + 1)]
+        first = np.concatenate([a for a, _ in levels]) + np.tile(np.arange(TREES) * n, len(levels))[:, None]
+        size = np.concatenate([b - a for a, b in levels])
+        order = self.order.ravel()
         for q in range(len(queries)):
-            mask, level = np.zeros(n, dtype=bool), int(np.flatnonzero(sums[:, q] >= min(least, n))[-1])
-            while True:
-                a, b = levels[level]
-                for order, i, j in zip(self.order, a[:, q], b[:, q]):
-                    mask[order[i:j]] = True
-                if level == 0 or np.count_nonzero(mask) >= least:
-                    break
+            points, level = self._points(order, first[:, q], size[:, q]), STOP
+            while level and np.count_nonzero(points) < least:
                 level -= 1
-            yield mask
-
+                a, b = self.ranges(codes[:, q : q + 1], level)
+                points += self._points(order, a[:, 0] + np.arange(TREES) * n, (b - a)[:, 0])
+            yield np.flatnonzero(points >= np.partition(points, n - least)[n - least])
 
-def searcher(width: int, k: int, least: int):
-    def search(shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        points, ids, out = V.matrix(shard["v"], width), shard["vec_id"].to_numpy(), []
-        forest, queries = Forest(points), V.matrix(block["v"], width)
-        for n, (mask, own, row) in enumerate(zip(forest.candidates(queries, least), block["vec_id"], block["query_row"])):
-            at = np.flatnonzero(mask & (ids != own))
-            score = points[at] @ queries[n]
-            best = V.top(score, ids[at], k)
-            out.append((np.full(len(best), own), np.full(len(best), row), ids[at][best], score[best]))
-        return pd.DataFrame(dict(zip(("query_id", "query_row", "vec_id", "score"), map(np.concatenate, zip(*out)))))
+    def _points(self, order: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """For each row, in how many of the ranges (``first`` and ``size``) of ``order`` it is."""
+        first, size = first[size > 0], size[size > 0]
+        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(order[at], minlength=self.codes.shape[1])
 
-    return search
+    def search(self, queries: np.ndarray, own: np.ndarray, kth: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at, q, row, edge in zip(self.candidates(queries, k), queries, own, kth):
+            at = at[self.rows[at] != row]
+            score = self.points[at] @ q
+            at, score = at[score >= edge], score[score >= edge]
+            best = V.top(score, self.ids[at], k)
+            yield self.ids[at][best], score[best]
 
 
 def nearest(vectors: DataFrame, vec_id: str, vector: str, every: int, k: int, least: int = CANDIDATES) -> DataFrame:
@@ -85,9 +90,6 @@ def nearest(vectors: DataFrame, vec_id: str, vector: str, every: int, k: int, le
 
     Every usable row is indexed.  Vectors that are null, empty or zero, or hold null or non-finite components, and rows without an
     id take no part; shorter vectors count as filled with zeros.  A repeated query row is answered once for each time it is there.
-    Candidates are all rows with another id; ties go to the smaller id; an empty table gives no rows.
+    Candidates are all rows but the query's own, also others with its id; ties go to the smaller id; an empty table gives no rows.
     """
-    rows = V.usable(vectors, vec_id, vector, zero=False)
-    asked = cut(rows.where(F.col("vec_id") % every == 0).withColumn("query_row", F.monotonically_increasing_id()))
-    n, width = V.counts(rows)
-    return V.ranked(V.by_shard(rows, asked, n, asked.count(), searcher(width, k, least), FOUND), k, "double")
+    return V.search(vectors, vec_id, vector, every, k, lambda points, ids, rows: Forest(points, ids, rows, least), "double", zero=False)

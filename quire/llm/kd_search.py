@@ -3,30 +3,29 @@
 Each shard's tree splits at the median of the widest side and keeps tight bounding boxes.  No point in a box has a
 higher inner product with q than ``max(q, 0) . high + min(q, 0) . low``; nodes are visited by that bound, and a node
 whose bound is below the k-th score so far is not opened.  The k-th score is propagated: every query first
-searches the shard that its own id falls in, and takes the k-th score it found there to all the others.
+searches the shard that its own row falls in, and takes the k-th score it found there to the others, of which it
+visits those whose box can hold as high a score (``vectors``).
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import vectors as V
-from quire.llm.shared import cut
 
 #: Points of a leaf.
 LEAF = 128
-FOUND = "query_id long, query_row long, vec_id long, score long"
 
 
 class KdTree:
-    """Nodes in arrays: boxes, children (or -1) and the range of points."""
+    """Nodes in arrays: boxes, children (or -1) and the range of points; ``ids`` and ``rows`` tell the points apart."""
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, ids: np.ndarray, rows: np.ndarray):
         self.order = np.arange(len(points))
         low, high, child, span = [], [], [], []
 
@@ -46,13 +45,13 @@ class KdTree:
 
         grow(0, len(points))
         self.low, self.high, self.child, self.span = np.array(low), np.array(high), child, span
-        self.points = points[self.order]
+        self.points, self.ids, self.rows = points[self.order], ids[self.order], rows[self.order]
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
-    def search(self, q: np.ndarray, bound: np.ndarray, ids: np.ndarray, own: int, k: int, kth: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (in the tree's order) and scores of the k best that are at least ``kth``; ties go to smaller ids."""
+    def best(self, q: np.ndarray, bound: np.ndarray, own: int, k: int, kth: float) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best that are at least ``kth``, but for the row ``own``; ties go to smaller ids."""
         best_s, best_i, heap = np.empty(0), np.empty(0, dtype=np.int64), [(-bound[0], 0)]
         while heap:
             upper, node = heapq.heappop(heap)
@@ -65,43 +64,25 @@ class KdTree:
                 continue
             a, b = self.span[node]
             s = self.points[a:b] @ q
-            near = np.flatnonzero((s >= kth) & (ids[a:b] != own))
+            near = np.flatnonzero((s >= kth) & (self.rows[a:b] != own))
             if len(near):
-                s, i = np.concatenate([best_s, s[near]]), np.concatenate([best_i, ids[a:b][near]])
+                s, i = np.concatenate([best_s, s[near]]), np.concatenate([best_i, self.ids[a:b][near]])
                 at = V.top(s, i, k)
                 best_s, best_i = s[at], i[at]
                 if len(best_s) == k:
                     kth = max(kth, best_s[-1])
         return best_i, best_s
 
-
-def searcher(width: int, k: int):
-    def search(shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        tree = KdTree(V.matrix(shard["v"], width))
-        ids = shard["vec_id"].to_numpy()[tree.order]
-        q = V.matrix(block["v"], width)
-        bound, out = tree.bounds(q), []
-        for n, (own, row, kth) in enumerate(zip(block["vec_id"], block["query_row"], block["kth"])):
-            i, s = tree.search(q[n], bound[n], ids, own, k, -np.inf if np.isnan(kth) else kth)
-            out.append((np.full(len(i), own), np.full(len(i), row), i, s.astype(np.int64)))
-        return pd.DataFrame(dict(zip(("query_id", "query_row", "vec_id", "score"), map(np.concatenate, zip(*out)))))
-
-    return search
+    def search(self, queries: np.ndarray, own: np.ndarray, kth: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for q, bound, row, edge in zip(queries, self.bounds(queries), own, kth):
+            yield self.best(q, bound, row, k, edge)
 
 
 def top_k(vectors: DataFrame, vec_id: str, vector: str, every: int, k: int, scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products for each query row (vec_id divisible by ``every``).
 
     Components x count as ``floor(scale * x)``.  Vectors that are null or empty, or hold null or non-finite components, and rows without an id take no
-    part; shorter vectors count as filled with zeros.  A repeated query row is answered once for each time it is there.  Candidates are all rows with another
-    id; ties go to the smaller id; an empty table gives no rows.  Products are exact while they stay below 2**53.
+    part; shorter vectors count as filled with zeros.  A repeated query row is answered once for each time it is there.  Candidates are all rows but the query's own,
+    also others with its id; ties go to the smaller id; an empty table gives no rows.  Products are exact while they stay below 2**53.
     """
-    rows = V.usable(vectors, vec_id, vector, zero=True).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
-    asked = cut(rows.where(F.col("vec_id") % every == 0).withColumn("query_row", F.monotonically_increasing_id()))
-    n, width = V.counts(rows)
-    n_asked = asked.count()
-    own = V.by_shard(rows, asked.withColumn("kth", F.lit(None).cast("double")), n, n_asked, searcher(width, k), FOUND, "own")
-    kth = own.groupBy("query_id", "query_row").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("kth"))
-    told = asked.join(kth, (asked.vec_id == kth.query_id) & (asked.query_row == kth.query_row), "left").select("vec_id", "v", asked.query_row, "kth")
-    others = V.by_shard(rows, told, n, n_asked, searcher(width, k), FOUND, "others")
-    return V.ranked(own.unionByName(others), k, "long")
+    return V.search(vectors, vec_id, vector, every, k, KdTree, "long", zero=True, to=lambda x: F.floor(x * scale).cast("double"))

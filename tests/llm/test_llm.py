@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oracle import same, views
+from quire.llm import vectors as V
 from quire.llm import ann_forest, bpe_tree, jaccard, kd_search, line_dedup, lm, mixing, quality, queries, text_hash, token_counts, warc
 
 FOLDER = "/root/testdata/sf0.001"
@@ -94,52 +95,78 @@ def usable(rows, zero):
     return [(i, np.array(v, dtype=np.float64)) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and (zero or any(v))]
 
 
-def test_kd_search_is_exact(spark, monkeypatch):
-    monkeypatch.setattr("quire.llm.vectors.SHARD_ROWS", 300)
-    monkeypatch.setattr("quire.llm.vectors.BLOCK_ROWS", 7)
+@pytest.mark.parametrize("shard", [300, 8192])
+def test_kd_search_is_exact(spark, monkeypatch, shard):
+    monkeypatch.setattr("quire.llm.vectors.SHARD_ROWS", shard)
     df, rows = vectors(spark, 1000)
     own = [(i, np.floor(1024 * v)) for i, v in usable(rows, True)]
     want = collections.Counter()
-    for i, q in own:
+    for n, (i, q) in enumerate(own):
         if i % 100 == 0:
-            best = sorted((-int(q @ v), j) for j, v in own if j != i)[:10]
+            best = sorted((-int(q @ v), j) for m, (j, v) in enumerate(own) if m != n)[:10]
             want.update((i, k + 1, j, -s) for k, (s, j) in enumerate(best))
     got = collections.Counter(tuple(r) for r in kd_search.top_k(df, "vec_id", "embedding", 100, 10).collect())
     assert got == want
 
 
+def test_clusters_are_not_visited_in_vain(spark, monkeypatch):
+    """Shards are cut in space, so a query of one cluster is not sent to the shards of others that can't hold its neighbours."""
+    monkeypatch.setattr("quire.llm.vectors.SHARD_ROWS", 200)
+    rng, sent = np.random.default_rng(4), []
+    x = np.concatenate([rng.normal(c, 0.1, (200, 4)) for c in ((9, 0, 0, 0), (0, 9, 0, 0), (0, 0, 9, 0), (0, 0, 0, 9))])
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = V._visited
+    monkeypatch.setattr(V, "_visited", lambda rows, visits, *a: sent.append(visits.count()) or whole(rows, visits, *a))
+    got = kd_search.top_k(df, "vec_id", "embedding", 20, 10).collect()
+    assert len(got) == 400 and sent[0] == 40 and sent[1] < 20
+
+
 def test_kd_tree_prunes():
     rng = np.random.default_rng(2)
     points = np.concatenate([rng.normal(c, 1, (500, 4)) for c in (-50, 0, 50)])
-    tree = kd_search.KdTree(points)
+    tree = kd_search.KdTree(points, np.arange(1500), np.arange(1500))
     opened = []
     tree.points = type("Seen", (np.ndarray,), {"__getitem__": lambda self, k: opened.append(k) or np.ndarray.__getitem__(self, k)})(points.shape, points.dtype, np.ascontiguousarray(points[tree.order]))
     q = np.full(4, 1.0)
-    ids, s = tree.search(q, tree.bounds(q[None])[0], np.arange(1500)[tree.order], -1, 5, -np.inf)
+    ids, s = tree.best(q, tree.bounds(q[None])[0], -1, 5, -np.inf)
     assert sorted(s, reverse=True) == sorted(points @ q, reverse=True)[:5] and len(opened) < len([c for c in tree.child if c[0] < 0])
 
 
 def test_forest_recall_and_scores(spark):
-    df, rows = vectors(spark, 3000, 64, 5)
+    """The shipped setting over several shards: recall of at least 0.9, looking at fewer than a tenth of the rows."""
+    df, rows = vectors(spark, 20_000, 64, 5)
     own = usable(rows, False)
     x, ids = np.array([v for _, v in own]), np.array([i for i, _ in own])
     got = collections.defaultdict(list)
-    for r in ann_forest.nearest(df, "vec_id", "embedding", 20, 20, least=1500).collect():
+    for r in ann_forest.nearest(df, "vec_id", "embedding", 100, 20).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     hits = total = 0
     for q in sorted(got):
+        if q == 0:  # there twice
+            continue
         s = x @ x[np.flatnonzero(ids == q)[0]]
         best = set(ids[np.lexsort((ids, -np.where(ids == q, -np.inf, s)))[:20]])
         hits, total = hits + len(best & {v for _, v, _ in got[q]}), total + 20
         assert all(abs(score - s[np.flatnonzero(ids == v)[0]]) < 1e-9 for _, v, score in got[q]) and q not in {v for _, v, _ in got[q]}
-    assert hits / total >= 0.9
+    assert total > 3000 and hits / total >= 0.9
+    assert sorted(v for _, v, _ in got[0])[0] == 0  # the other row with the query's id
+    forest = ann_forest.Forest(x[: V.SHARD_ROWS])
+    assert all(len(at) < 0.1 * V.SHARD_ROWS for at in forest.candidates(x[:40], 20))
 
 
 def test_forest_takes_longest_prefixes():
     points = np.random.default_rng(3).standard_normal((400, 8))
-    forest = ann_forest.Forest(points)
-    mask = next(forest.candidates(points[:1], 30))
-    assert mask[0] and 30 <= mask.sum() < 400
+    forest = ann_forest.Forest(points, least=30)
+    at = next(forest.candidates(points[:1], 5))
+    assert 0 in at and 30 <= len(at) < 100
+
+
+def test_cells_hold_all_rows():
+    points = np.random.default_rng(5).standard_normal((3000, 6))
+    points[:1500] = points[0]
+    cells = V.Cells(points[::3], 9)
+    of = cells.of(points)
+    assert len(set(of)) > 4 and len(set(of[:1500])) == 1 and all(p not in cells.splits for p in of)
 
 
 # -- 3 -----------------------------------------------------------------------------------------------------------
