@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import CJK, count_of, strip_citations, strip_quoted
+from quire.functions.text import CJK, count_of, let, strip_citations, strip_quoted
 
 #: Words that are let through, as technical terms or because they are too common to tell.
 LET_THROUGH = [
@@ -14,15 +14,19 @@ LET_THROUGH = [
 ]
 #: Shapes of words that are English inflections beyond doubt.
 SHAPES = ["^[a-z]{3,}ly$", "^[a-z]{2,}(?:tion|sion|ment|ness|able|ible|ive|ous|ful|less|ical|istic)$", "^[a-z]{4,}(?:ing|ed|al)$"]
+SHAPE = "|".join(SHAPES)
 #: Share of CJK letters from which on a text counts as translated but for single words.
 MOSTLY = 0.6
 
 
-def is_mostly_cjk(text: Column, least: float = MOSTLY) -> Column:
-    cjk, latin = count_of(text, CJK), count_of(text, "a-zA-Z")
+def mostly(cjk: Column, latin: Column, least: float) -> Column:
     return (cjk > 0) & (cjk / (cjk + latin) >= least)
 
 
+def is_mostly_cjk(text: Column, least: float = MOSTLY) -> Column:
+    return mostly(count_of(text, CJK), count_of(text, "a-zA-Z"), least)
+
+
 def allowed_words(glossary: Column) -> Column:
     """Lower-cased words of a glossary map that may stay: of terms those of 3 characters or more, of translations those of Latin letters."""
     words = lambda xs, fit: F.flatten(F.transform(xs, lambda x: F.filter(F.split(x, r"\s+"), fit)))
@@ -38,16 +42,20 @@ def residue(text: Column, common_words: list[str], allowed: Column | None = None
     """
     allowed = F.coalesce(allowed, F.array().cast("array<string>")) if allowed is not None else F.array().cast("array<string>")
     common, through = F.lit(common_words).cast("array<string>"), F.lit(LET_THROUGH)
-    stripped = strip_citations(text)
+    none = F.array().cast("array<string>")
     tokens = lambda x: F.regexp_extract_all(x, F.lit("([a-zA-Z]{3,})"), F.lit(1))
-    known = lambda w: F.array_contains(allowed, w) | F.array_contains(through, w)
-    shaped = lambda w: w.rlike(SHAPES[0]) | w.rlike(SHAPES[1]) | w.rlike(SHAPES[2])
-    single = F.filter(tokens(strip_quoted(stripped)), lambda w: w.rlike("^[a-z]+$") & (F.array_contains(common, w) | shaped(w)) & ~known(w))
-    rest = F.filter(tokens(stripped), lambda w: ~known(F.lower(w)) & ~w.rlike("^[A-Z]+$"))
-    titled = lambda w: w.rlike("^[A-Z][a-z]+$")
-    pinyin = (F.size(rest) >= 2) & F.exists(rest, titled) & F.forall(rest, lambda w: titled(w) | w.rlike("^[a-z]{1,5}$"))
-    names = (count_of(stripped, CJK) > 0) & (F.forall(rest, titled) | pinyin)
-    return F.when(is_mostly_cjk(stripped), single).when(names, F.array().cast("array<string>")).otherwise(rest)
+    known = lambda w: F.array_contains(through, w) | F.array_contains(allowed, w)
+    single = lambda s: F.filter(tokens(strip_quoted(s)), lambda w: (F.lower(w) == w) & ~known(w) & (F.array_contains(common, w) | w.rlike(SHAPE)))
+    rest = lambda s: F.filter(tokens(s), lambda w: (F.upper(w) != w) & ~known(F.lower(w)))
+    # Tokens are of A-Z and a-z alone, so comparing them in another case tells their shape.
+    titled = lambda w: F.initcap(w) == w
+    short = lambda w: (F.lower(w) == w) & (F.length(w) <= 5)
+    pinyin = lambda ws: (F.size(ws) >= 2) & F.exists(ws, titled) & F.forall(ws, lambda w: titled(w) | short(w))
+
+    def by_letters(s: Column, cjk: Column) -> Column:
+        return F.when(mostly(cjk, count_of(s, "a-zA-Z"), MOSTLY), single(s)).when(cjk == 0, rest(s)).otherwise(let(rest(s), lambda ws: F.when(F.forall(ws, titled) | pinyin(ws), none).otherwise(ws)))
+
+    return let(strip_citations(text), lambda s: let(count_of(s, CJK), lambda cjk: by_letters(s, cjk)))
 
 
 def relevant_terms(text: Column, glossary: Column) -> Column:

@@ -64,18 +64,23 @@ def detect_language(text: Column, own_letters_only: bool = False) -> Column:
     ``own_letters_only`` leaves letters out that two lists share, a corrected variant: é counts for Spanish alone otherwise.
     """
     sample = F.substring(F.concat(F.lit(" "), F.coalesce(text, F.lit(""))), 1, SAMPLE)
-    lists = DIACRITICS
-    if own_letters_only:
-        lists = [("es", "ñíóúáÍÓÚÁÑ¿¡"), ("fr", "çàâæèêëîïôùûÿœÇÀÂÆÈÊËÎÏÔÙÛŸŒ"), ("de", "äöÄÖß")]
-    counts = [(code, count_of(sample, letters)) for code, letters in lists]
-    most = F.greatest(*[c for _, c in counts])
-    latin = F.lit("en")
-    for code, n in reversed(counts):
-        latin = F.when((n == most) & (most >= LEAST_DIACRITICS), code).otherwise(latin)
-    out = latin
-    for code, letters, least in reversed(SCRIPTS):
-        out = F.when(count_of(sample, letters) >= least, code).otherwise(out)
-    return out
+    shared = {c for _, a in DIACRITICS for c in a if sum(c in b for _, b in DIACRITICS) > 1} if own_letters_only else set()
+    lists = [(code, "".join(c for c in letters if c not in shared)) for code, letters in DIACRITICS]
+
+    def by_diacritics(n: Column) -> Column:
+        most, out = F.array_max(n), F.lit("en")
+        for i, (code, _) in reversed([*enumerate(lists)]):
+            out = F.when((n[i] == most) & (most >= LEAST_DIACRITICS), code).otherwise(out)
+        return out
+
+    def by_scripts(s: Column) -> Column:
+        out = let(F.array(*[count_of(s, letters) for _, letters in lists]), by_diacritics)
+        for code, letters, least in reversed(SCRIPTS):
+            out = F.when(count_of(s, letters) >= least, code).otherwise(out)
+        # Most texts have no letter of these scripts: one look tells.
+        return F.when(s.rlike("[" + "".join(letters for _, letters, _ in SCRIPTS) + "]"), out).otherwise(let(F.array(*[count_of(s, letters) for _, letters in lists]), by_diacritics))
+
+    return let(sample, by_scripts)
 
 
 def batch_tokens(text: Column) -> Column:

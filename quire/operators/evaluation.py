@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quire.operators.jobs import FAILED_MARK
 
+#: Glossary terms that are broadcast.
+TERMS = 100_000
+
 
 def ratio(part: Column, whole: Column, empty: float | None = None) -> Column:
     """part / whole, ``empty`` where there is no whole."""
@@ -27,7 +30,7 @@ def top_words(rows: DataFrame, words: str, n: int = 25) -> DataFrame:
 
 def corpus_scan(segments: DataFrame, chapters: DataFrame, books: DataFrame, words: Column, mostly: Column, samples: int = 45) -> dict[str, DataFrame]:
     """Residue of a whole corpus: rates, frequent words, some samples and the ids of flagged segments, of books translated to Chinese."""
-    rows = segments.join(chapters.select(F.col("id").alias("chapter_id"), "book_id"), "chapter_id").join(F.broadcast(books.where(F.col("language_pair").endswith("-zh")).select(F.col("id").alias("book_id"))), "book_id")
+    rows = segments.join(chapters.select(F.col("id").alias("chapter_id"), "book_id"), "chapter_id").join(books.where(F.col("language_pair").endswith("-zh")).select(F.col("id").alias("book_id")), "book_id")
     rows = rows.withColumn("mostly", mostly).withColumn("words", words)
     flagged = rows.where(F.col("mostly") & (F.size("words") > 0))
     return {
@@ -39,11 +42,11 @@ def corpus_scan(segments: DataFrame, chapters: DataFrame, books: DataFrame, word
 def term_checks(rows: DataFrame, glossary: DataFrame, source: str, target: str) -> DataFrame:
     """One row for each term that is in a row's source, with ``kept``: whether its translation is in the target.
 
-    Terms are a small table, whose size the caller knows; it is broadcast, and each row is looked at once for each term.
+    Terms are a small table: up to TERMS of them, counted first, are broadcast, and each row is looked at once for each term.  With more, Spark chooses how to meet them.
     """
-    terms = F.broadcast(glossary)
+    terms = F.broadcast(glossary) if glossary.count() <= TERMS else glossary
     found = F.contains(F.lower(F.col(source)), F.lower(F.col("term")))
-    return rows.crossJoin(terms).where(found).withColumn("kept", F.contains(F.lower(F.col(target)), F.lower(F.col("translation"))))
+    return rows.join(terms, found).withColumn("kept", F.contains(F.lower(F.col(target)), F.lower(F.col("translation"))))
 
 
 def metrics(rows: DataFrame, keys: list[str], residue: Column, checks: Column, kept: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.ranks import carried, numbered
+
 
 def context(rows: DataFrame, keys: list[str], order: list[str], text: str, before: int = 2, after: int = 2) -> DataFrame:
     """rows with ``context_before`` and ``context_after``, arrays of the neighbours' texts in order."""
@@ -15,16 +17,14 @@ def context(rows: DataFrame, keys: list[str], order: list[str], text: str, befor
 
 def evenly_spaced(rows: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
     """Every step-th row from the first on, step = max(1, floor(n / k)), the first k of those."""
-    per = Window.partitionBy(*keys)
-    rows = rows.withColumn("at", F.row_number().over(per.orderBy(*order)) - 1).withColumn("n", F.count("*").over(per))
+    rows = numbered(rows, keys, order)
     step = F.greatest(F.lit(1), F.floor(F.col("n") / k))
     return rows.where((F.col("at") % step == 0) & (F.floor(F.col("at") / step) < k)).drop("at", "n")
 
 
 def head_middle_tail(rows: DataFrame, keys: list[str], order: list[str], head: int, middle: int, tail: int) -> DataFrame:
     """The first, middle and last rows with ``part``; a row in several parts is there once for each."""
-    per = Window.partitionBy(*keys)
-    rows = rows.withColumn("at", F.row_number().over(per.orderBy(*order)) - 1).withColumn("n", F.count("*").over(per))
+    rows = numbered(rows, keys, order)
     start = F.greatest(F.lit(0), F.floor(F.col("n") / 2) - middle // 2)
     parts = F.array_compact(F.array(
         F.when(F.col("at") < head, "head"), F.when((F.col("at") >= start) & (F.col("at") < start + middle), "middle"), F.when(F.col("at") >= F.col("n") - tail, "tail")
@@ -34,7 +34,7 @@ def head_middle_tail(rows: DataFrame, keys: list[str], order: list[str], head: i
 
 def carried_forward(rows: DataFrame, keys: list[str], order: list[str], setter: Column) -> DataFrame:
     """rows with ``carried``: the last value set at or before them."""
-    return rows.withColumn("carried", F.last(setter, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order)))
+    return carried(rows, keys, order, setter, "carried")
 
 
 def running_number(rows: DataFrame, keys: list[str], order: list[str], starts: Column) -> DataFrame:

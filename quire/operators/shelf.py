@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.ranks import numbered
+
 #: What a listing sorts by where a book has no place: shelf of public and of own books, and the order of a slot.
 PUBLIC_SHELF, USER_SHELF, NO_ORDER = "00-public", "90-user", 9999
 
@@ -74,9 +76,8 @@ def next_ordinal(rows: DataFrame, column: str, first: int, keys: list[str]) -> D
 def insert_at(siblings: DataFrame, book_id: int, at: int) -> DataFrame:
     """Siblings (book_id, position) and the book itself: it goes to place ``at`` (clamped), those from there on move right; positions count from 0."""
     others = siblings.where(F.col("book_id") != book_id)
-    order = F.row_number().over(Window.orderBy("position", "book_id")) - 1
-    ranked = others.withColumn("n", order).withColumn("place", F.least(F.lit(max(0, at)), F.count("*").over(Window.partitionBy())))
-    moved = ranked.select("book_id", (F.col("n") + F.when(F.col("n") >= F.col("place"), 1).otherwise(0)).cast("long").alias("position"))
+    ranked = numbered(others, [], ["position", "book_id"])
+    moved = ranked.select("book_id", (F.col("at") + F.when(F.col("at") >= F.least(F.lit(max(0, at)), F.col("n")), 1).otherwise(0)).cast("long").alias("position"))
     place = others.agg(F.least(F.lit(max(0, at)), F.count("*")).cast("long").alias("position"))
     return moved.unionByName(place.select(F.lit(book_id).cast("long").alias("book_id"), "position"))
 
@@ -87,14 +88,14 @@ def occupancy(placements: DataFrame, books: DataFrame, user: int) -> DataFrame:
     return rows.groupBy("slot_id").agg(F.count("*").alias("total"), F.sum(F.when(F.col("user_id") == user, 1).otherwise(0)).alias("mine"))
 
 
-def pages(books: DataFrame, order: list[Column], n: int) -> DataFrame:
+def pages(books: DataFrame, order: list[str], n: int) -> DataFrame:
     """Page and row of a wall of books: page 0 has the public row and the first n own books, later pages have two rows of n."""
-    own = F.col("user_id").isNotNull()
-    at = F.row_number().over(Window.partitionBy(own).orderBy(*order)) - 1
+    ranked = numbered(books.withColumn("own", F.col("user_id").isNotNull()), ["own"], order)
+    own, at = F.col("own"), F.col("at")
     later = at - n
     page = F.when(~own | (at < n), 0).otherwise(1 + F.floor(later / (2 * n)))
     row = F.when(~own, 0).when(at < n, 1).otherwise(F.floor((later % (2 * n)) / n))
-    return books.withColumn("page", page.cast("long")).withColumn("page_row", row.cast("long"))
+    return ranked.select(*books.columns, page.cast("long").alias("page"), row.cast("long").alias("page_row"))
 
 
 def midpoint_positions(rows: DataFrame, keys: list[str], position: str, order: list[str]) -> DataFrame:

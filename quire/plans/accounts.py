@@ -16,7 +16,7 @@ from quire.sources.tables import table
 
 @query("""
     WITH u AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 'g' || c_custkey ELSE 'email:' || c_custkey END AS google_id, c_name || '@x.org' AS email FROM customer),
-    i AS (SELECT 'apple' AS provider, 'a' || c_custkey AS provider_id, c_custkey AS user_id FROM customer WHERE c_custkey % 4 = 0),
+    i AS (SELECT 'apple' AS provider, 'a' || c_custkey AS provider_id, c_custkey AS user_id FROM customer WHERE c_mktsegment = 'FURNITURE'),
     l AS (SELECT o_orderkey AS login, CASE WHEN o_orderkey % 2 = 0 THEN 'google' ELSE 'apple' END AS provider, CASE WHEN o_orderkey % 2 = 0 THEN 'g' ELSE 'a' END || o_custkey AS provider_id,
                  CASE WHEN o_orderkey % 5 > 0 THEN upper('Customer#' || lpad(o_custkey::VARCHAR, 9, '0') || '@x.org') END AS email FROM orders)
     SELECT login, coalesce(u.user_id, i.user_id, m.user_id) AS user_id, CASE WHEN u.user_id IS NOT NULL THEN 'own' WHEN i.user_id IS NOT NULL THEN 'identity' WHEN m.user_id IS NOT NULL THEN 'email' END AS by
@@ -25,7 +25,7 @@ def identity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     customer = table(spark, sf_dir, "customer")
     users = customer.select(key.alias("user_id"), F.when(key % 3 == 0, F.concat(F.lit("g"), key.cast("string"))).otherwise(F.concat(F.lit("email:"), key.cast("string"))).alias("google_id"), F.concat("c_name", F.lit("@x.org")).alias("email"))
-    identities = customer.where(key % 4 == 0).select(F.lit("apple").alias("provider"), F.concat(F.lit("a"), key.cast("string")).alias("provider_id"), key.alias("user_id"))
+    identities = customer.where("c_mktsegment = 'FURNITURE'").select(F.lit("apple").alias("provider"), F.concat(F.lit("a"), key.cast("string")).alias("provider_id"), key.alias("user_id"))
     even, who = F.col("o_orderkey") % 2 == 0, F.col("o_custkey").cast("string")
     logins = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("login"), F.when(even, "google").otherwise("apple").alias("provider"), F.concat(F.when(even, "g").otherwise("a"), who).alias("provider_id"),
@@ -35,11 +35,11 @@ def identity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT a.conv_id, a.turn, coalesce(nullif(CASE WHEN b.turn % 3 = 0 THEN '' ELSE 't: ' || b.text END, ''), a.text) AS shown FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn AND b.turn % 2 = 1""")
+    SELECT a.conv_id, a.turn, coalesce(nullif(CASE WHEN b.turn % 3 = 0 THEN '' ELSE 't: ' || b.text END, ''), a.text) AS shown FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn AND b.role <> 'user'""")
 def shown_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The translation of a paragraph, or its source where there is none or it is empty."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    done = rows.where("turn % 2 = 1").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, "").otherwise(F.concat(F.lit("t: "), "text")).alias("translated_text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", "role")
+    done = rows.where("role <> 'user'").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, "").otherwise(F.concat(F.lit("t: "), "text")).alias("translated_text"))
     return reading.shown_text(rows, done, ["conv_id", "turn"]).select("conv_id", "turn", "shown")
 
 

@@ -140,20 +140,20 @@ UPSERT_SQL = "d AS (SELECT user_id, arg_max((event_id % 3 > 0)::INTEGER, (ts, ev
 
 
 @query(f"""
-    WITH {UPSERT_SQL}, o AS (SELECT c_custkey AS user_id, (c_custkey % 2)::INTEGER AS is_completed, CASE WHEN c_custkey % 2 = 1 THEN TIMESTAMP '2023-12-31' END AS completed_at FROM customer WHERE c_custkey <= 100)
+    WITH {UPSERT_SQL}, o AS (SELECT 2 * c_custkey AS user_id, (c_custkey % 2)::INTEGER AS is_completed, CASE WHEN c_custkey % 2 = 1 THEN TIMESTAMP '2023-12-31' END AS completed_at FROM customer)
     SELECT coalesce(o.user_id, d.user_id) AS user_id, coalesce(d.done, o.is_completed) AS is_completed,
            CASE WHEN d.done IS NULL THEN o.completed_at WHEN d.done = 1 THEN coalesce(o.completed_at, d.at_) END AS completed_at FROM o FULL JOIN d ON o.user_id = d.user_id""")
 def upsert_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A completion's first time is kept by later ones and cleared when the book is no longer completed."""
     key = F.col("c_custkey")
-    old = table(spark, sf_dir, "customer").where(key <= 100).select(key.alias("user_id"), (key % 2).cast("int").alias("is_completed"), F.when(key % 2 == 1, F.lit("2023-12-31").cast("timestamp_ntz")).alias("completed_at"))
+    old = table(spark, sf_dir, "customer").select((2 * key).alias("user_id"), (key % 2).cast("int").alias("is_completed"), F.when(key % 2 == 1, F.lit("2023-12-31").cast("timestamp_ntz")).alias("completed_at"))
     at = F.struct("ts", "event_id")
     changes = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by((F.col("event_id") % 3 > 0).cast("int"), at).alias("is_completed"), F.max("ts").alias("at"))
     return mutation.completed(old, changes, ["user_id"])
 
 
 @query("""
-    WITH o AS (SELECT c_custkey AS user_id, c_name AS xpath, (c_custkey % 2)::INTEGER AS show_original FROM customer WHERE c_custkey <= 100),
+    WITH o AS (SELECT 2 * c_custkey AS user_id, c_name AS xpath, (c_custkey % 2)::INTEGER AS show_original FROM customer),
     n AS (SELECT user_id, arg_max(CASE WHEN event_id % 4 > 0 THEN event_type END, (ts, event_id)) FILTER (TRUE) AS x, max(CASE WHEN event_id % 900 = 0 THEN 0 END)::INTEGER AS s FROM events GROUP BY 1),
     l AS (SELECT user_id, CASE WHEN event_id % 4 > 0 THEN event_type END AS x FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
     SELECT coalesce(o.user_id, n.user_id) AS user_id, CASE WHEN n.user_id IS NOT NULL THEN l.x ELSE o.xpath END AS xpath, CASE WHEN n.user_id IS NOT NULL THEN coalesce(n.s, o.show_original) ELSE o.show_original END AS show_original
@@ -161,7 +161,7 @@ def upsert_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A change overwrites the position, even with null, and keeps a setting that it does not name."""
     key = F.col("c_custkey")
-    old = table(spark, sf_dir, "customer").where(key <= 100).select(key.alias("user_id"), F.col("c_name").alias("xpath"), (key % 2).cast("int").alias("show_original"))
+    old = table(spark, sf_dir, "customer").select((2 * key).alias("user_id"), F.col("c_name").alias("xpath"), (key % 2).cast("int").alias("show_original"))
     at = F.struct("ts", "event_id")
     changes = table(spark, sf_dir, "events").groupBy("user_id").agg(
         F.max_by(F.struct(F.when(F.col("event_id") % 4 > 0, F.col("event_type")).alias("x")), at)["x"].alias("xpath"), F.max(F.when(F.col("event_id") % 900 == 0, 0)).alias("show_original")
@@ -191,10 +191,10 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH o AS (SELECT c_custkey AS id, c_name AS name FROM customer), n AS (SELECT c_custkey + 5000 AS id, c_name AS name FROM customer WHERE c_custkey % 3 > 0)
+    WITH o AS (SELECT c_custkey AS id, c_name AS name FROM customer), n AS (SELECT c_custkey + 5000 AS id, c_name AS name FROM customer WHERE c_mktsegment <> 'MACHINERY')
     SELECT o_orderkey, n.id AS o_custkey FROM orders JOIN o ON o.id = o_custkey LEFT JOIN n ON n.name = o.name""")
 def remapped_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References to old ids become references to new ones through natural keys, or null."""
-    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    new = old.where("id % 3 > 0").select((F.col("id") + 5000).alias("id"), "name")
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), "c_mktsegment")
+    old, new = customers.select("id", "name"), customers.where("c_mktsegment <> 'MACHINERY'").select((F.col("id") + 5000).alias("id"), "name")
     return mutation.remapped(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), old, new, "o_custkey", "id", ["name"], required=False)

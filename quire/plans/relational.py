@@ -60,12 +60,12 @@ def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").where(key % 2 == 0).select(key.alias("book_id"), F.col("c_nationkey").alias("slot_id"), (key % 100).alias("position"))
+    return table(spark, sf_dir, "customer").where("c_acctbal > 4500").select(key.alias("book_id"), F.col("c_nationkey").alias("slot_id"), (key % 100).alias("position"))
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("n_nationkey")
-    return table(spark, sf_dir, "nation").where(key % 3 == 0).select(F.lit(USER).alias("user_id"), key.alias("slot_id"), F.concat(F.lit("own "), key.cast("string")).alias("label"))
+    return table(spark, sf_dir, "nation").where("n_regionkey <> 1").select(F.lit(USER).alias("user_id"), key.alias("slot_id"), F.concat(F.lit("own "), key.cast("string")).alias("label"))
 
 
 SHELF_SQL = """
@@ -75,19 +75,19 @@ SHELF_SQL = """
     slots AS (
         SELECT n_nationkey AS id, r_name AS shelf_id, (n_nationkey // 5)::BIGINT AS "row", n_nationkey % 5 AS col, n_nationkey AS sort_order, n_name AS label, n_nationkey % 2 AS is_public
         FROM nation JOIN region ON n_regionkey = r_regionkey),
-    placements AS (SELECT c_custkey AS book_id, c_nationkey AS slot_id, c_custkey % 100 AS position FROM customer WHERE c_custkey % 2 = 0),
-    labels AS (SELECT 7 AS user_id, n_nationkey AS slot_id, 'own ' || n_nationkey AS label FROM nation WHERE n_nationkey % 3 = 0)"""
+    placements AS (SELECT c_custkey AS book_id, c_nationkey AS slot_id, c_custkey % 100 AS position FROM customer WHERE c_acctbal > 4500),
+    labels AS (SELECT 7 AS user_id, n_nationkey AS slot_id, 'own ' || n_nationkey AS label FROM nation WHERE n_regionkey <> 1)"""
 
 
 @query(f"""
-    WITH {SHELF_SQL}, shelves AS (SELECT 'alt' AS shelf_id, c_custkey AS book_id, c_custkey % 50 AS position FROM customer WHERE c_custkey % 3 = 0)
+    WITH {SHELF_SQL}, shelves AS (SELECT 'alt' AS shelf_id, c_custkey AS book_id, c_custkey % 50 AS position FROM customer WHERE c_mktsegment = 'MACHINERY')
     SELECT b.id, b.title, b.user_id, coalesce(s.shelf_id, h.shelf_id) AS shelf_id, coalesce(p.position, h.position) AS shelf_position, s.id AS shelf_slot_id, s."row" AS shelf_row, s.col AS shelf_col,
            CASE WHEN s.is_public = 1 THEN s.label ELSE l.label END AS shelf_slot_label
     FROM books b LEFT JOIN placements p ON p.book_id = b.id LEFT JOIN slots s ON s.id = p.slot_id LEFT JOIN labels l ON l.slot_id = s.id AND l.user_id = 7 LEFT JOIN shelves h ON h.book_id = b.id
     WHERE b.user_id IS NULL OR b.user_id = 7""")
 def shelf_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
-    shelves = table(spark, sf_dir, "customer").where(key % 3 == 0).select(F.lit("alt").alias("shelf_id"), key.alias("book_id"), (key % 50).alias("position"))
+    shelves = table(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'").select(F.lit("alt").alias("shelf_id"), key.alias("book_id"), (key % 50).alias("position"))
     rows = shelf.listing(_books(spark, sf_dir), _placements(spark, sf_dir), _slots(spark, sf_dir), _labels(spark, sf_dir), shelves, USER)
     return rows.select("id", "title", "user_id", "shelf_id", "shelf_position", "shelf_slot_id", "shelf_row", "shelf_col", "shelf_slot_label")
 
@@ -135,23 +135,27 @@ def anti_missing_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.missing(table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
 
 
-@query("SELECT DISTINCT c_nationkey AS user_id, l_suppkey AS slot_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_suppkey % 4 <> 0")
+@query("SELECT s_nationkey AS user_id, s_suppkey AS slot_id FROM supplier UNION SELECT c_nationkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey")
 def distinct_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels that are put in where their key is not there yet, here into an empty table."""
+    """Labels that are put in where their key is not there yet."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = rows.join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).where(F.col("l_suppkey") % 4 != 0)
+    rows = rows.join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     new = rows.select(F.col("c_nationkey").alias("user_id"), F.col("l_suppkey").alias("slot_id"))
-    return mutation.insert_ignore(spark.createDataFrame([], new.schema), new, ["user_id", "slot_id"])
+    old = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("user_id"), F.col("s_suppkey").alias("slot_id"))
+    return mutation.insert_ignore(old, new, ["user_id", "slot_id"])
 
 
-@query(f"""
-    WITH {SHELF_SQL}, held AS (SELECT p.slot_id, b.user_id AS owner FROM placements p JOIN books b ON b.id = p.book_id WHERE p.book_id < 60),
-    marked AS (SELECT s.*, CASE WHEN EXISTS (SELECT 1 FROM held h WHERE h.slot_id = s.id AND h.owner IS NULL) THEN 1 ELSE 0 END AS public FROM slots s)
-    SELECT DISTINCT h.owner AS user_id, h.slot_id, m.label FROM held h JOIN marked m ON m.id = h.slot_id WHERE h.owner IS NOT NULL AND m.public = 0 AND m.label IS NOT NULL""")
+@query("""
+    WITH held AS (SELECT l_partkey AS slot_id, CASE WHEN o_orderdate >= TIMESTAMP '1992-03-01' THEN o_custkey END AS owner FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    marked AS (SELECT p_partkey AS id, p_name AS label, EXISTS (SELECT 1 FROM held h WHERE h.slot_id = p_partkey AND h.owner IS NULL) AS public FROM part)
+    SELECT DISTINCT h.owner AS user_id, h.slot_id, m.label FROM held h JOIN marked m ON m.id = h.slot_id WHERE h.owner IS NOT NULL AND NOT m.public""")
 def migrated_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of private slots move to the users whose books the slots hold."""
-    labels = _labels(spark, sf_dir).where("false").select(F.col("user_id").cast("int").alias("user_id"), "slot_id", "label")
-    return mutation.migrated_labels(_slots(spark, sf_dir), _placements(spark, sf_dir).where("book_id < 60"), _books(spark, sf_dir), labels)["labels"]
+    """Labels of private slots move to the users whose books the slots hold: parts are slots, orders the books on them, the earliest public."""
+    slots = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.lit(0).alias("is_public"))
+    placements = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("slot_id"), F.col("l_orderkey").alias("book_id"))
+    books = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderdate") >= F.lit("1992-03-01").cast("timestamp_ntz"), F.col("o_custkey")).alias("user_id"))
+    none = books.limit(0).select("user_id", F.col("id").alias("slot_id"), F.lit("").alias("label"))
+    return mutation.migrated_labels(slots, placements, books, none)["labels"]
 
 
 @query(f"""
@@ -168,7 +172,7 @@ def slot_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {SHELF_SQL}, r AS (SELECT id, user_id IS NOT NULL AS own, row_number() OVER (PARTITION BY user_id IS NOT NULL ORDER BY id) - 1 AS pos FROM books)
     SELECT id, CASE WHEN NOT own OR pos < 12 THEN 0 ELSE 1 + (pos - 12) // 24 END::BIGINT AS page, CASE WHEN NOT own THEN 0 WHEN pos < 12 THEN 1 ELSE ((pos - 12) % 24) // 12 END::BIGINT AS page_row FROM r""")
 def shelf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shelf.pages(_books(spark, sf_dir), [F.col("id")], 12).select("id", "page", "page_row")
+    return shelf.pages(_books(spark, sf_dir), ["id"], 12).select("id", "page", "page_row")
 
 
 @query("""
@@ -180,11 +184,11 @@ def midpoint_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH b AS (SELECT (n_nationkey // 5)::BIGINT AS "row", (n_nationkey % 5)::BIGINT AS col, count(*)::DOUBLE AS w FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey < 15 GROUP BY 1, 2),
+    WITH b AS (SELECT (n_nationkey // 5)::BIGINT AS "row", (n_nationkey % 5)::BIGINT AS col, count(*)::DOUBLE AS w FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
     g AS (SELECT r.x AS "row", c.x AS col FROM (SELECT unnest(range(min("row") - 1, max("row") + 2)) AS x FROM b) r, (SELECT unnest(range(min(col) - 1, max(col) + 2)) AS x FROM b) c)
     SELECT g."row", g.col, 1000.0::DOUBLE - coalesce(w, 0) AS remaining FROM g LEFT JOIN b ON g."row" = b."row" AND g.col = b.col WHERE 1000.0 - coalesce(w, 0) >= 5""")
 def drop_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").where(F.col("c_nationkey") < 15).select(F.floor(F.col("c_nationkey") / 5).cast("long").alias("row"), (F.col("c_nationkey") % 5).cast("long").alias("col"))
+    rows = table(spark, sf_dir, "customer").select(F.floor(F.col("c_nationkey") / 5).cast("long").alias("row"), (F.col("c_nationkey") % 5).cast("long").alias("col"))
     return shelf.drop_targets(shelf.bays(rows, F.lit(1.0)), 1000.0, 5.0)
 
 

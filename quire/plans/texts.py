@@ -223,12 +223,13 @@ def variant_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH s AS (SELECT conv_id * 1000 + turn AS segment_id, conv_id, text, length(text) % 4 = 0 AS mostly, regexp_extract_all(text, '[a-z]{7,}') AS words FROM conversations WHERE conv_id % 2 = 0),
+    WITH s AS (SELECT conv_id * 1000 + turn AS segment_id, conv_id, text, length(text) % 4 = 0 AS mostly, regexp_extract_all(text, '[a-z]{7,}') AS words FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) >= 4)),
     f AS (SELECT unnest(words) AS word FROM s WHERE mostly AND len(words) > 0)
     SELECT word, count(*) AS n FROM f GROUP BY word ORDER BY n DESC, word LIMIT 25""")
 def corpus_scan_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a corpus scan flags most often."""
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("segment_id"), F.col("conv_id").alias("chapter_id"), "text")
-    chapters = rows.select(F.col("chapter_id").alias("id"), F.col("chapter_id").alias("book_id")).distinct()
-    books = chapters.select("id", F.when(F.col("id") % 2 == 0, "en-zh").otherwise("en-none").alias("language_pair"))
+    sizes = rows.groupBy(F.col("chapter_id").alias("id")).agg(F.count("*").alias("n"))
+    chapters = sizes.select("id", F.col("id").alias("book_id"))
+    books = sizes.select("id", F.when(F.col("n") >= 4, "en-zh").otherwise("en-none").alias("language_pair"))
     return evaluation.corpus_scan(rows, chapters, books, F.regexp_extract_all("text", F.lit("([a-z]{7,})"), F.lit(1)), F.length("text") % 4 == 0)["words"]
