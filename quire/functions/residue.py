@@ -58,6 +58,11 @@ def residue(text: Column, common_words: list[str], allowed: Column | None = None
     return let(strip_citations(text), lambda s: let(count_of(s, CJK), lambda cjk: by_letters(s, cjk)))
 
 
+def is_candidate(text: Column) -> Column:
+    """Whether a text can have residue at all: three lower-case letters in a row."""
+    return F.coalesce(text.rlike("[a-z]{3}"), F.lit(False))
+
+
 def relevant_terms(text: Column, glossary: Column) -> Column:
     """The entries of a glossary map whose term is in the text, compared in lower case; longest terms first, as an array of entries."""
     found = F.filter(F.map_entries(glossary), lambda e: F.contains(F.lower(text), F.lower(e["key"])))

@@ -269,3 +269,52 @@ def paragraphs(text: Column, large: int = 3000) -> Column:
     parts = lambda pattern: F.filter(F.split(text, pattern), lambda x: F.trim(x) != "")
     by_paragraph, by_line = parts("\n\n+"), parts("\n")
     return F.when(F.length(text) <= large, F.array(text)).when(F.size(by_paragraph) > 1, by_paragraph).when(F.size(by_line) > 1, by_line).otherwise(F.array(text))
+
+
+# -- pages and files ------------------------------------------------------------------------------------------
+
+#: What short navigation lines hold, and what blocks of rights hold.
+NAVIGATION = [
+    "table of contents", "contents", "chapter", "section", "copyright", "©", "all rights reserved", "license", "legal", "disclaimer", "imprint", "impressum", "publisher",
+    "previous", "next", "back", "forward", "home", "page", "pg.", "cover", "title page", "index",
+]
+RIGHTS = ["copyright", "©", "all rights reserved"]
+
+
+def is_navigation_or_rights(text: Column) -> Column:
+    """A line of fewer than 50 characters that names navigation, or a block of fewer than 300 that names rights."""
+    any_of = lambda s, words: F.exists(F.lit(words), lambda w: F.contains(s, w))
+    return let(F.lower(F.trim(text)), lambda s: ((F.length(s) < 50) & any_of(s, NAVIGATION)) | ((F.length(s) < 300) & any_of(s, RIGHTS)))
+
+
+def file_number(path: Column) -> Column:
+    """The last number in a file's name; files without one come after all others (null)."""
+    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    return F.nullif(F.regexp_extract(name, r"(\d+)\D*$", 1), F.lit("")).cast("long")
+
+
+def stored_html(html: Column, most: int = 50_000) -> Column:
+    """A chapter's markup if it is short enough to be stored with it (fewer than ``most`` bytes), else null."""
+    return F.when((F.octet_length(html) > 0) & (F.octet_length(html) < most), html)
+
+
+def with_image_sources(html: Column, stored: Column) -> Column:
+    """Markup whose ``img`` sources are replaced by what the map ``stored`` has for them: by the whole path, without leading ``../``, or by the file's name."""
+    pattern = r'(?i)<img[^>]*\ssrc="([^"]*)"'
+    sources = F.array_distinct(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)))
+
+    def new(s: Column) -> Column:
+        return F.coalesce(F.try_element_at(stored, s), F.try_element_at(stored, F.regexp_replace(s, r"^(\.\./)+", "")), F.try_element_at(stored, F.element_at(F.split(s, "/"), -1)))
+
+    return F.aggregate(sources, html, lambda out, s: F.coalesce(F.replace(out, F.concat(F.lit(' src="'), s, F.lit('"')), F.concat(F.lit(' src="'), new(s), F.lit('"'))), out))
+
+
+def signature(payload: Column, stamp: Column, secret: str) -> Column:
+    """HMAC-SHA256 of ``stamp.payload`` as lower-case hex, from its definition: two hashes over the padded key."""
+    import hashlib
+
+    raw = secret.encode()
+    key = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    pad = lambda n: F.lit(bytearray(b ^ n for b in key))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), F.encode(F.concat(stamp, F.lit("."), payload), "UTF-8")), 256))
+    return F.sha2(F.concat(pad(0x5C), inner), 256)

@@ -35,3 +35,10 @@ def with_token(books: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def without_token(books: DataFrame, uuids: list[str]) -> DataFrame:
     return books.withColumn("share_token", F.when(~F.col("uuid").isin(uuids), F.col("share_token")))
+
+
+def without_tokens(books: DataFrame, uuids: DataFrame) -> DataFrame:
+    """books whose token is taken away where ``uuids`` (uuid) names them."""
+    gone = uuids.select(F.col("uuid").alias("gone")).distinct()
+    rows = books.join(gone, F.col("uuid") == F.col("gone"), "left")
+    return rows.select(*[F.when(F.col("gone").isNull(), F.col("share_token")).alias(c) if c == "share_token" else F.col(c) for c in books.columns])

@@ -81,3 +81,16 @@ def chunk_slices(nodes: DataFrame, keys: list[str], order: str, size: int = 25)
 
 def timed_out(jobs: DataFrame, now: Column, limit: str = "4 hours") -> DataFrame:
     return jobs.withColumn("timed_out", ~F.col("status").isin(FINAL) & (F.col("created_at") < now - F.expr(f"INTERVAL {limit}")))
+
+
+def has_artwork(cover: Column, spine: Column) -> Column:
+    """Whether a book has both its pictures."""
+    return F.coalesce(cover != "", F.lit(False)) & F.coalesce(spine != "", F.lit(False))
+
+
+def import_states(status: Column, cover: Column, spine: Column, language_pair: Column) -> list[Column]:
+    """``import_pending``, ``artwork_pending`` and ``needs_drive`` (a translation that the reader's page has to keep going) of a book."""
+    processing = status.eqNullSafe(F.lit("processing"))
+    artwork = ~status.eqNullSafe(F.lit("error")) & ~has_artwork(cover, spine)
+    drive = processing & ~F.coalesce(language_pair.endswith("-none"), F.lit(False))
+    return [processing.alias("import_pending"), artwork.alias("artwork_pending"), drive.alias("needs_drive")]

@@ -81,3 +81,8 @@ def migrated_labels(slots: DataFrame, placements: DataFrame, books: DataFrame, l
     moved = held.where(F.col("owner").isNotNull()).join(private, "slot_id").select(F.col("owner").alias("user_id"), "slot_id", "label").distinct()
     cleared = set_columns(marked, F.col("is_public") == 0, {"label": F.lit(None).cast("string")})
     return {"slots": cleared, "labels": insert_ignore(labels, moved, ["user_id", "slot_id"])}
+
+
+def upsert_or_delete(old: DataFrame, changes: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """old with the values of changes put in by key; a key whose new value is null goes."""
+    return replace_by_key(old, changes, keys).where(F.col(value).isNotNull())

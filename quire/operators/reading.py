@@ -57,11 +57,13 @@ def chapter_lengths(chapters: DataFrame, texts: DataFrame, key: str, text: str)
 def nearest_chapter(asked: DataFrame, chapters: DataFrame, key: str, number: str, wanted: str) -> DataFrame:
     """asked with ``actual``: the chapter itself, else the largest below it, else the smallest; null for books without chapters.
 
-    One aggregate over the book's chapters for each request, so no chapter list is ever gathered.
+    One aggregate over the book's chapters for each different request, so no chapter list is ever gathered; a request that is there several times is answered as often.
     """
     own = chapters.select(F.col(key).alias("own_key"), F.col(number).alias("own_number"))
-    rows = asked.join(own, F.col(key) == F.col("own_key"), "left").groupBy(*asked.columns)
-    return rows.agg(F.coalesce(F.max(F.when(F.col("own_number") <= F.col(wanted), F.col("own_number"))), F.min("own_number")).alias("actual"))
+    times = asked.groupBy(*asked.columns).agg(F.count("*").alias("times"))
+    rows = times.join(own, F.col(key) == F.col("own_key"), "left").groupBy(*asked.columns, "times")
+    found = rows.agg(F.coalesce(F.max(F.when(F.col("own_number") <= F.col(wanted), F.col("own_number"))), F.min("own_number")).alias("actual"))
+    return found.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times", "time")
 
 
 def shown_text(nodes: DataFrame, translations: DataFrame, keys: list[str]) -> DataFrame:
@@ -121,3 +123,11 @@ def local_saves(saves: DataFrame, user: str, order: list[str]) -> DataFrame:
     group = F.sum(F.when(F.col("chapter").eqNullSafe(F.lag("chapter").over(before)), 0).otherwise(1)).over(before)
     kept = F.last("xpath", ignorenulls=True).over(Window.partitionBy(user, "run").orderBy(*order))
     return saves.withColumn("run", group).withColumn("xpath", kept).withColumn("ts_ms", F.coalesce("ts_ms", F.lit(0))).drop("run")
+
+
+def last_places(visits: DataFrame, key: str, order: list[str], place: str, most: int) -> DataFrame:
+    """key, ``places``: the last ``most`` places of each key, the latest last."""
+    at = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]))
+    last = visits.withColumn("k", at).where(F.col("k") <= most)
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), F.col(place).alias("place"))))
+    return last.groupBy(key).agg(F.transform(ordered, lambda x: x["place"]).alias("places"))

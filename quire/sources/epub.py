@@ -6,6 +6,7 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Iterable, Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
@@ -31,6 +32,14 @@ def _all(node: ElementTree.Element, name: str) -> list[ElementTree.Element]:
     return [n for n in node.iter() if _local(n) == name]
 
 
+def _member(book: zipfile.ZipFile, name: str) -> bytes | None:
+    """A file of a book; None if it is damaged."""
+    try:
+        return book.read(name)
+    except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
+        return None
+
+
 def _toc(book: zipfile.ZipFile, items: dict[str, dict], base: str) -> dict[str, str]:
     """File to title, the first entry of a file; the navigation document goes before the NCX."""
     found: dict[str, str] = {}
@@ -41,7 +50,7 @@ def _toc(book: zipfile.ZipFile, items: dict[str, dict], base: str) -> dict[str,
             continue
         path = posixpath.normpath(posixpath.join(base, unquote(item["href"])))
         if path in book.namelist():
-            for href, title in read(book.read(path).decode("utf-8", "replace")):
+            for href, title in read((_member(book, path) or b"").decode("utf-8", "replace")):
                 file = posixpath.normpath(posixpath.join(posixpath.dirname(path), unquote(href.split("#")[0])))
                 if title:
                     found.setdefault(file, title)
@@ -58,8 +67,13 @@ def _nav_entries(source: str) -> list[tuple[str, str]]:
 
 
 def _ncx_entries(source: str) -> list[tuple[str, str]]:
+    """Entries of an NCX; a broken one has none."""
     out = []
-    for point in _all(ElementTree.fromstring(source), "navPoint"):
+    try:
+        root = ElementTree.fromstring(source)
+    except ElementTree.ParseError:
+        return out
+    for point in _all(root, "navPoint"):
         label, content = _all(point, "text"), [c for c in point if _local(c) == "content"]
         if label and content:
             out.append((content[0].get("src", ""), " ".join((label[0].text or "").split())))
@@ -67,13 +81,13 @@ def _ncx_entries(source: str) -> list[tuple[str, str]]:
 
 
 def spine_rows(name: str, data: bytes) -> Iterator[tuple]:
-    """Rows of SPINE of one book; a book that is no ZIP file or names no package has none."""
+    """Rows of SPINE of one book; a book that is no ZIP file or names no package has none.  A damaged file has a row without html, a damaged table of contents no titles."""
     try:
         book = zipfile.ZipFile(io.BytesIO(data))
         container = ElementTree.fromstring(book.read("META-INF/container.xml"))
         package = _all(container, "rootfile")[0].get("full-path", "")
         opf = ElementTree.fromstring(book.read(package))
-    except (zipfile.BadZipFile, KeyError, IndexError, ElementTree.ParseError):
+    except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, KeyError, IndexError, ElementTree.ParseError):
         return
     base = posixpath.dirname(package)
     first = lambda tag: next((" ".join((n.text or "").split()) for n in _all(opf, tag)), None)
@@ -87,7 +101,8 @@ def spine_rows(name: str, data: bytes) -> Iterator[tuple]:
             continue
         file = posixpath.normpath(posixpath.join(base, unquote(item.get("href", ""))))
         if file in book.namelist():
-            yield (name, first("title"), first("creator"), first("language"), n, file, ref.get("linear") != "no", toc.get(file), guide.get(file), book.read(file).decode("utf-8", "replace"))
+            source = _member(book, file)
+            yield (name, first("title"), first("creator"), first("language"), n, file, ref.get("linear") != "no", toc.get(file), guide.get(file), None if source is None else source.decode("utf-8", "replace"))
             n += 1
 
 

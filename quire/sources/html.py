@@ -121,13 +121,22 @@ def _squeezed(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
 
-def _holds_block(node: Node) -> bool:
-    return any(n.tag in BLOCKS for n in node.walk() if n is not node)
+def _holding(body: Node) -> set[int]:
+    """The elements (by ``id``) that hold a block at any depth."""
+    out: set[int] = set()
+    for node in body.walk():
+        if node.tag in BLOCKS:
+            up = node.parent
+            while up is not None and id(up) not in out:
+                out.add(id(up))
+                up = up.parent
+    return out
 
 
 def split_breaks(body: Node) -> None:
     """A block without blocks in it whose text two or more line breaks divide becomes that many paragraphs; single ones are spaces."""
-    for block in [n for n in body.walk() if n.tag in BLOCKS and not _holds_block(n)]:
+    holding = _holding(body)
+    for block in [n for n in body.walk() if n.tag in BLOCKS and id(n) not in holding]:
         if sum(n.tag == "br" for n in block.walk()) < 2:
             continue
         flat = "".join("\x00" if isinstance(x, Node) else x for x in _flat(block))
@@ -154,13 +163,19 @@ def _flat(node: Node) -> Iterator[Node | str]:
 
 def serialised(node: Node | str) -> str:
     """Markup of a node; links that lead nowhere outside and name nothing are unwrapped."""
-    if isinstance(node, str):
-        return node
-    inner = "".join(map(serialised, node.children))
-    if node.tag == "a" and not (node.attrs.get("id") or node.attrs.get("name") or node.attrs.get("href", "").startswith("http")):
-        return inner
-    attrs = "".join(f' {k}="{v}"' for k, v in node.attrs.items())
-    return f"<{node.tag}{attrs}/>" if node.tag in EMPTY else f"<{node.tag}{attrs}>{inner}</{node.tag}>"
+    out, stack = [], [node]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x.tag == "a" and not (x.attrs.get("id") or x.attrs.get("name") or x.attrs.get("href", "").startswith("http")):
+            stack += reversed(x.children)
+        else:
+            attrs = "".join(f' {k}="{v}"' for k, v in x.attrs.items())
+            out.append(f"<{x.tag}{attrs}/>" if x.tag in EMPTY else f"<{x.tag}{attrs}>")
+            if x.tag not in EMPTY:
+                stack += [f"</{x.tag}>", *reversed(x.children)]
+    return "".join(out)
 
 
 def _kind(link: Node) -> str:
@@ -170,27 +185,36 @@ def _kind(link: Node) -> str:
 
 def leaves(body: Node) -> Iterator[tuple]:
     """Rows of LEAF: blocks that hold no block directly, in document order, with their path.  Text that lies between blocks is no block's and is left out."""
-    seq = 0
+    seq, path, hidden = 0, ["/body[1]"], 0
 
-    def visit(node: Node, path: str, hidden: bool) -> Iterator[tuple]:
-        nonlocal seq
+    def below(node: Node) -> Iterator[tuple[Node, int]]:
         seen: dict[str, int] = {}
         for child in node.elements():
             seen[child.tag] = seen.get(child.tag, 0) + 1
-            if child.tag in PASSED:
-                continue
-            own = f"{path}/{child.tag}[{seen[child.tag]}]"
-            aside = hidden or (child.tag == "aside" and "footnote" in child.attrs.get("epub:type", ""))
-            if child.tag in BLOCKS and not any(c.tag in BLOCKS for c in child.elements()):
-                links = [(a.attrs["href"], a.text().strip(), _kind(a)) for a in child.walk() if a.tag == "a" and a.attrs.get("href")]
-                anchors = [v for n in child.walk() for v in (n.attrs.get("id"), n.attrs.get("name")) if v]
-                text = _squeezed(child.text(lambda n: n.tag == "a" and _kind(n) == "note"))
-                yield (seq, own, child.tag, text, "".join(map(serialised, child.children)), anchors, links, aside)
-                seq += 1
-            else:
-                yield from visit(child, own, aside)
-
-    yield from visit(body, "/body[1]", False)
+            if child.tag not in PASSED:
+                yield child, seen[child.tag]
+
+    # Open elements: what is left of their children, and whether their end ends a hidden aside.
+    open_ = [(below(body), False)]
+    while open_:
+        rest, aside = open_[-1]
+        if (found := next(rest, None)) is None:
+            open_.pop()
+            path.pop()
+            hidden -= aside
+            continue
+        child, n = found
+        own, aside = f"/{child.tag}[{n}]", child.tag == "aside" and "footnote" in child.attrs.get("epub:type", "")
+        if child.tag in BLOCKS and not any(c.tag in BLOCKS for c in child.elements()):
+            links = [(a.attrs["href"], a.text().strip(), _kind(a)) for a in child.walk() if a.tag == "a" and a.attrs.get("href")]
+            anchors = [v for n in child.walk() for v in (n.attrs.get("id"), n.attrs.get("name")) if v]
+            text = _squeezed(child.text(lambda n: n.tag == "a" and _kind(n) == "note"))
+            yield (seq, "".join(path) + own, child.tag, text, "".join(map(serialised, child.children)), anchors, links, bool(hidden or aside))
+            seq += 1
+        else:
+            path.append(own)
+            hidden += aside
+            open_.append((below(child), aside))
 
 
 def leaf_blocks(pages: DataFrame, keys: list[str], html: str, least: int = 2) -> DataFrame:

@@ -13,19 +13,24 @@ from pyspark.sql.streaming.state import GroupState
 from quire.operators.limits import admit
 
 
-def admission(events: DataFrame, window: int, limit: int) -> DataFrame:
+def admission(events: DataFrame, window: int, limit: int, late: str = "0 seconds") -> DataFrame:
     """Sliding-window admission of a stream of (event_id, user_id, t in microseconds): event_id, user_id, limited.
 
-    The state of a key is the accepted times inside its window.
+    The state of a key is the accepted times inside its window; it goes when the watermark, ``late`` behind the latest event, has left the last of them behind.
     """
+    timed = events.withColumn("at", F.timestamp_micros("t")).withWatermark("at", late)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(["t", "event_id"], kind="stable")
         limited, _, held = admit(rows["t"].tolist(), window, limit, deque(state.get[0] if state.exists else []))
         state.update((list(held),))
+        state.setTimeoutTimestamp(max((max(held, default=0) + window) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "limited": limited})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, limited boolean", "held array<long>", "append", "NoTimeout")
+    return timed.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, limited boolean", "held array<long>", "append", "EventTimeTimeout")
 
 
 def issued(events: DataFrame, key: str, at: str, late: str, span: str) -> DataFrame:

@@ -140,3 +140,21 @@ def test_evaluation(spark):
     assert evaluation.metrics(rows, ["m"], F.col("words"), F.col("checks"), F.col("kept")).count() == 0
     layers = [frame(spark, [("a", "1"), ("b", "2")], "term string, translation string"), frame(spark, [("b", "3")], "term string, translation string")]
     assert {r.term: r.translation for r in evaluation.merged_glossary(layers).collect()} == {"a": "1", "b": "3"}
+
+
+def test_numbers_within_hot_keys(spark):
+    from quire.operators import ranks, reading
+
+    rows = [("hot" if i % 4 else None, (i * 7919) % 1009, i, i if i % 50 == 0 else None) for i in range(1500)]
+    df = spark.createDataFrame(rows, "k string, v long, id long, mark long")
+    got = {r.id: (r.at, r.n, r.last) for r in ranks.carried(ranks.numbered(df, ["k"], ["v", "id"]), ["k"], ["v", "id"], F.col("mark"), "last").collect()}
+    for key in ("hot", None):
+        own, last = sorted((v, i, m) for k, v, i, m in rows if k == key), None
+        for n, (_, i, m) in enumerate(own):
+            last = m if m is not None else last
+            assert got[i] == (n, len(own), last)
+    assert ranks.numbered(df.where("false"), ["k"], ["v"]).count() == 0
+    asked = spark.createDataFrame([(1, 5)] * 3 + [(2, 1)], "book int, wanted int")
+    chapters = spark.createDataFrame([(1, 2), (1, 4), (1, 9)], "book int, number int")
+    got = reading.nearest_chapter(asked, chapters, "book", "number", "wanted").collect()
+    assert sorted((r.book, r.wanted, r.actual) for r in got) == [(1, 5, 4)] * 3 + [(2, 1, None)]
