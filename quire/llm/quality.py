@@ -3,7 +3,7 @@
 Labellers vote fit, unfit or abstain on each document.  All documents are counted by the pattern of their votes (at most
 3 ** labellers patterns), and expectation-maximisation on those counts estimates how often each labeller casts which vote on fit and on
 unfit documents, and so the probability that a document with a pattern is fit.  These posteriors are the labels of a logistic
-regression on hashed features, which scores every document.  No hand-made label is used.
+regression on hashed features (words, character trigrams, shapes and binned measures of whole texts), which scores every document.  No hand-made label is used.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.shared import cut
+from quire.llm.text_hash import Words, mix
 
 FIT, UNFIT, ABSTAIN = "1", "0", "-"
 #: Hash buckets of the scorer's features.
-BUCKETS = 1 << 12
+BUCKETS = 1 << 14
 #: Documents that the scorer is fitted on, at most about so many: those with the smallest hashes of their text.
-FITTED = 20_000
+FITTED = 8_000
 EM_ROUNDS, EPOCHS, RATE, DECAY, SEED = 50, 12, 0.5, 1e-5, 7
 
 # Frequent function words of the corpus's languages (English, German, French, Spanish).
@@ -117,8 +117,28 @@ _SHAPE = str.maketrans({c: "x" for c in map(chr, range(97, 123))} | {c: "X" for
 _RUNS = re.compile(r"(.)\1+")
 
 
-def features(text: str, m: dict[str, float] | None) -> dict[int, float]:
-    """Hashed features of a whole text: a bias, binned measures, and shares of the first and last characters of words."""
+#: What the seed of a feature's hash is mixed with, so that words and trigrams fall on buckets of their own.
+_WORDS, _TRIGRAMS = np.uint64(0x51ED270B), np.uint64(0x2545F491)
+
+
+def _shares(hashes: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """The share of the hashes that falls on each bucket."""
+    return np.bincount((mix(hashes ^ seed) >> np.uint64(50)).astype(np.int64), minlength=BUCKETS) / max(1, len(hashes))
+
+
+def features(text: str, m: dict[str, float] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and values of a whole text: a bias, binned measures, and shares of words, of character (byte) trigrams and of words' first and last characters."""
+    out = _shapes(text, m)
+    x = np.zeros(BUCKETS)
+    if m is not None:
+        raw = np.frombuffer(text.lower().encode(), np.uint8).astype(np.uint64)
+        x += _shares(Words([text]).hash, _WORDS) + _shares((raw[:-2] << np.uint64(16)) | (raw[1:-1] << np.uint64(8)) | raw[2:], _TRIGRAMS)
+    x[list(out)] += list(out.values())
+    at = np.flatnonzero(x)
+    return at, x[at]
+
+
+def _shapes(text: str, m: dict[str, float] | None) -> dict[int, float]:
     out = {_bucket("bias"): 1.0}
     if m is None:
         out[_bucket("empty")] = 1.0
@@ -134,10 +154,10 @@ def features(text: str, m: dict[str, float] | None) -> dict[int, float]:
     return out
 
 
-def _fit(examples: list[tuple[list[int], list[float], float]]) -> np.ndarray:
+def _fit(examples: list[tuple[bytes, bytes, float]]) -> np.ndarray:
     """Weights of the scorer: logistic regression on soft labels, by stochastic gradients with adaptive rates."""
     w, seen, random = np.zeros(BUCKETS), np.full(BUCKETS, 1e-6), np.random.default_rng(SEED)
-    rows = [(np.array(i, dtype=np.int64), np.array(x), y) for i, x, y in examples]
+    rows = [(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32), y) for i, x, y in examples]
     for _ in range(EPOCHS):
         for k in random.permutation(len(rows)):
             i, x, y = rows[k]
@@ -161,7 +181,8 @@ def _rows(docs: DataFrame, text: str, make, schema: str, types: pa.Schema) -> Da
 def fit(docs: DataFrame, text: str, fitted: int = FITTED) -> dict:
     """The model: scorer weights ``w``, pattern posteriors, the share of fit documents and the labellers' vote rates.
 
-    The vote counts and the EM cover all documents.  The linear scorer is fitted on about ``fitted`` of them.
+    The vote counts and the EM cover all documents, repeated rows as often as they are there and null texts as empty ones.  The linear scorer is fitted on about ``fitted`` of
+    them, each text once.  The model is the same however the rows are dealt to tasks; without rows it scores every text alike.
     """
     only = docs.select(F.col(text).alias("__text"))
     voted = _rows(only, "__text", lambda t: (votes(measures(t)),), "votes string", pa.schema([("votes", pa.string())]))
@@ -172,11 +193,11 @@ def fit(docs: DataFrame, text: str, fitted: int = FITTED) -> dict:
 
     def example(t: str) -> tuple:
         m = measures(t)
-        x = features(t, m)
-        return list(x), list(x.values()), posterior[votes(m)]
+        i, x = features(t, m)
+        return i.astype(np.int32).tobytes(), x.astype(np.float32).tobytes(), posterior[votes(m)]
 
-    types = pa.schema([("i", pa.list_(pa.int32())), ("x", pa.list_(pa.float64())), ("y", pa.float64())])
-    rows = _rows(drawn.dropDuplicates(), "__text", example, "i array<int>, x array<double>, y double", types).collect()
+    types = pa.schema([("i", pa.binary()), ("x", pa.binary()), ("y", pa.float64())])
+    rows = _rows(drawn.dropDuplicates(), "__text", example, "i binary, x binary, y double", types).collect()
     return {"w": _fit(sorted((r.i, r.x, r.y) for r in rows)), "posterior": posterior, "share": share, "rates": rates}
 
 
@@ -186,8 +207,8 @@ def _scorer(spark: SparkSession, model: dict, least: float):
     def scored(t: str) -> tuple:
         w, posterior = shared.value
         m = measures(t)
-        x = features(t, m)
-        s = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(sum(w[i] * v for i, v in x.items()))))))
+        i, x = features(t, m)
+        s = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(w[i] @ x)))))
         return s, posterior.get(votes(m), 0.5), s >= least
 
     return scored
@@ -206,7 +227,7 @@ def score(docs: DataFrame, doc_id: str, text: str, model: dict, least: float = 0
 
 
 def kept(docs: DataFrame, text: str, model: dict, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score at least ``least``, with all of their columns."""
+    """The rows of ``docs`` that score at least ``least``, with all of their columns, whatever their names; repeated rows stay or go together, null texts go as unfit."""
     scored = _scorer(docs.sparkSession, model, least)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

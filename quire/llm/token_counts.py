@@ -2,7 +2,7 @@
 
 A whole text's count is the sum over its white-space-bounded pre-tokens, since no token of the vocabulary spans
 white space.  Tier one is a compact broadcast table of the lengths of frequent pre-tokens; what it misses is
-encoded by the library once and kept in the worker's cache.  No pre-token is shuffled: the frequent table comes
+encoded by the library once and kept in the worker's cache, if it is short.  No pre-token of the texts is shuffled: the frequent table comes
 from summaries, in which a task names only pre-tokens that make up at least ``1 / SHARE`` of what it has read,
 so a task sends at most SHARE rows and the table has at most SHARE rows, however large the corpus is.
 """
@@ -23,8 +23,8 @@ from quire.llm.shared import cut
 SHARE = 16_384
 #: Distinct pre-tokens that a task counts before it drops those that are too rare to be named.
 COUNTED = 400_000
-#: Entries of each of the two generations of a worker's cache.
-CACHE_ENTRIES = 200_000
+#: Entries of each of the two generations of a worker's cache, and the characters of a pre-token that is kept in it at most.
+CACHE_ENTRIES, CACHE_LENGTH = 200_000, 64
 
 #: Python splits at these, the library's white space does not include them.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -54,13 +54,17 @@ class Lengths:
         split = [[] if o else t.split() for t, o in zip(texts, odd)]
         if len(self.young) > CACHE_ENTRIES + len(self.frequent):
             self.old, self.young = self.young, dict(self.frequent)
-        young, old = self.young, self.old
+        young, old, get = self.young, self.old, self.young.__getitem__
         if misses := {w for words in split for w in words if w not in young}:
             young.update((w, old[w]) for w in misses if w in old)
             new = [w for w in misses if w not in old]
-            young.update(zip(new, self.whole(new)))
+            short = [w for w in new if len(w) <= CACHE_LENGTH]
+            young.update(zip(short, self.whole(short)))
+            if len(short) < len(new):
+                long = [w for w in new if len(w) > CACHE_LENGTH]
+                now = dict(zip(long, self.whole(long)))
+                get = lambda w: now[w] if w in now else young[w]
         whole = iter(self.whole([t for t, o in zip(texts, odd) if o]))
-        get = young.__getitem__
         return [next(whole) if o else sum(map(get, words)) for words, o in zip(split, odd)]
 
 

@@ -70,6 +70,39 @@ def test_quality_gives_one_row_a_document(spark):
     assert votes.count() == 1100
 
 
+def test_quality_model_does_not_depend_on_batches(spark):
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choices(["the", "of", "house", "Tree", "in", "and", "spam!", "WIN", "||"], k=rnd.randint(0, 60))) for _ in range(700)] + [None] * 3
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    one, many = (quality.fit(df, "text") for df in (rows.coalesce(1), rows.repartition(7)))
+    assert one["posterior"] == pytest.approx(many["posterior"]) and one["share"] == pytest.approx(many["share"]) and np.allclose(one["w"], many["w"])
+    got = collections.Counter(r.text for r in quality.kept(rows.coalesce(1), "text", one).collect())
+    score = {r.text: r.keep for r in quality.score(rows.withColumn("id", F.col("text")), "id", "text", one).select(F.col("id").alias("text"), "keep").collect()}
+    assert got == collections.Counter(t for t in texts if score[t])
+
+
+def test_em_by_documents():
+    """The estimates from vote patterns are those of the same rule run over every single document's votes."""
+    rnd = random.Random(12)
+    n = len(quality.LABELLERS)
+    votes = ["".join(rnd.choice("11110-") if rnd.random() < 0.7 else rnd.choice("0001-") for _ in range(n)) for _ in range(400)]
+    posterior, share, rates = quality.em(collections.Counter(votes), rounds=8)
+
+    def start(v):
+        fit, unfit = v.count("1"), v.count("0")
+        return min(0.95, max(0.05, (fit + 1 - 1.5 * (unfit > 0)) / (fit + unfit + 1) if unfit < 2 else 0.05))
+
+    p = [start(v) for v in votes]
+    for _ in range(8):
+        fit = sum(p)
+        own = [{x: ((1 + sum(1 - q for q, v in zip(p, votes) if v[k] == x)) / (len(votes) - fit + 3), (1 + sum(q for q, v in zip(p, votes) if v[k] == x)) / (fit + 3)) for x in "01-"} for k in range(n)]
+        prior = fit / len(votes)
+        odds = [prior / (1 - prior) * math.prod(own[k][x][1] / own[k][x][0] for k, x in enumerate(v) if x != "-") for v in votes]
+        p = [o / (1 + o) for o in odds]
+    assert share == pytest.approx(prior) and all(rates[k][x] == pytest.approx(own[k][x]) for k in range(n) for x in "01-")
+    assert all(posterior[v] == pytest.approx(q, abs=1e-9) for v, q in zip(votes, p))
+
+
 def test_em_finds_the_bad_labeller():
     random.seed(4)
     counts = collections.Counter()
