@@ -73,6 +73,25 @@ def next_ordinal(rows: DataFrame, column: str, first: int, keys: list[str]) -> D
     return rows.groupBy(*keys).agg((F.coalesce(F.max(column), F.lit(first - 1)) + 1).cast("long").alias("next_ordinal"))
 
 
+def created_slots(slots: DataFrame, wanted: DataFrame) -> DataFrame:
+    """slots (shelf_id, row, col, sort_order, label) and those of wanted (shelf_id, row, col) that are not there yet, without a label and after the others of their shelf.
+
+    A slot that several ask for is created once, and asking again changes nothing.
+    """
+    at = ["shelf_id", "row", "col"]
+    new = wanted.select(*at).distinct().join(slots.select(*at), at, "left_anti")
+    last = slots.groupBy(F.col("shelf_id").alias("of")).agg(F.max("sort_order").alias("last"))
+    place = F.row_number().over(Window.partitionBy("shelf_id").orderBy("row", "col"))
+    rows = new.join(last, F.col("shelf_id") == F.col("of"), "left").withColumn("sort_order", F.coalesce("last", F.lit(-1)) + place)
+    kinds = {f.name: f.dataType for f in slots.schema}
+    return slots.unionByName(rows.select(*[F.lit(None).cast(kinds[c]).alias(c) if c not in (*at, "sort_order") else F.col(c).cast(kinds[c]).alias(c) for c in slots.columns]))
+
+
+def locale_order(column: str) -> Column:
+    """What listings of titles sort by: letters by language rules, not by code points."""
+    return F.collate(F.col(column), "UNICODE")
+
+
 def insert_at(siblings: DataFrame, book_id: int, at: int) -> DataFrame:
     """Siblings (book_id, position) and the book itself: it goes to place ``at`` (clamped), those from there on move right; positions count from 0."""
     others = siblings.where(F.col("book_id") != book_id)

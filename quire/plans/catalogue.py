@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from quire.functions import numbers
 from quire.functions import residue as R
 from quire.functions import text as X
-from quire.operators import accounts, evaluation, jobs, mutation, ranks, reading
+from quire.operators import accounts, evaluation, jobs, mutation, ranks, reading, shelf
 from quire.plans.registry import query
 from quire.plans.texts import _citations_sql
+from quire.sources import scripts
 from quire.sources.tables import lines, table
 
 
@@ -229,3 +230,36 @@ def import_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("s_acctbal") < 0, "processing").when(F.col("s_nationkey") < 5, "error").when(F.col("s_nationkey") < 20, "ready")
     spine, pair = F.when(F.col("s_nationkey") < 12, F.lit("s.png")), F.when(F.col("s_nationkey") < 8, "en-none").otherwise("en-zh")
     return table(spark, sf_dir, "supplier").select("s_suppkey", *jobs.import_states(status, F.lit("c.png"), spine, pair))
+
+
+@query("""
+    SELECT c_custkey AS book, 'DELETE FROM books WHERE id = ' || c_custkey || ';' AS gone,
+           'INSERT INTO books (id, title, owner) VALUES (' || c_custkey || ', ''' || c_name || '''''s'', ' || CASE WHEN c_mktsegment <> 'BUILDING' THEN c_nationkey::VARCHAR ELSE 'NULL' END || ');' AS put FROM customer""")
+def book_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each book as the statements that put it into another database, taken apart again."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat("c_name", F.lit("'s")).alias("title"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_nationkey")).alias("owner"))
+    told = scripts.replacing(rows, "books", "id")
+    script = F.concat(F.lit("-- a book\n"), F.array_join("statements", "\n"), F.lit("\n  -- end;\n"))
+    parts = told.select("id", scripts.split(script).alias("s"))
+    return parts.select(F.col("id").alias("book"), F.concat(F.col("s")[0], F.lit(";")).alias("gone"), F.concat(F.col("s")[1], F.lit(";")).alias("put"))
+
+
+@query("SELECT page_id, page_id % 3 > 0 AS inside FROM pages")
+def stored_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether paths made of the pages' addresses may be keys of stored objects."""
+    key = F.concat(F.when(F.col("page_id") % 3 == 0, F.lit("a/../../")).otherwise(F.lit("a/../")), F.regexp_replace("url", "[^a-zA-Z0-9]", "_"))
+    return table(spark, sf_dir, "pages").select("page_id", scripts.inside_store(key).alias("inside"))
+
+
+@query("""
+    WITH s AS (SELECT n_regionkey, (n_nationkey // 5)::BIGINT AS r, n_nationkey % 5 AS c, n_nationkey AS o FROM nation),
+    w AS (SELECT DISTINCT c_nationkey % 5 AS n_regionkey, (c_custkey % 7)::BIGINT AS r, (c_custkey % 3)::INTEGER AS c FROM customer),
+    n AS (SELECT w.*, row_number() OVER (PARTITION BY w.n_regionkey ORDER BY w.r, w.c) AS k FROM w WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.n_regionkey = w.n_regionkey AND s.r = w.r AND s.c = w.c))
+    SELECT n_regionkey AS shelf_id, r AS "row", c AS col, o::BIGINT AS sort_order FROM s
+    UNION ALL SELECT n_regionkey, r, c, coalesce((SELECT max(o) FROM s WHERE s.n_regionkey = n.n_regionkey), -1) + k FROM n""")
+def created_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots that readers ask for are created once, after the others of their shelf."""
+    key, book = F.col("n_nationkey"), F.col("c_custkey")
+    slots = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("shelf_id"), F.floor(key / 5).cast("long").alias("row"), (key % 5).alias("col"), key.cast("long").alias("sort_order"), F.col("n_name").alias("label"))
+    wanted = table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 5).alias("shelf_id"), (book % 7).alias("row"), (book % 3).cast("int").alias("col"))
+    return shelf.created_slots(slots, wanted).select("shelf_id", "row", "col", "sort_order")

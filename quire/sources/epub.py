@@ -94,20 +94,30 @@ def spine_rows(name: str, data: bytes) -> Iterator[tuple]:
     items = {i.get("id", ""): dict(i.attrib) for i in _all(opf, "item")}
     toc = _toc(book, items, base)
     guide = {posixpath.normpath(posixpath.join(base, unquote(r.get("href", "").split("#")[0]))): GUIDE.get(r.get("type", "").lower()) for r in _all(opf, "reference")}
-    n = 0
-    for ref in _all(opf, "itemref"):
-        item = items.get(ref.get("idref", ""))
+    n, spine = 0, [(items.get(r.get("idref", "")), r.get("linear") != "no") for r in _all(opf, "itemref")]
+    if not any(item for item, _ in spine):  # no reading order: pages by the last number of their names
+        pages = [i for i in items.values() if "html" in i.get("media-type", "")]
+        number = lambda i: [int(x) for x in re.findall(r"\d+", posixpath.basename(i.get("href", "")))[-1:]] or [1 << 60]
+        spine = [(i, True) for i in sorted(pages, key=lambda i: (number(i), i.get("href", "")))]
+    for item, linear in spine:
         if item is None:
             continue
         file = posixpath.normpath(posixpath.join(base, unquote(item.get("href", ""))))
         if file in book.namelist():
             source = _member(book, file)
-            yield (name, first("title"), first("creator"), first("language"), n, file, ref.get("linear") != "no", toc.get(file), guide.get(file), None if source is None else source.decode("utf-8", "replace"))
+            yield (name, first("title"), first("creator"), first("language"), n, file, linear, toc.get(file), guide.get(file), None if source is None else source.decode("utf-8", "replace"))
             n += 1
 
 
+def formats(spark: SparkSession, path: str) -> DataFrame:
+    """path, format (the ending of the name) and ``supported`` of the files that a path or pattern names, so that books of other formats are seen to be left out."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+    ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    return files.select("path", ending.alias("format"), (ending == "epub").alias("supported"))
+
+
 def read_books(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of SPINE of the e-books that a path or pattern names: ZIP packages; other formats have no rows."""
+    """Rows of SPINE of the e-books that a path or pattern names: ZIP packages; other formats have no rows (``formats`` tells them)."""
     files = spark.read.format("binaryFile").load(path).where(F.lower("path").endswith(".epub")).select("path", "content")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -27,6 +27,16 @@ def key_values(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode("m").alias("key", "value"))
 
 
+def with_values(old: DataFrame, new: DataFrame) -> DataFrame:
+    """key, value of a map after the entries of ``new`` are set."""
+    return old.join(new.select("key"), "key", "left_anti").unionByName(new.select("key", "value"))
+
+
+def write_key_values(rows: DataFrame, path: str) -> None:
+    """A map as one JSON object in one file; small by nature."""
+    rows.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m")).select(F.to_json("m")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def export(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Rows of an export: files that hold one JSON array each."""
     return spark.read.schema(schema).json(path, multiLine=True)

@@ -183,9 +183,31 @@ def _kind(link: Node) -> str:
     return "note" if "noteref" in marks else "link"
 
 
+def _names(node: Node) -> list[str]:
+    return [v for v in (node.attrs.get("id"), node.attrs.get("name")) if v]
+
+
+def long_enough(rows: Iterable[tuple], least: int) -> list[tuple]:
+    """The rows of LEAF whose text has ``least`` characters or more; anchors of the others go to the next of them, or the last."""
+    kept, waiting = [], []
+    for row in rows:
+        if len(row[3]) < least:
+            waiting += row[5]
+            continue
+        row[5][:0] = waiting
+        waiting = []
+        kept.append(row)
+    if kept:
+        kept[-1][5].extend(waiting)
+    return kept
+
+
 def leaves(body: Node) -> Iterator[tuple]:
-    """Rows of LEAF: blocks that hold no block directly, in document order, with their path.  Text that lies between blocks is no block's and is left out."""
-    seq, path, hidden = 0, ["/body[1]"], 0
+    """Rows of LEAF: blocks that hold no block directly, in document order, with their path.  Text that lies between blocks is no block's and is left out.
+
+    Anchors outside such blocks are the next one's; those after the last are the last one's.
+    """
+    seq, path, hidden, row, waiting = 0, ["/body[1]"], 0, None, []
 
     def below(node: Node) -> Iterator[tuple[Node, int]]:
         seen: dict[str, int] = {}
@@ -207,14 +229,20 @@ def leaves(body: Node) -> Iterator[tuple]:
         own, aside = f"/{child.tag}[{n}]", child.tag == "aside" and "footnote" in child.attrs.get("epub:type", "")
         if child.tag in BLOCKS and not any(c.tag in BLOCKS for c in child.elements()):
             links = [(a.attrs["href"], a.text().strip(), _kind(a)) for a in child.walk() if a.tag == "a" and a.attrs.get("href")]
-            anchors = [v for n in child.walk() for v in (n.attrs.get("id"), n.attrs.get("name")) if v]
+            if row is not None:
+                yield row
+            anchors, waiting = waiting + [v for n in child.walk() for v in _names(n)], []
             text = _squeezed(child.text(lambda n: n.tag == "a" and _kind(n) == "note"))
-            yield (seq, "".join(path) + own, child.tag, text, "".join(map(serialised, child.children)), anchors, links, bool(hidden or aside))
+            row = (seq, "".join(path) + own, child.tag, text, "".join(map(serialised, child.children)), anchors, links, bool(hidden or aside))
             seq += 1
         else:
+            waiting += _names(child)
             path.append(own)
             hidden += aside
             open_.append((below(child), aside))
+    if row is not None:
+        row[5].extend(waiting)
+        yield row
 
 
 def leaf_blocks(pages: DataFrame, keys: list[str], html: str, least: int = 2) -> DataFrame:
@@ -236,8 +264,7 @@ def leaf_blocks(pages: DataFrame, keys: list[str], html: str, least: int = 2) ->
                     body = body_of(source)
                     wrap_rows(body)
                     split_breaks(body)
-                    kept = [x for x in leaves(body) if len(x[3]) >= least]
-                    out += [(*own, *x, n) for n, x in enumerate(kept)]
+                    out += [(*own, *x, n) for n, x in enumerate(long_enough(leaves(body), least))]
                 yield pd.DataFrame(out, columns=names)
 
     return rows.mapInPandas(run, schema)

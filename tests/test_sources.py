@@ -35,6 +35,42 @@ def test_leaf_rows(spark):
     assert got[0].links[0].href == "n.html#n1" and got[0].links[0].kind == "note" and got[1].anchors == ["n1"] and got[0].anchors == []
 
 
+def test_anchors_outside_blocks_are_the_next_ones():
+    body = html.body_of('<body><a id="top"></a><p>One</p><div id="d"><p id="q">Two</p></div><p id="gone">x</p><p>Last</p><a name="end"></a></body>')
+    assert [x[5] for x in html.long_enough(html.leaves(body), 2)] == [["top"], ["d", "q"], ["gone", "end"]]
+
+
+def test_scripts_and_stores(spark, tmp_path):
+    from quire.operators import shelf
+    from quire.sources import scripts
+
+    script = spark.createDataFrame([("-- head\nCREATE TABLE a (x);\n  -- inner; comment\nINSERT INTO a VALUES (1) ;\n;\n",)], "s string")
+    assert script.select(scripts.split(F.col("s"))).first()[0] == ["CREATE TABLE a (x)", "INSERT INTO a VALUES (1)"]
+    keys = ["a/b.png", "../x", "a/../../x", "/etc/x", "", None, "a/./b", "a\\..\\..\\x", "a/.."]
+    got = spark.createDataFrame([(k,) for k in keys], "key string").select("key", scripts.inside_store(F.col("key")).alias("ok")).collect()
+    assert [r.key for r in got if r.ok] == ["a/b.png", "a/./b"]
+    files_ = spark.createDataFrame([("a.png", b"1"), ("../b.png", b"2"), ("a.png.meta.json", b"{}")], "key string, content binary")
+    metas = spark.createDataFrame([("a.png", '{"content_type":"image/png"}')], "key string, meta string")
+    assert [(r.key, r.content_type) for r in scripts.objects(files_, metas).collect()] == [("a.png", "image/png")]
+    (tmp_path / "kv.json").write_text(json.dumps({"x": "1", "y": "2"}))
+    changed = files.with_values(files.key_values(spark, f"file://{tmp_path}/kv.json"), spark.createDataFrame([("y", "3"), ("z", "4")], "key string, value string"))
+    files.write_key_values(changed, f"file://{tmp_path}/out")
+    assert sorted(map(tuple, files.key_values(spark, f"file://{tmp_path}/out").collect())) == [("x", "1"), ("y", "3"), ("z", "4")]
+    titles = spark.createDataFrame([("éa",), ("z",), ("Ea",), ("a",)], "t string")
+    assert [r.t for r in titles.orderBy(shelf.locale_order("t")).collect()] == ["a", "Ea", "éa", "z"]
+    (tmp_path / "b.mobi").write_bytes(b"x")
+    assert [(r.format, r.supported) for r in epub.formats(spark, f"file://{tmp_path}/b.*").collect()] == [("mobi", False)]
+
+
+def test_books_without_reading_order():
+    source = book([("c10.html", "<p>ten</p>", True), ("c2.html", "<p>two</p>", True), ("note.html", "<p>no number</p>", True)], [])
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(source)) as old, zipfile.ZipFile(out, "w") as new:
+        for name in old.namelist():
+            new.writestr(name, old.read(name).replace(b"itemref", b"other"))
+    assert [r[5] for r in epub.spine_rows("b", out.getvalue())] == ["OEBPS/c2.html", "OEBPS/c10.html", "OEBPS/note.html"]
+
+
 def test_deep_pages():
     deep = "<div>" * 4000 + "<p>bottom</p>" + "</div>" * 4000 + "<p>after</p>"
     assert [(p.count("/"), t) for p, t in blocks(deep)] == [(4002, "bottom"), (2, "after")]
