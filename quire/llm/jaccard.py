@@ -27,6 +27,8 @@ from quire.llm.text_hash import Words, mix, shingles, slices
 BLOCK, COLUMNS, PIVOTS = 512, 4096, 3
 #: Rows that are told by a broadcast of their keys; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows that are left out by a broadcast of their keys.
+LEFT_OUT = 4_000_000
 #: Bits of a part's token; its lowest bit is that of its band.
 TOKEN_BITS = 48
 
@@ -281,4 +283,25 @@ def classes(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int)
     told = nodes.join(labels, "node", "left").where("copies > 1 OR label IS NOT NULL").select("node", "least", F.coalesce("label", "node").alias("label"))
     named = told.join(told.groupBy("label").agg(F.min("least").alias("component_id")), "label").select(F.col("node").alias("of"), "component_id")
     out = sets.join(cut(named), (F.col("node") == F.col("of")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key")
+
+
+def one_of_each(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int) -> DataFrame:
+    """The rows of ``docs`` but for near copies: of each component one row stays, of its smallest doc_id; repeated rows count as copies.
+
+    Texts without words, and rows without an id whose component has no id at all, have no copies but their own repetitions.  Rows to be left out are told by a broadcast of
+    their 64-bit keys if there are up to LEFT_OUT of them, so that texts are not shuffled; more are joined by shuffle.
+    """
+    found = cut(classes(docs, doc_id, text, k, num, den)).where("n_shingles > 0")
+    own = found.where(F.col("component_id").eqNullSafe(F.col("doc_id")))
+    stay = cut(own.groupBy("component_id", "key").agg(F.count("*").alias("times")))
+    first = stay.where("component_id IS NOT NULL").groupBy(F.col("component_id").alias("of")).agg(F.min("key").alias("first"))
+    later = stay.join(first, (F.col("component_id") == F.col("of")) & (F.col("key") != F.col("first"))).select("key")
+    gone = cut(found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("key").unionByName(later).distinct())
+    again = cut(stay.where("times > 1").select("key").join(gone, "key", "left_anti"))
+    told = lambda keys: F.broadcast(keys) if keys.count() <= LEFT_OUT else keys
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(docs[doc_id].cast("long"), docs[text]).alias("key"))
+    rows = own.join(told(gone), "key", "left_anti")
+    if not again.isEmpty():
+        rows = rows.join(told(again), "key", "left_anti").unionByName(rows.join(told(again), "key", "left_semi").dropDuplicates(["key"]))
+    return rows.select([F.col("row")[c].alias(c) for c in docs.columns])

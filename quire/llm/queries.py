@@ -59,7 +59,7 @@ def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.classes(table(spark, sf_dir, "documents"), "doc_id", "text", k=3, num=90, den=100)
+    return jaccard.classes(table(spark, sf_dir, "documents"), "doc_id", "text", k=3, num=90, den=100).drop("key")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
