@@ -35,13 +35,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words have no near copies and stay; so do documents without an id whose group has no id at all.
     """
     ship(spark)
-    found = jaccard.classes(docs, "doc_id", "text", k=5, num=80, den=100)
-    stay = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
-    stay = cut(stay)
-    once, again = stay.where("__n = 1"), stay.where("__n > 1")
-    by_id = lambda rows: docs.join(rows.select("__id"), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    # Rows that repeat an id and a text are copies too.
-    return by_id(once).unionByName(by_id(again).dropDuplicates(["doc_id", "text"]))
+    return jaccard.one_of_each(docs, "doc_id", "text", k=5, num=80, den=100)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
