@@ -23,8 +23,8 @@ from pyspark.sql.window import Window
 from quire.llm.shared import cut, discard
 from quire.llm.text_hash import Words, mix, shingles, slices
 
-#: Rows of a block, columns of the incidence that are multiplied at once, and members that a large family is compared with first.
-BLOCK, COLUMNS, PIVOTS = 512, 4096, 3
+#: Rows of a block and n-grams of all of them together, about; columns of the incidence that are multiplied at once, and members that a large family is compared with first.
+BLOCK, GRAMS, COLUMNS, PIVOTS = 512, 1 << 20, 4096, 3
 #: Rows that are told by a broadcast of their keys; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Rows that are left out by a broadcast of their keys.
@@ -224,13 +224,14 @@ def _upto(n: Column) -> Column:
 
 
 def _links(rows: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) of nodes (node, rep) within the families that ``edges`` span: enough of them for the components."""
+    """Links (a, b) of nodes (node, rep, n) within the families that ``edges`` span: enough of them for the components."""
     popular = edges.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("w"))
     members = components(edges.select("a", "b")).withColumnRenamed("label", "family").join(popular, "node", "left").join(nodes, "node")
-    members = cut(members.select("node", "rep", "family", F.coalesce("w", F.lit(0)).alias("w")))
-    sizes = members.groupBy("family").agg(F.count("*").alias("all"))
+    members = cut(members.select("node", "rep", "n", "family", F.coalesce("w", F.lit(0)).alias("w")))
+    blocks = F.ceil(F.greatest(F.col("all") / BLOCK, F.col("grams") / GRAMS))
+    sizes = members.groupBy("family").agg(F.count("*").alias("all"), F.sum("n").alias("grams")).select("family", "all", blocks.alias("blocks"))
     zero, yes, no = F.lit(0).cast("long"), F.lit(True), F.lit(False)
-    large = cut(members.join(sizes.where(F.col("all") > BLOCK), "family").withColumn("blocks", F.ceil(F.col("all") / BLOCK)))
+    large = cut(members.join(sizes.where("blocks > 1"), "family"))
     small = members.join(large.select("family").distinct(), "family", "left_anti").select("node", "rep", "family", zero.alias("i"), zero.alias("j"), yes.alias("left"))
     best = [F.max_by(F.struct("node", "rep"), F.struct(F.when(_dealt(i, F.lit(PIVOTS)) == 0, F.col("w")).otherwise(-1), "node")).alias(f"p{i}") for i in range(PIVOTS)]
     pivots = large.groupBy("family").agg(F.max("blocks").alias("blocks"), *best).select("family", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("p"), "blocks")
@@ -241,7 +242,7 @@ def _links(rows: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, num: int
         return found
     told = large.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
     most = told.groupBy("family", "label").agg(F.count("*").alias("k")).groupBy("family").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.max("k").alias("largest"))
-    told = cut(told.join(most, "family").where("all > largest").withColumn("rests", F.ceil((F.col("all") - F.col("largest")) / BLOCK)))
+    told = cut(told.join(most, "family").where("all > largest").withColumn("rests", F.ceil((F.col("all") - F.col("largest")) * F.col("blocks") / F.col("all"))))
     rest = told.where("label <> most").select("node", "rep", "family", _dealt(3, F.col("rests")).alias("i"), _upto(F.col("blocks")).alias("j"), yes.alias("left"))
     every = told.select("node", "rep", "family", _upto(F.col("rests")).alias("i"), _dealt(4, F.col("blocks")).alias("j"), no.alias("left"))
     return found if told.isEmpty() else found.unionByName(_products(rows, rest.unionByName(every), k, num, den))
@@ -275,11 +276,11 @@ def classes(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int)
     rows = _keyed(docs, doc_id, text)
     sets = cut(_sets(rows, k))
     same = sets.where("n > 0").groupBy("node", "check", "n").agg(F.min("doc_id").alias("least"), F.min("key").alias("rep"), F.count("*").alias("copies"))
-    nodes = cut(same.select("node", "least", "rep", "copies"))
+    nodes = cut(same.select("node", "n", "least", "rep", "copies"))
     several = nodes.where("copies > 1")
     copied = several.select(F.col("node").alias("of"), "rep")
     edges = cut(_edges(_posted(rows, k, Bands(num, den), F.broadcast(copied) if several.count() <= BROADCAST_IDS else copied)))
-    labels = components(_links(rows, nodes.select("node", "rep"), edges, k, num, den))
+    labels = components(_links(rows, nodes.select("node", "rep", "n"), edges, k, num, den))
     told = nodes.join(labels, "node", "left").where("copies > 1 OR label IS NOT NULL").select("node", "least", F.coalesce("label", "node").alias("label"))
     named = told.join(told.groupBy("label").agg(F.min("least").alias("component_id")), "label").select(F.col("node").alias("of"), "component_id")
     out = sets.join(cut(named), (F.col("node") == F.col("of")) & (F.col("n") > 0), "left")

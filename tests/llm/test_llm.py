@@ -461,10 +461,11 @@ def brute_classes(texts, ids, k, num, den):
     return sorted(((ids[i], len(sets[i]), names.get(root(i)) if sets[i] else ids[i]) for i in range(len(sets))), key=repr)
 
 
-@pytest.mark.parametrize("k, num, block, few", [(3, 90, 512, 1_000_000), (3, 90, 4, 1_000_000), (5, 80, 4, 0)])
-def test_classes_against_brute_force(spark, monkeypatch, k, num, block, few):
-    """The second and third case compare families in blocks, the third joins by shuffles."""
+@pytest.mark.parametrize("k, num, block, grams, few", [(3, 90, 512, 1 << 20, 1_000_000), (3, 90, 4, 1 << 20, 1_000_000), (5, 80, 512, 300, 0)])
+def test_classes_against_brute_force(spark, monkeypatch, k, num, block, grams, few):
+    """The second and third case compare families in blocks, by rows and by n-grams, the third joins by shuffles."""
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "GRAMS", grams)
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", few)
     rnd = random.Random(11)
     vocabulary = [f"w{i}" for i in range(400)]
