@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann_forest, bpe_tree, jaccard, kd_search, line_dedup, lm, mixing, quality, token_counts, warc
+from quire.llm import ann_forest, bpe_tree, centroids, decontamination, jaccard, kd_search, line_dedup, lm, mixing, prefix_trie, quality, token_counts, warc
 from quire.llm.shared import table
 
 #: Seed of the mix, its weights in the order of sources, and files of the public tokenizers.
 MIX_SEED, MIX_WEIGHTS = 11, [1, 2, 3]
+#: Clusters, rounds, seed, and what vectors are scaled by.
+CLUSTERS, ROUNDS, CLUSTER_SEED, CLUSTER_SCALE = 40, 5, 2, 256
 BYTE_BPE, WORD_BPE = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
 
 
@@ -70,9 +72,43 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer(WORD_BPE))
 
 
+def op11_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+
+
+def op13_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64, CLUSTER_SCALE, CLUSTERS, CLUSTER_SEED, ROUNDS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_hash_prefix_forest, op3_byte_bpe, op4_source_mix, op5_warc, op6_kd_top_k, op7_maxent_lm, op8_ngram_jaccard, op9_line_dedup, op10_token_counts)
-}
+    f.__name__: f
+    for f in (
+        op1_quality_classifier, op2_hash_prefix_forest, op3_byte_bpe, op4_source_mix, op5_warc, op6_kd_top_k, op7_maxent_lm, op8_ngram_jaccard, op9_line_dedup, op10_token_counts,
+        op11_suffix_decontamination, op12_prefix_trie, op13_hamerly_clusters,
+    )
+}
+
+
+def _clusters_sql() -> str:
+    """One pair of steps for each round: the nearest centroid of each vector, and the centroids after it."""
+    steps = []
+    for r in range(ROUNDS + 1):
+        steps.append(f"""
+        a{r} AS (
+            SELECT k, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance
+            FROM (SELECT v.k, c.cluster, list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c.v[i]) * (v.v[i] - c.v[i]))) AS d FROM v, c{r} c) GROUP BY k)""")
+        if r < ROUNDS:
+            steps.append(f"""
+        s{r} AS (SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range(1, 65)) AS i FROM v JOIN a{r} USING (k)) GROUP BY cluster, i),
+        c{r + 1} AS (
+            SELECT c.cluster, coalesce(m.v, c.v) AS v
+            FROM c{r} c LEFT JOIN (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{r} GROUP BY cluster) m USING (cluster))""")
+    return ",".join(steps)
+
 
 ORACLE_SQL: dict[str, str] = {
     "op4_source_mix": rf"""
@@ -144,4 +180,59 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(len(lines), 0)::BIGINT AS n_lines, (coalesce(len(lines), 0) - coalesce(len(kept), 0))::BIGINT AS n_dropped
         FROM o
     """,
+    "op11_suffix_decontamination": rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        g AS (
+            SELECT DISTINCT item_id, least(len(w), {decontamination.WINDOW}) AS n, array_to_string(w[i : i + least(len(w), {decontamination.WINDOW}) - 1], ' ') AS gram
+            FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {decontamination.WINDOW} + 1, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+        o AS (
+            SELECT k, i, s.n, array_to_string(w[i : i + s.n - 1], ' ') AS gram
+            FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM g) WHERE len(w) >= n) s),
+        m AS (SELECT o.k, o.i, o.n, g.item_id FROM o JOIN g ON o.n = g.n AND o.gram = g.gram),
+        h AS (SELECT k, count(DISTINCT x)::BIGINT AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS x FROM (SELECT DISTINCT k, i, n FROM m)) GROUP BY k),
+        t AS (SELECT k, count(*)::BIGINT AS n_items, coalesce(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR), '') AS items FROM (SELECT DISTINCT k, item_id FROM m) GROUP BY k)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (k) LEFT JOIN t USING (k)
+    """,
+    "op12_prefix_trie": """
+        WITH o AS (
+            SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS p,
+                   md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x, length(coalesce(text, '')) AS chars
+            FROM conversations WHERE conv_id IS NOT NULL),
+        h AS (
+            SELECT c, c - c % 100 AS b,
+                   xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(c::VARCHAR) + 1), lambda i: ord((c::VARCHAR)[i])::BIGINT)),
+                                   lambda s, x: list_reduce(list_prepend(xor(s, x), range(8)), lambda y, k: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)), 4294967295) % 6 AS h
+            FROM (SELECT DISTINCT c FROM o)),
+        r AS (
+            SELECT h.c, 0 AS part, o.p, o.x, o.chars FROM h JOIN o ON o.c = h.b AND o.p < h.h
+            UNION ALL
+            SELECT h.c, 1, o.p, o.x, o.chars FROM h JOIN o ON o.c = h.c AND o.p >= h.h),
+        s AS (SELECT h.c, coalesce(list(x ORDER BY part, p) FILTER (x IS NOT NULL), []) AS xs, coalesce(list(chars ORDER BY part, p) FILTER (x IS NOT NULL), []) AS cs FROM h LEFT JOIN r USING (c) GROUP BY h.c),
+        m AS (SELECT c, len(xs) AS l, depth, array_to_string(xs[1 : depth], ',') AS key, array_to_string(xs[1 : depth - 1], ',') AS up, CASE WHEN depth > 0 THEN cs[depth] ELSE 0 END AS chars FROM (SELECT *, unnest(range(len(xs) + 1)) AS depth FROM s)),
+        n AS (
+            SELECT depth, key, min(up) AS up, min(c) AS conv_id, count(*)::BIGINT AS n_convs, max(chars) AS chars, max(l) > depth AS inner_node,
+                   sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (l = depth), '')) AS ends_sha256
+            FROM m GROUP BY depth, key),
+        k AS (SELECT depth - 1 AS depth, up AS key, count(*)::BIGINT AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+        f AS (
+            SELECT m.depth, m.key, sum((NOT n.inner_node)::INTEGER)::BIGINT AS n_leaves, sum((n.n_convs - 1) * n.chars)::BIGINT AS saved_tokens
+            FROM n JOIN m ON m.c = n.conv_id AND m.depth <= n.depth GROUP BY 1, 2)
+        SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, f.n_leaves, f.saved_tokens, n.ends_sha256
+        FROM n JOIN f ON f.depth = n.depth AND f.key = n.key LEFT JOIN k ON k.depth = n.depth AND k.key = n.key LEFT JOIN n u ON u.depth = n.depth - 1 AND u.key = n.up AND n.depth > 0
+    """,
+    "op13_hamerly_clusters": f"""
+        WITH v AS (
+            SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: floor({CLUSTER_SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS (
+            SELECT (row_number() OVER (ORDER BY sha256('{CLUSTER_SEED}:' || vec_id) NULLS LAST, v) - 1)::INTEGER AS cluster, v FROM v
+            QUALIFY row_number() OVER (ORDER BY sha256('{CLUSTER_SEED}:' || vec_id) NULLS LAST, v) <= {CLUSTERS}),{_clusters_sql()}
+        SELECT vec_id, a.cluster, distance::BIGINT AS distance, (sum(distance) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+               sha256(array_to_string(c.v, ',')) AS centroid_sha256
+        FROM v JOIN a{ROUNDS} a USING (k) JOIN c{ROUNDS} c ON c.cluster = a.cluster
+    """,
 }
