@@ -238,12 +238,17 @@ def paragraph_type(text: Column, tag: Column, css_class: Column) -> Column:
 # -- model output -------------------------------------------------------------------------------------------
 
 
+def trimmed(text: Column) -> Column:
+    """text without white space at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def segments(answer: Column) -> Column:
     """Map of segment id to text for each ``<seg id="N">text</seg>``; of a repeated id the last one counts."""
     pattern = r'(?s)<seg\s+id="(\d+)">(.*?)</seg>'
     pairs = F.arrays_zip(
         F.transform(F.regexp_extract_all(answer, F.lit(pattern), F.lit(1)), lambda x: x.cast("int")).alias("id"),
-        F.transform(F.regexp_extract_all(answer, F.lit(pattern), F.lit(2)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")).alias("text"),
+        F.transform(F.regexp_extract_all(answer, F.lit(pattern), F.lit(2)), trimmed).alias("text"),
     )
     return F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda p: p["id"])), lambda i: F.struct(i, F.element_at(F.filter(pairs, lambda p: p["id"] == i), -1)["text"])))
 

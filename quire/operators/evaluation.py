@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quire.operators.jobs import FAILED_MARK
-
-#: Glossary terms that are broadcast.
-TERMS = 100_000
+from quire.operators.terms import found_terms
+from quire.staging import staged
 
 
 def ratio(part: Column, whole: Column, empty: float | None = None) -> Column:
@@ -16,37 +15,45 @@ def ratio(part: Column, whole: Column, empty: float | None = None) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(empty).cast("double"))
 
 
-def flag_rates(rows: DataFrame, flagged: Column, eligible: Column) -> DataFrame:
-    """Flagged rows, and their share of all and of the eligible ones."""
+def flag_sums(flagged: Column, eligible: Column) -> list[Column]:
+    """``total``, ``eligible`` and ``flagged`` among the eligible, as aggregates."""
     n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
-    sums = rows.agg(F.count("*").alias("total"), n(eligible).alias("eligible"), n(flagged & eligible).alias("flagged"))
+    return [F.count("*").alias("total"), n(eligible).alias("eligible"), n(flagged & eligible).alias("flagged")]
+
+
+def shares(sums: DataFrame) -> DataFrame:
     return sums.select("*", ratio(F.col("flagged"), F.col("total")).alias("share_of_all"), ratio(F.col("flagged"), F.col("eligible")).alias("share_of_eligible"))
 
 
+def flag_rates(rows: DataFrame, flagged: Column, eligible: Column) -> DataFrame:
+    """Flagged rows, and their share of all and of the eligible ones."""
+    return shares(rows.agg(*flag_sums(flagged, eligible)))
+
+
 def top_words(rows: DataFrame, words: str, n: int = 25) -> DataFrame:
     """The most frequent words of an array column; ties in the order of code points."""
     return rows.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(n)
 
 
 def corpus_scan(segments: DataFrame, chapters: DataFrame, books: DataFrame, words: Column, mostly: Column, samples: int = 45) -> dict[str, DataFrame]:
-    """Residue of a whole corpus: rates, frequent words, some samples and the ids of flagged segments, of books translated to Chinese."""
+    """Residue of a whole corpus: rates, frequent words, some samples and the ids of flagged segments, of books translated to Chinese.
+
+    The corpus is read and its residue worked out once: the rates are counted as the flagged segments, which are few, are written, and all else is read from those.
+    """
     rows = segments.join(chapters.select(F.col("id").alias("chapter_id"), "book_id"), "chapter_id").join(books.where(F.col("language_pair").endswith("-zh")).select(F.col("id").alias("book_id")), "book_id")
-    rows = rows.withColumn("mostly", mostly).withColumn("words", words)
-    flagged = rows.where(F.col("mostly") & (F.size("words") > 0))
-    return {
-        "rates": flag_rates(rows, F.size("words") > 0, F.col("mostly")), "words": top_words(flagged, "words"),
-        "samples": flagged.orderBy("segment_id").limit(samples), "ids": flagged.select("segment_id"),
-    }
+    rows = rows.withColumn("mostly", F.coalesce(mostly, F.lit(False))).withColumn("words", words)
+    seen = Observation()
+    flagged = staged(rows.observe(seen, *flag_sums(F.size("words") > 0, F.col("mostly"))).where(F.col("mostly") & (F.size("words") > 0)))
+    counts = segments.sparkSession.createDataFrame([tuple(seen.get[c] for c in ("total", "eligible", "flagged"))], "total long, eligible long, flagged long")
+    return {"rates": shares(counts), "words": top_words(flagged, "words"), "samples": flagged.orderBy("segment_id").limit(samples), "ids": flagged.select("segment_id")}
 
 
 def term_checks(rows: DataFrame, glossary: DataFrame, source: str, target: str) -> DataFrame:
     """One row for each term that is in a row's source, with ``kept``: whether its translation is in the target.
 
-    Terms are a small table: up to TERMS of them, counted first, are broadcast, and each row is looked at once for each term.  With more, Spark chooses how to meet them.
+    Terms are found by an index over them, so no row meets terms that it does not hold (``operators/terms.py``).
     """
-    terms = F.broadcast(glossary) if glossary.count() <= TERMS else glossary
-    found = F.contains(F.lower(F.col(source)), F.lower(F.col("term")))
-    return rows.join(terms, found).withColumn("kept", F.contains(F.lower(F.col(target)), F.lower(F.col("translation"))))
+    return found_terms(rows, F.col(source), glossary, "term").withColumn("kept", F.contains(F.lower(F.col(target)), F.lower(F.col("translation"))))
 
 
 def metrics(rows: DataFrame, keys: list[str], residue: Column, checks: Column, kept: Column) -> DataFrame:

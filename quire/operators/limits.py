@@ -7,7 +7,8 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.folds import ordered_fold
+from quire.operators.folds import known, ordered_fold
+from quire.operators.segmentation import Rule, segmented
 
 
 def admit(times: list[int], window: int, limit: int, held: deque | None = None) -> tuple[list[bool], list[int], deque]:
@@ -81,9 +82,20 @@ def debounced(events: DataFrame, key: str, at: str, order: list[str], quiet: str
     return events.withColumn("following", following).where(F.col("following").isNull() | (F.col("following") >= F.col(at) + F.expr(f"INTERVAL {quiet}"))).drop("following")
 
 
-def throttled(events: DataFrame, key: str, micros: str, order: str, gap: int) -> DataFrame:
-    """The polls that go out: the first, and those at least ``gap`` microseconds after the last that did."""
-    return sliding_window(events, key, micros, order, gap, 1).where(~F.col("limited")).drop("limited", "current")
+def throttled(events: DataFrame, key: str, micros: str, order: str, gap: int, hot_rows: int | None = None) -> DataFrame:
+    """The polls that go out: the first, and those at least ``gap`` microseconds after the last that did.  A key of more than ``hot_rows`` events is folded in bins."""
+
+    def step(last: float | None, t: int, entering: float | None, before: int) -> tuple:
+        last = last if last is not None else None if known(entering) is None else -int(entering)
+        sent = last is None or t - last >= gap
+        return (t if sent else last), (sent,)
+
+    def fold(part: DataFrame, keys: list[str]) -> DataFrame:
+        return ordered_fold(part, keys, [micros, order], [micros, "entering", "before"], lambda: None, step, "sent boolean")
+
+    # A poll that went out takes in those of the gap after it; what it hands on is its time, below zero.
+    rule = Rule(lambda t: (t, t, 0), gap - 1)
+    return segmented(events, [key], [micros, order], [micros], rule, "bigint", fold, "sent boolean", hot_rows).where("sent").drop("sent")
 
 
 def within_tolerance(sent: Column, now: Column, seconds: int = 300) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from quire.functions import text as X
 from quire.functions.numbers import cloud_millis, weighted_percent
+from quire.operators.ranks import carried
 
 NODE = T.ArrayType(
     T.StructType([T.StructField("xpath", T.StringType()), T.StructField("text", T.StringType()), T.StructField("html", T.StringType()), T.StructField("orderIndex", T.IntegerType())])
@@ -57,13 +58,15 @@ def chapter_lengths(chapters: DataFrame, texts: DataFrame, key: str, text: str)
 def nearest_chapter(asked: DataFrame, chapters: DataFrame, key: str, number: str, wanted: str) -> DataFrame:
     """asked with ``actual``: the chapter itself, else the largest below it, else the smallest; null for books without chapters.
 
-    One aggregate over the book's chapters for each different request, so no chapter list is ever gathered; a request that is there several times is answered as often.
+    Requests and chapters are put in one order, chapters first at the same place, and each request carries the last chapter before it; a request below all chapters
+    takes the book's first, by one aggregate.  No request ever meets a book's chapters, and a book of many requests is cut into ranges.
     """
-    own = chapters.select(F.col(key).alias("own_key"), F.col(number).alias("own_number"))
-    times = asked.groupBy(*asked.columns).agg(F.count("*").alias("times"))
-    rows = times.join(own, F.col(key) == F.col("own_key"), "left").groupBy(*asked.columns, "times")
-    found = rows.agg(F.coalesce(F.max(F.when(F.col("own_number") <= F.col(wanted), F.col("own_number"))), F.min("own_number")).alias("actual"))
-    return found.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times", "time")
+    request = F.struct(*[F.col(c) for c in asked.columns])
+    places = chapters.select(F.col(key).alias("__key"), F.col(number).alias("__place"), F.lit(0).alias("__kind"), F.lit(None).cast(asked.select(request.alias("r")).schema[0].dataType).alias("__asked")).where(F.col("__place").isNotNull() & F.col("__key").isNotNull())
+    rows = places.unionByName(asked.select(F.col(key).alias("__key"), F.col(wanted).alias("__place"), F.lit(1).alias("__kind"), request.alias("__asked")))
+    found = carried(rows, ["__key"], ["__place", "__kind"], F.when(F.col("__kind") == 0, F.col("__place")), "__below").where("__kind = 1")
+    first = places.groupBy(F.col("__key").alias("__of")).agg(F.min("__place").alias("__first"))
+    return found.join(first, F.col("__key") == F.col("__of"), "left").select("__asked.*", F.coalesce("__below", "__first").alias("actual"))
 
 
 def shown_text(nodes: DataFrame, translations: DataFrame, keys: list[str]) -> DataFrame:

@@ -158,10 +158,10 @@ def paragraph_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.paragraph_type(F.col("text"), tag, F.lit(None).cast("string")).alias("type"))
 
 
-@query("SELECT conv_id, turn, trim(substr(replace(text, '<', ' '), 1, 60), ' ' || chr(10) || chr(9) || chr(13)) AS found, NULL::VARCHAR AS lost FROM conversations")
+@query("SELECT conv_id, turn, trim(replace(text, '<', ' '), ' ' || chr(10) || chr(9) || chr(13)) AS found, NULL::VARCHAR AS lost FROM conversations")
 def seg_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of a tagged answer by id; one that is not there is null."""
-    answer = F.concat(F.lit('ok <seg id="3"> '), F.substring(F.replace("text", F.lit("<"), F.lit(" ")), 1, 60), F.lit(' </seg>\n<seg id="4">other</seg> <seg id="5">cut'))
+    answer = F.concat(F.lit('ok <seg id="3"> '), F.replace("text", F.lit("<"), F.lit(" ")), F.lit(' </seg>\n<seg id="4">other</seg> <seg id="5">cut'))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.segments(answer).alias("s"))
     return rows.select("conv_id", "turn", F.try_element_at("s", F.lit(3)).alias("found"), F.try_element_at("s", F.lit(5)).alias("lost"))
 
@@ -222,14 +222,55 @@ def variant_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.variant_groups(rows, " san$").select("plain", F.array_join("terms", ",").alias("terms"))
 
 
-@query("""
-    WITH s AS (SELECT conv_id * 1000 + turn AS segment_id, conv_id, text, length(text) % 4 = 0 AS mostly, regexp_extract_all(text, '[a-z]{7,}') AS words FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) >= 4)),
-    f AS (SELECT unnest(words) AS word FROM s WHERE mostly AND len(words) > 0)
-    SELECT word, count(*) AS n FROM f GROUP BY word ORDER BY n DESC, word LIMIT 25""")
-def corpus_scan_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words that a corpus scan flags most often."""
+SCAN_SQL = """
+    s AS (
+        SELECT conv_id * 1000 + turn AS segment_id, conv_id, text, length(text) % 4 = 0 AS mostly, regexp_extract_all(text, '[a-z]{7,}') AS words FROM conversations
+        WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) >= 4)),
+    f AS (SELECT * FROM s WHERE mostly AND len(words) > 0)"""
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("segment_id"), F.col("conv_id").alias("chapter_id"), "text")
     sizes = rows.groupBy(F.col("chapter_id").alias("id")).agg(F.count("*").alias("n"))
     chapters = sizes.select("id", F.col("id").alias("book_id"))
     books = sizes.select("id", F.when(F.col("n") >= 4, "en-zh").otherwise("en-none").alias("language_pair"))
-    return evaluation.corpus_scan(rows, chapters, books, F.regexp_extract_all("text", F.lit("([a-z]{7,})"), F.lit(1)), F.length("text") % 4 == 0)["words"]
+    return evaluation.corpus_scan(rows, chapters, books, F.regexp_extract_all("text", F.lit("([a-z]{7,})"), F.lit(1)), F.length("text") % 4 == 0)
+
+
+@query(f"WITH {SCAN_SQL}, w AS (SELECT unnest(words) AS word FROM f) SELECT word, count(*) AS n FROM w GROUP BY word ORDER BY n DESC, word LIMIT 25")
+def corpus_scan_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a corpus scan flags most often."""
+    return _scanned(spark, sf_dir)["words"]
+
+
+@query(f"""
+    WITH {SCAN_SQL}, n AS (SELECT count(*) AS total, count(*) FILTER (mostly) AS eligible, (SELECT count(*) FROM f) AS flagged FROM s)
+    SELECT total, eligible, flagged, CASE WHEN total > 0 THEN flagged / total END AS share_of_all, CASE WHEN eligible > 0 THEN flagged / eligible END AS share_of_eligible FROM n""")
+def corpus_scan_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many segments a corpus scan sees and flags, and their shares."""
+    return _scanned(spark, sf_dir)["rates"]
+
+
+@query(f"WITH {SCAN_SQL} SELECT segment_id, text, array_to_string(words, ' ') AS words FROM f ORDER BY segment_id LIMIT 45")
+def corpus_scan_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first segments that a corpus scan flags, as a sample."""
+    return _scanned(spark, sf_dir)["samples"].select("segment_id", "text", F.array_join("words", " ").alias("words"))
+
+
+@query(f"WITH {SCAN_SQL} SELECT segment_id FROM f")
+def corpus_scan_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment that a corpus scan flags."""
+    return _scanned(spark, sf_dir)["ids"]
+
+
+@query("""
+    WITH w AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[A-Za-z]+ [A-Za-z]+')) AS term FROM benchmark),
+    g AS (SELECT DISTINCT term, regexp_extract(term, ' (.*)$', 1) AS translation FROM w),
+    f AS (SELECT doc_id, term, contains(lower(text), lower(translation) || '.') AS kept FROM documents, g WHERE contains(lower(text), lower(term)))
+    SELECT doc_id, count(*) AS terms, count(*) FILTER (kept) AS kept, min(term) AS first FROM f GROUP BY doc_id""")
+def term_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms taken from the benchmark, thousands of them, against all texts: how many a text holds, and how many of those it also ends a sentence with."""
+    pairs = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+ [A-Za-z]+"), F.lit(0)))
+    terms = table(spark, sf_dir, "benchmark").select(pairs.alias("term")).distinct().select("term", F.concat(F.regexp_extract("term", " (.*)$", 1), F.lit(".")).alias("translation"))
+    checks = evaluation.term_checks(table(spark, sf_dir, "documents").select("doc_id", "text"), terms, "text", "text")
+    return checks.groupBy("doc_id").agg(F.count("*").alias("terms"), F.count_if("kept").alias("kept"), F.min("term").alias("first"))
