@@ -191,11 +191,12 @@ def cluster(rows: DataFrame, start: list[list[int]], rounds: int) -> tuple[DataF
 
 
 def summary(assigned: DataFrame, centroids: list[list[int]]) -> DataFrame:
-    """assigned with cluster_inertia and inertia (distances summed over the cluster and over all) and centroid_sha256 (of its components as decimals, joined by commas)."""
+    """assigned with cluster_inertia and inertia (distances summed over the cluster and over all, null beyond a long) and centroid_sha256
+    (of its components as decimals, joined by commas)."""
     named = [(c, hashlib.sha256(",".join(map(str, row)).encode()).hexdigest()) for c, row in enumerate(centroids)]
     names = assigned.sparkSession.createDataFrame(named, "cluster int, centroid_sha256 string")
-    each = assigned.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
-    total = each.agg(F.sum("cluster_inertia").alias("inertia"))
+    each = assigned.groupBy("cluster").agg(F.try_sum("distance").alias("cluster_inertia"))
+    total = each.agg(F.try_sum("cluster_inertia").alias("inertia"))
     return assigned.join(F.broadcast(each.join(names, "cluster").crossJoin(total)), "cluster")  # a row for each centroid, and one row
 
 

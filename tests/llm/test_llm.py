@@ -39,7 +39,7 @@ def test_against_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_on_empty_tables(spark, tmp_path, name):
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "conversations"):
         spark.read.parquet(f"{FOLDER}/{t}.parquet").where("false").write.parquet(f"file://{tmp_path}/{t}.parquet")
     assert queries.QUERIES[name](spark, f"file://{tmp_path}").count() == 0
 
