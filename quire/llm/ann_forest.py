@@ -1,13 +1,13 @@
 """Approximate nearest neighbours by a forest of sorted hash strings.
 
-A shard keeps TREES sorted arrays of BITS-bit hash strings, each bit the side of a random hyperplane.  A query
-descends in every tree to its longest matching prefix, found by binary search, and then all trees ascend together,
-one bit at a time.  At each step a row below a tree's prefix gains a point, so that a row's points are the lengths of the prefixes that it
-shares with the query, over all trees.  The ascent ends at STOP bits, or above if fewer rows have points than are looked at; the rows with the most points are
-scored on the original vectors in double precision.  The hyperplanes come from a seed, so nothing is fitted.
-
-Largest inner product is made an angle by one more component: with M the largest norm of the shard, a row becomes
-(x, sqrt(M^2 - |x|^2)) and a query (q, 0), which leaves inner products as they are and all rows on one sphere.
+A shard keeps TREES sorted arrays of BITS-bit hash strings of its rows' directions, each bit the side of a random hyperplane.  A query descends in every tree to its
+longest matching prefix, found by binary search, and then all trees ascend together, one bit at a time.  At each step a row below a tree's prefix gains a point, so that
+a row's points are the lengths of the prefixes that it shares with the query, over all trees.  Points tell angles; times its norm, what a row has above the median
+tells its inner product.  The rows with the most of this are scored on the original vectors in double precision.
+
+Where the ascent stops, and how many rows are looked at, is measured when a shard is built: for some of its own rows the true neighbours are found, and the ascent stops
+at the deepest level at which the first tenth of the shard's rows holds TARGET of them.  If none does, as in small shards of vectors without any order, it goes to the
+top and looks at as many rows as that takes.  The hyperplanes come from a seed.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 
 from quire.llm import vectors as V
 
-TREES, BITS, STOP, SEED = 128, 32, 4, 20_240
-#: Rows of a shard (of V.SHARD_ROWS) that a query looks at, at least; in a shard of fewer than twice as many rows, half of them, but no fewer than 4 k.
-CANDIDATES = 600
+TREES, BITS, SEED = 128, 32, 20_240
+#: Share of held-out rows' neighbours that is to be found, how many rows are held out, and the share of a shard that is looked at if this suffices.
+TARGET, HELD_OUT, SHARE = 0.94, 48, 0.1
 
 
 def hashes(points: np.ndarray) -> np.ndarray:
@@ -29,55 +29,88 @@ def hashes(points: np.ndarray) -> np.ndarray:
     planes = np.random.default_rng(SEED).standard_normal((points.shape[1], TREES * BITS)).astype(np.float32)
     weight, out = (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)).astype(np.float64), []
     for a in range(0, len(points), 1024):
-        sides = (points[a : a + 1024].astype(np.float32) @ planes > 0).reshape(-1, TREES, BITS)
+        part = points[a : a + 1024]
+        # Directions: norms beyond the range of the smaller floats do no harm.
+        scale = np.abs(part).max(axis=1, keepdims=True, initial=0)
+        sides = ((part / np.where(scale > 0, scale, 1)).astype(np.float32) @ planes > 0).reshape(-1, TREES, BITS)
         out.append((sides @ weight).astype(np.int64))
     return np.concatenate(out).T
 
 
 class Forest:
-    def __init__(self, points: np.ndarray, ids: np.ndarray | None = None, rows: np.ndarray | None = None, least: int = CANDIDATES):
-        self.points, self.ids, self.rows, self.least = points, ids, rows, least
-        norm = (points**2).sum(axis=1)
-        codes = hashes(np.column_stack([points, np.sqrt(np.maximum(norm.max() - norm, 0))]))
+    def __init__(self, points: np.ndarray, ids: np.ndarray | None = None, rows: np.ndarray | None = None, k: int = 20):
+        self.points, self.ids, self.rows = points, ids, rows
+        n = len(points)
+        self.norm = np.sqrt((points**2).sum(axis=1))
+        codes = hashes(points)
         self.order = np.argsort(codes, axis=1, kind="stable").astype(np.int32)
         self.codes = np.take_along_axis(codes, self.order, axis=1)
-
-    def looked_at(self, k: int) -> int:
-        n = self.codes.shape[1]
-        return min(n, max(4 * k, min(self.least, n // 2)))
+        # Deeper than this no two strings of a shard agree but by being near.
+        self.deepest = min(BITS, int(n).bit_length() + 4)
+        self.stop, self.look = self._measured(codes, k)
+
+    def _measured(self, codes: np.ndarray, k: int) -> tuple[int, int]:
+        """The level at which the ascent stops, and how many rows are looked at then."""
+        n = len(self.points)
+        if n <= k + 1:
+            return 1, n
+        own = np.unique(np.linspace(0, n - 1, min(n, HELD_OUT)).astype(np.int64))
+        score = self.points[own] @ self.points.T
+        score[np.arange(len(own)), own] = -np.inf
+        true = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        points = np.zeros((len(own), n), dtype=np.int32)
+        best = (1, n)
+        for level in range(self.deepest, 0, -1):
+            first, size = self.ranges(codes[:, own], level)
+            for i in range(len(own)):
+                points[i] += self._points(first[:, i] + np.arange(TREES) * n, size[:, i])
+            ranks = []
+            for p, at, mine in zip(points, true, own):
+                worth = self._worth(p)
+                worth[mine] = -np.inf
+                # Ties count against a neighbour.
+                ranks.append(n - np.searchsorted(np.sort(worth), worth[at], side="left"))
+            # The query's own row takes a place too.
+            look = min(n, max(k, int(np.sort(np.concatenate(ranks))[int(np.ceil(TARGET * len(own) * k)) - 1])) + 1)
+            if look <= SHARE * n:
+                return level, look
+            best = level, look
+        return best
+
+    def _worth(self, points: np.ndarray) -> np.ndarray:
+        return (points - np.median(points)) * self.norm
 
     def ranges(self, codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each tree (row) and query (column), the range of strings that share the first ``length`` bits."""
+        """For each tree (row) and query (column), where the strings that share the first ``length`` bits begin, and how many they are."""
         low = codes >> (BITS - length) << (BITS - length)
         high = low + (1 << (BITS - length))
         a = np.stack([np.searchsorted(own, x) for own, x in zip(self.codes, low)])
-        return a, np.stack([np.searchsorted(own, x) for own, x in zip(self.codes, high)])
+        return a, np.stack([np.searchsorted(own, x) for own, x in zip(self.codes, high)]) - a
 
-    def candidates(self, queries: np.ndarray, k: int) -> Iterator[np.ndarray]:
-        """For each query, the rows with the most points, ties at the edge included."""
-        n, least = self.codes.shape[1], self.looked_at(k)
-        codes = hashes(np.column_stack([queries, np.zeros(len(queries))]))
-        # Deeper than this no two strings of a shard agree but by being near.
-        levels = [self.ranges(codes, x) for x in range(STOP, min(BITS, int(n).bit_length() + 4) + 1)]
+    def candidates(self, queries: np.ndarray) -> Iterator[np.ndarray]:
+        """For each query, the rows that are worth most when the ascent stops, ties at the edge included."""
+        n, look = len(self.points), self.look
+        codes = hashes(queries)
+        levels = [self.ranges(codes, x) for x in range(self.stop, self.deepest + 1)]
         first = np.concatenate([a for a, _ in levels]) + np.tile(np.arange(TREES) * n, len(levels))[:, None]
-        size = np.concatenate([b - a for a, b in levels])
-        order = self.order.ravel()
+        size = np.concatenate([b for _, b in levels])
         for q in range(len(queries)):
-            points, level = self._points(order, first[:, q], size[:, q]), STOP
-            while level and np.count_nonzero(points) < least:
+            points, level = self._points(first[:, q], size[:, q]), self.stop
+            while level > 1 and np.count_nonzero(points) < look:
                 level -= 1
                 a, b = self.ranges(codes[:, q : q + 1], level)
-                points += self._points(order, a[:, 0] + np.arange(TREES) * n, (b - a)[:, 0])
-            yield np.flatnonzero(points >= np.partition(points, n - least)[n - least])
+                points += self._points(a[:, 0] + np.arange(TREES) * n, b[:, 0])
+            worth = self._worth(points)
+            yield np.flatnonzero(worth >= np.partition(worth, n - look)[n - look])
 
-    def _points(self, order: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """For each row, in how many of the ranges (``first`` and ``size``) of ``order`` it is."""
+    def _points(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """For each row, in how many of the ranges (``first`` and ``size``) of all trees' orders it is."""
         first, size = first[size > 0], size[size > 0]
         at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return np.bincount(order[at], minlength=self.codes.shape[1])
+        return np.bincount(self.order.ravel()[at], minlength=len(self.points))
 
     def search(self, queries: np.ndarray, own: np.ndarray, kth: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for at, q, row, edge in zip(self.candidates(queries, k), queries, own, kth):
+        for at, q, row, edge in zip(self.candidates(queries), queries, own, kth):
             at = at[self.rows[at] != row]
             score = self.points[at] @ q
             at, score = at[score >= edge], score[score >= edge]
@@ -85,11 +118,11 @@ class Forest:
             yield self.ids[at][best], score[best]
 
 
-def nearest(vectors: DataFrame, vec_id: str, vector: str, every: int, k: int, least: int = CANDIDATES) -> DataFrame:
+def nearest(vectors: DataFrame, vec_id: str, vector: str, every: int, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by inner product for each query row (vec_id divisible by ``every``).
 
     Every usable row is indexed.  Vectors that are null, empty or zero, or hold null or non-finite components, and rows without an
     id take no part; shorter vectors count as filled with zeros.  A repeated query row is answered once for each time it is there.
     Candidates are all rows but the query's own, also others with its id; ties go to the smaller id; an empty table gives no rows.
     """
-    return V.search(vectors, vec_id, vector, every, k, lambda points, ids, rows: Forest(points, ids, rows, least), "double", zero=False)
+    return V.search(vectors, vec_id, vector, every, k, lambda points, ids, rows: Forest(points, ids, rows, k), "double", zero=False)

@@ -81,8 +81,8 @@ class KdTree:
 def top_k(vectors: DataFrame, vec_id: str, vector: str, every: int, k: int, scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products for each query row (vec_id divisible by ``every``).
 
-    Components x count as ``floor(scale * x)``.  Vectors that are null or empty, or hold null or non-finite components, and rows without an id take no
-    part; shorter vectors count as filled with zeros.  A repeated query row is answered once for each time it is there.  Candidates are all rows but the query's own,
+    Components x count as ``floor(scale * x)``.  Vectors that are null or hold null or non-finite components, and rows without an id take no
+    part; shorter vectors, also empty ones, count as filled with zeros.  A repeated query row is answered once for each time it is there.  Candidates are all rows but the query's own,
     also others with its id; ties go to the smaller id; an empty table gives no rows.  Products are exact while they stay below 2**53.
     """
     return V.search(vectors, vec_id, vector, every, k, KdTree, "long", zero=True, to=lambda x: F.floor(x * scale).cast("double"))

@@ -27,12 +27,12 @@ BLOCK = 256
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str, zero: bool) -> DataFrame:
-    """vec_id long, v array<double>: rows whose vector is neither null nor empty and has finite components only.
+    """vec_id long, v array<double>: rows whose vector is not null and has finite components only.
 
-    ``zero``: whether a vector of zeros takes part.
+    ``zero``: whether a vector of zeros takes part, as an empty one is.
     """
     v = F.col("v")
-    fit = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fit = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     if not zero:
         fit = fit & F.exists(v, lambda x: x != 0)
     return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where(fit & F.col("vec_id").isNotNull())
@@ -161,6 +161,7 @@ def search(vectors: DataFrame, vec_id: str, vector: str, every: int, k: int, ind
         whole = whole.withColumn("v", F.transform("v", to))
     rows = cut(whole.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"))
     n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    width = max(width, 1)
     dealt, shards = _sharded(rows, n, width)
     dealt = cut(dealt)
     asked = dealt.where(F.col("vec_id") % every == 0)
