@@ -192,7 +192,9 @@ def mix(docs: DataFrame, members: Column, doc_id: str, size: Column, weights: li
     and ``__``-named helpers.  Rows of one id share a hash, so repeated rows are taken alike; null ids count as one id.  An empty table gives an empty table.
     """
     told = F.array_sort(F.array_distinct(F.coalesce(members, F.array().cast("array<string>"))))
-    own = docs.select(F.struct(*docs.columns).alias("__row"), told.alias("__members"), size.cast("long").alias("__size"), seeded(docs[doc_id], seed).alias("__h"))
+    name = lambda c: "`" + c.replace("`", "``") + "`"
+    row = F.struct(*[F.col(name(c)).alias(c) for c in docs.columns])
+    own = docs.select(row.alias("__row"), told.alias("__members"), size.cast("long").alias("__size"), seeded(F.col(name(doc_id)), seed).alias("__h"))
     own = own.withColumn("__pattern", F.to_json("__members"))
     slim = own.select(F.col("__pattern").alias("pattern"), F.col("__members").alias("members"), F.col("__size").alias("size"), F.col("__h").alias("h")).where(F.size("members") > 0)
     plan = cut(takes(cut(slim), weights, seed))
