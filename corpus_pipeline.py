@@ -21,12 +21,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the boilerplate lines of their source; n_chars follows the text.
+    """Texts without the boilerplate lines of their source; n_chars, where there is one, follows the text, and no other column changes.
 
     Copies of a text count as one page: they are taken out later, and one of them has to keep its lines.
     """
-    kept = line_dedup.drop_boilerplate(docs, "source", "text")
-    return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    name = lambda c: "`" + c.replace("`", "``") + "`"
+    whole = docs.select(F.struct(*[F.col(name(c)).alias(c) for c in docs.columns]).alias("row"), "source", "text")
+    kept = line_dedup.drop_boilerplate(whole, "source", "text")
+    length = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None
+    new = {"text": F.col("text"), "n_chars": length}
+    return kept.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
