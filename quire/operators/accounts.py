@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.mutation import insert_ignore
+
 
 def resolved(logins: DataFrame, users: DataFrame, identities: DataFrame) -> DataFrame:
     """logins (login, provider, provider_id, email) with ``user_id``: by the users' own provider id, else by a linked identity, else by address; ``by`` tells which."""
@@ -21,6 +23,12 @@ def email_born(users: DataFrame) -> DataFrame:
     return users.where(F.col("google_id").startswith("email:"))
 
 
+def linked_identities(users: DataFrame, identities: DataFrame, provider: str = "google") -> DataFrame:
+    """identities (provider, provider_id, user_id) and those of users who were not born by e-mail and have none yet; users without a provider's id have none to link."""
+    known = users.where(~F.col("google_id").startswith("email:")).select(F.lit(provider).alias("provider"), F.col("google_id").alias("provider_id"), "user_id")
+    return insert_ignore(identities, known, ["provider", "provider_id"])
+
+
 def shared(books: DataFrame, token: str) -> DataFrame:
     """The book that a token shares."""
     return books.where(F.col("share_token") == token)

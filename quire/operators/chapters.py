@@ -140,3 +140,18 @@ def image_files(images: DataFrame, sources: DataFrame) -> DataFrame:
     rows = sources.join(keys.select(F.col("image_path").alias("p1"), F.col("stored").alias("by_path")), F.col("src") == F.col("p1"), "left")
     rows = rows.join(keys.select(F.col("image_path").alias("p2"), F.col("stored").alias("by_bare")), bare == F.col("p2"), "left").join(named, base(F.col("src")) == F.col("name"), "left")
     return rows.select(*sources.columns, F.coalesce("by_path", "by_bare", "by_name").alias("stored"))
+
+
+def note_refs(anchors: DataFrame, notes_files: DataFrame) -> DataFrame:
+    """anchors (book, file, href, label, id, parent_id) that lead to a page of notes and have a number: target file and anchor, the number, and where they come from.
+
+    A page of notes is told by its name, by a name that ends in the link's path, or by the link's path ending in its base name; a link without a path is to its own file.
+    """
+    known = notes_files.groupBy(F.col("book").alias("of")).agg(F.collect_set("file").alias("known"))
+    path = F.regexp_extract("href", "^([^#]*)", 1)
+    anchor, target = F.regexp_extract("href", "#([^#]*)", 1), F.when(path == "", F.col("file")).otherwise(path)
+    rows = anchors.where(F.col("href") != "").join(known, F.col("book") == F.col("of")).withColumns({"path": path, "anchor": anchor, "target": target})
+    to_notes = F.exists("known", lambda f: (f == F.col("target")) | f.endswith(F.col("path")) | F.col("path").endswith(F.regexp_extract(f, "([^/]*)$", 1)))
+    number = F.nullif(F.regexp_extract("label", r"(\d+)", 1), F.lit(""))
+    source = F.coalesce(F.nullif("id", F.lit("")), F.nullif("parent_id", F.lit("")))
+    return rows.where(to_notes & number.isNotNull()).select("book", "file", source.alias("source_anchor"), F.col("target").alias("target_file"), F.col("anchor").alias("target_anchor"), number.alias("number"))

@@ -83,6 +83,22 @@ def timed_out(jobs: DataFrame, now: Column, limit: str = "4 hours") -> DataFrame
     return jobs.withColumn("timed_out", ~F.col("status").isin(FINAL) & (F.col("created_at") < now - F.expr(f"INTERVAL {limit}")))
 
 
+def book_status(asked: DataFrame, books: DataFrame, jobs: DataFrame) -> DataFrame:
+    """asked (uuid, reader) with ``answer`` (404 for books that are not there or not the reader's to see, else 200), ``status`` and, of a book in processing, where its
+    first job is: ``phase``, ``completed``, ``total``, ``current``.
+    """
+    own = books.select(F.col("uuid").alias("of"), "user_id", F.col("status").alias("book_status"))
+    first = jobs.groupBy(F.col("book_uuid").alias("job_of")).agg(F.min_by(F.struct("status", "completed_chapters", "total_chapters", "current_chapter"), "id").alias("job"))
+    rows = asked.join(own, F.col("uuid") == F.col("of"), "left").join(first, F.col("uuid") == F.col("job_of"), "left")
+    seen = F.col("of").isNotNull() & (F.col("user_id").isNull() | F.coalesce(F.col("user_id") == F.col("reader"), F.lit(False)))
+    busy = seen & (F.col("book_status") == "processing")
+    of = lambda c: F.when(busy, F.col(f"job.{c}"))
+    return rows.select(
+        *asked.columns, F.when(seen, 200).otherwise(404).alias("answer"), F.when(seen, F.col("book_status")).alias("status"),
+        of("status").alias("phase"), of("completed_chapters").alias("completed"), of("total_chapters").alias("total"), of("current_chapter").alias("current"),
+    )
+
+
 def has_artwork(cover: Column, spine: Column) -> Column:
     """Whether a book has both its pictures."""
     return F.coalesce(cover != "", F.lit(False)) & F.coalesce(spine != "", F.lit(False))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.operators.folds import known, ordered_fold
 from quire.operators.segmentation import Rule, segmented
+from quire.operators.speculation import speculated
 
 
 def admit(times: list[int], window: int, limit: int, held: deque | None = None) -> tuple[list[bool], list[int], deque]:
@@ -29,17 +31,24 @@ def admit(times: list[int], window: int, limit: int, held: deque | None = None)
     return limited, current, held
 
 
-def sliding_window(events: DataFrame, key: str, micros: str, order: str, window: int, limit: int) -> DataFrame:
+def sliding_window(events: DataFrame, key: str, micros: str, order: str, window: int, limit: int, hot_rows: int | None = None) -> DataFrame:
     """events with ``limited`` and ``current``.  Times are microseconds; ``order`` breaks ties.
 
-    A key's events are folded in order, since a refusal depends on earlier ones; the state is its accepted events inside one window.
+    A key's events are folded in order, since a refusal depends on earlier ones; the state is its accepted events inside one window.  A key of more than ``hot_rows``
+    events is folded in bins from guessed states, which are made good (``operators/speculation.py``).
     """
 
     def step(held: deque, t: int) -> tuple:
         limited, current, held = admit([t], window, limit, held)
         return held, (limited[0], current[0])
 
-    return ordered_fold(events, [key], [micros, order], [micros], deque, step, "limited boolean, current bigint")
+    def begin(held: deque | None, t: int, entering: str) -> tuple:
+        return step(deque(json.loads(entering)) if held is None else held, t)
+
+    def fold(part: DataFrame, keys: list[str]) -> DataFrame:
+        return ordered_fold(part, keys, [micros, order], [micros, "entering"], lambda: None, begin, "limited boolean, current bigint")
+
+    return speculated(events, [key], [micros, order], [micros], deque, step, fold, hot_rows, load=lambda s: deque(json.loads(s)), dump=lambda held: json.dumps(list(held)))
 
 
 def issuance_counters(codes: DataFrame, now: Column, address: str, ip: str) -> DataFrame:

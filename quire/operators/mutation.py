@@ -60,6 +60,12 @@ def set_columns(rows: DataFrame, where: Column, values: dict[str, Column]) -> Da
     return rows.withColumns({c: F.when(where, v).otherwise(F.col(c)) if c in rows.columns else F.when(where, v) for c, v in values.items()})
 
 
+def with_existence(rows: DataFrame, probe: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows with the boolean ``name``: whether ``probe`` has a row with the same keys; however many it has, a row stays one.  Null keys have none."""
+    there = probe.select(*[F.col(k).alias(f"__of_{k}") for k in keys]).distinct().withColumn("__there", F.lit(True))
+    return rows.join(there, [F.col(k) == F.col(f"__of_{k}") for k in keys], "left").select(*rows.columns, F.coalesce("__there", F.lit(False)).alias(name))
+
+
 def remapped(rows: DataFrame, old: DataFrame, new: DataFrame, reference: str, key: str, through: list[str], required: bool) -> DataFrame:
     """rows whose reference to old ids is turned to new ids through natural keys; those without a new id are an error to the caller (dropped) or null."""
     pairs = old.select(F.col(key).alias("old_id"), *through).join(new.select(F.col(key).alias("new_id"), *through), through).select("old_id", "new_id")

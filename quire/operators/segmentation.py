@@ -85,6 +85,19 @@ def hot_keys(rows: DataFrame, keys: list[str], most: int | None = None) -> DataF
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > (HOT_ROWS if most is None else most))
 
 
+def split_hot(rows: DataFrame, keys: list[str], order: list[str], hot_rows: int | None) -> tuple[DataFrame, DataFrame | None, int]:
+    """The rows of keys that are not hot; those of hot keys with ``hot`` (the key's number) and ``bin``, written, or None; and how many pairs of key and bin there can be."""
+    hot = hot_keys(rows, keys, hot_rows).collect()
+    if not hot:
+        return rows, None, 0
+    of = StructType([*[rows.schema[k] for k in keys]]).add("hot", "integer")
+    listed = F.broadcast(rows.sparkSession.createDataFrame([(*[r[k] for k in keys], i) for i, r in enumerate(hot)], of).withColumnsRenamed({k: f"hot_{k}" for k in keys}))
+    match = [F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in keys]
+    bins = max(1, -(-sum(r["n"] for r in hot) // BIN_ROWS))
+    own = rows.join(listed, match).select(*rows.columns, "hot")
+    return rows.join(listed, match, "left_anti"), staged(own.repartitionByRange(bins, "hot", *order).withColumn("bin", F.spark_partition_id())), bins + len(hot)
+
+
 def _summaries(rule: Rule, values: list[str], number: str) -> tuple[Callable, str]:
     schema = f"hot int, bin int, last array<bigint>, load array<{number}>, leaves array<{number}>, opened array<bigint>, total {number}, least bigint"
 
@@ -139,23 +152,16 @@ def segmented(rows: DataFrame, keys: list[str], order: list[str], values: list[s
     The fold is given the columns ``entering`` (how full the open segment is when a key's, or a bin's, first row comes; null where there is none) and ``before`` (how
     many segments there are already).  ``number`` is the type of sums, bigint or double.
     """
-    hot = hot_keys(rows, keys, hot_rows).collect()
     fresh = [F.lit(None).cast(number).alias("entering"), F.lit(0).cast("bigint").alias("before")]
     columns = [*rows.columns, *StructType.fromDDL(outputs).names]
-    if not hot:
-        return fold(rows.select("*", *fresh), keys).select(*columns)
-    spark = rows.sparkSession
-    of = StructType([*[rows.schema[k] for k in keys]]).add("hot", "integer")
-    listed = F.broadcast(spark.createDataFrame([(*[r[k] for k in keys], i) for i, r in enumerate(hot)], of).withColumnsRenamed({k: f"hot_{k}" for k in keys}))
-    match = [F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in keys]
-    cold = fold(rows.join(listed, match, "left_anti").select("*", *fresh), keys).select(*columns)
-    bins = max(1, -(-sum(r["n"] for r in hot) // BIN_ROWS))
-    own = rows.join(listed, match).select(*rows.columns, "hot")
-    own = staged(own.repartitionByRange(bins, "hot", *order).withColumn("bin", F.spark_partition_id()))
+    cold, own, bins = split_hot(rows, keys, order, hot_rows)
+    cold = fold(cold.select("*", *fresh), keys).select(*columns)
+    if own is None:
+        return cold
     sums, schema = _summaries(rule, values, number)
     maps = own.select("hot", "bin", *dict.fromkeys([*order, *values])).repartition("hot", "bin").sortWithinPartitions("hot", "bin", *order).mapInPandas(sums, schema)
     scan, schema = _scan(rule, number)
     entering = staged(maps.repartition("hot").sortWithinPartitions("hot", "bin").mapInPandas(scan, schema))
-    # One row a bin and hot key, both counted above.
-    entering = F.broadcast(entering) if bins + len(hot) <= BROADCAST_BINS else entering
+    # One row a bin and hot key; both were counted.
+    entering = F.broadcast(entering) if bins <= BROADCAST_BINS else entering
     return cold.unionByName(fold(own.join(entering, ["hot", "bin"]), ["hot", "bin"]).select(*columns))

@@ -101,6 +101,24 @@ def insert_at(siblings: DataFrame, book_id: int, at: int) -> DataFrame:
     return moved.unionByName(place.select(F.lit(book_id).cast("long").alias("book_id"), "position"))
 
 
+def moved(placements: DataFrame, moves: DataFrame) -> DataFrame:
+    """placements (book_id, slot_id, position) after ``moves`` (book_id, slot_id, insert_index), at most one into a slot and one of a book.
+
+    All moved books leave their slots first.  A book lands where the sibling at its index stands, behind the last if there is none, at 0 in an empty slot; siblings from
+    there on move right by one, and gaps stay.  Slots of any size are ranked in ranges.
+    """
+    others = placements.join(moves.select("book_id"), "book_id", "left_anti")
+    into = moves.select(F.col("book_id").alias("mover"), F.col("slot_id").alias("into"), "insert_index")
+    ranked = numbered(others.join(into.select("into"), F.col("slot_id") == F.col("into"), "left_semi"), ["slot_id"], ["position", "book_id"])
+    held = ranked.join(into, F.col("slot_id") == F.col("into")).groupBy("mover").agg(
+        F.max(F.when(F.col("at") == F.greatest("insert_index", F.lit(0)), F.col("position"))).alias("there"), (F.max("position") + 1).alias("behind")
+    )
+    landed = into.join(held, "mover", "left").select("mover", "into", F.coalesce("there", "behind", F.lit(0)).cast("long").alias("lands"))
+    shift = others.join(landed.select("into", "lands"), F.col("slot_id") == F.col("into"), "left")
+    right = F.when(F.col("position") >= F.col("lands"), 1).otherwise(0)
+    return shift.select("book_id", "slot_id", (F.col("position") + right).cast("long").alias("position")).unionByName(landed.select(F.col("mover").alias("book_id"), F.col("into").alias("slot_id"), F.col("lands").alias("position")))
+
+
 def occupancy(placements: DataFrame, books: DataFrame, user: int) -> DataFrame:
     """Books of each slot: all, and the user's own."""
     rows = placements.join(books.select(F.col("id").alias("b"), "user_id"), F.col("book_id") == F.col("b"))

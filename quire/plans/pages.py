@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.functions import text as X
 from quire.operators import reading
+from quire.operators import structure as S
 from quire.plans.registry import query
 from quire.sources.html import leaf_blocks
 from quire.sources.tables import table
@@ -62,3 +64,44 @@ def page_block_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks and characters of each page by element."""
     rows = leaf_blocks(table(spark, sf_dir, "pages"), ["page_id"], "html")
     return rows.groupBy("page_id", "tag").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).alias("characters"))
+
+
+def _quoted(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+@query(rf"""
+    WITH b AS (
+        SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?is)^.*?</head\s*>', ''), '(?is)<title\b[^>]*>.*?</title\s*>|<!doctype[^>]*>', '', 'g') AS b
+        FROM pages),
+    k AS (SELECT page_id, regexp_extract_all(b, '<[^<>"'']*(?:"[^"]*"[^<>"'']*|''[^'']*''[^<>"'']*)*>|[^<]+|<') AS k FROM b),
+    u AS (SELECT page_id, unnest(range(len(k))) AS i, unnest(k) AS token FROM k),
+    g AS (SELECT *, CASE WHEN token LIKE '%>' THEN nullif(lower(regexp_extract(token, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)), '') END AS tag, token LIKE '</%' AS close FROM u),
+    t AS (
+        SELECT *, CASE WHEN tag IS NULL AND NOT regexp_matches(token, '^<[!?/]')
+                  THEN replace(replace(replace(replace(replace(replace(replace(token, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') ELSE '' END AS text,
+               sum(CASE WHEN tag = 'div' THEN CASE WHEN close THEN -1 ELSE 1 END ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS level
+        FROM g),
+    o AS (
+        SELECT *, nullif(lower(regexp_extract(token, '(?i)\sclass\s*=\s*"([^"]*)"', 1)), '') AS class_name, nullif(regexp_extract(token, '(?i)\sstyle\s*=\s*"([^"]*)"', 1), '') AS styles
+        FROM t WHERE NOT close AND tag IN ('p', 'div', {_quoted(S.HEADINGS)})),
+    e AS (
+        SELECT o.page_id, o.i, min(x.i) AS stop FROM o JOIN t x ON x.page_id = o.page_id AND x.i > o.i
+        WHERE CASE WHEN o.tag = 'div' THEN x.tag = 'div' AND x.close AND x.level = o.level - 1
+                   WHEN o.tag = 'p' THEN (x.close AND x.tag IN ('p', {_quoted(S.ENDS)})) OR (NOT x.close AND x.tag IN ({_quoted(S.STARTS)}))
+                   ELSE (x.close AND x.tag IN ({_quoted(S.ENDS)})) OR x.tag IN ({_quoted(S.HEADINGS)}) END
+        GROUP BY o.page_id, o.i),
+    c AS (
+        SELECT o.page_id, o.i, o.tag, o.class_name, o.styles, regexp_replace(string_agg(x.text, '' ORDER BY x.i), '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g') AS content
+        FROM o LEFT JOIN e ON e.page_id = o.page_id AND e.i = o.i JOIN t x ON x.page_id = o.page_id AND x.i > o.i AND x.i < coalesce(e.stop, 1000000000)
+        WHERE o.tag <> 'div' OR len(list_filter([{_quoted(S.CLASSES)}], lambda w: contains(o.class_name, w))) > 0
+        GROUP BY ALL),
+    l AS (SELECT *, lower(trim(content)) AS low FROM c WHERE length(content) >= 2),
+    f AS (
+        SELECT * FROM l
+        WHERE NOT ((length(low) < 50 AND len(list_filter([{_quoted(X.NAVIGATION)}], lambda w: contains(low, w))) > 0) OR (length(low) < 300 AND len(list_filter([{_quoted(X.RIGHTS)}], lambda w: contains(low, w))) > 0))
+        QUALIFY row_number() OVER (PARTITION BY page_id, content ORDER BY i) = 1)
+    SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INTEGER AS n, CASE WHEN tag IN ({_quoted(S.HEADINGS)}) THEN 'chapter' ELSE 'paragraph' END AS type, content, class_name, tag AS tag_name, styles FROM f""")
+def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings, paragraphs and telling divisions of every page, without a tree."""
+    return S.blocks(table(spark, sf_dir, "pages"), "page_id", "html")
