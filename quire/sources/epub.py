@@ -58,12 +58,14 @@ def _toc(book: zipfile.ZipFile, items: dict[str, dict], base: str) -> dict[str,
 
 
 def _nav_entries(source: str) -> list[tuple[str, str]]:
-    from quire.sources.html import body_of
-
-    body = body_of(source)
-    navs = [n for n in body.walk() if n.tag == "nav"]
-    toc = next((n for n in navs if n.attrs.get("epub:type") == "toc"), navs[0] if navs else body)
-    return [(a.attrs["href"], " ".join(a.text().split())) for a in toc.walk() if a.tag == "a" and a.attrs.get("href")]
+    """Links of the table of contents: of the first list marked as one, else of the first list of links, else of the page."""
+    from quire.sources.html import flat_nodes
+
+    nodes = [(i, last, tag, {a["name"]: a["value"] for a in attrs}, text) for i, _, last, _, tag, _, attrs, text in flat_nodes(source)]
+    navs = [n for n in nodes if n[2] == "nav"]
+    begin, end = next(((n[0], n[1]) for n in navs if n[3].get("epub:type") == "toc"), (navs[0][0], navs[0][1]) if navs else (-1, len(source)))
+    label = lambda a: " ".join("".join(n[4] for n in nodes if n[4] is not None and a[0] < n[0] <= a[1]).split())
+    return [(n[3]["href"], label(n)) for n in nodes if n[2] == "a" and n[3].get("href") and begin < n[0] <= end]
 
 
 def _ncx_entries(source: str) -> list[tuple[str, str]]:

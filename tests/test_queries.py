@@ -1,8 +1,8 @@
 import pytest
 
+import html_tree as html
 from oracle import same, views
 from quire.plans import ORACLE_SQL, QUERIES
-from quire.sources import html
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -13,7 +13,7 @@ def con():
 
 
 def _by_hand(con):
-    """The queries over leaf blocks, page by page and without Spark."""
+    """The queries over leaf blocks by another reading: a tree, page by page and without Spark."""
     blocks, links, kinds = [], {}, {}
     for page, source in con.sql("SELECT page_id, html FROM pages").fetchall():
         body = html.body_of(source)

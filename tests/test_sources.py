@@ -1,7 +1,9 @@
 import io
 import json
+import random
 import zipfile
 
+import html_tree
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -10,22 +12,60 @@ from quire.sources import epub, files, html
 from quire.streaming import replay
 
 
-def blocks(source):
-    body = html.body_of(source)
-    html.wrap_rows(body)
-    html.split_breaks(body)
-    return [(x[1], x[3]) for x in html.leaves(body) if len(x[3]) >= 2]
-
-
-def test_leaf_blocks():
-    assert blocks("<body><h1>Head</h1><p>One</p><p>Two</p></body>") == [("/body[1]/h1[1]", "Head"), ("/body[1]/p[1]", "One"), ("/body[1]/p[2]", "Two")]
-    assert [t for _, t in blocks("<table><tr><td>a one<br><br>b two<br/> <br/>c three</td></tr></table>")] == ["a one", "b two", "c three"]
-    assert blocks("<p>a<br>b</p>") == [("/body[1]/p[1]", "ab")]
-    assert blocks("<div><span><em>Just some inline text.</em></span></div>") == [("/body[1]/div[1]", "Just some inline text.")]
-    assert blocks("<table><tr><td>xy</td></tr></table>") == [("/body[1]/table[1]/tbody[1]/tr[1]/td[1]", "xy")]
-    assert blocks("<div>lost<p>kept</p></div>") == [("/body[1]/div[1]/p[1]", "kept")]
-    assert blocks("<p>open<p>next") == [("/body[1]/p[1]", "open"), ("/body[1]/p[2]", "next")]
-    assert blocks("") == [] and blocks("</p></div>") == []
+BLOCKS = [
+    ("<body><h1>Head</h1><p>One</p><p>Two</p></body>", [("/body[1]/h1[1]", "Head"), ("/body[1]/p[1]", "One"), ("/body[1]/p[2]", "Two")]),
+    ("<table><tr><td>a one<br><br>b two<br/> <br/>c three</td></tr></table>", [(f"/body[1]/table[1]/tbody[1]/tr[1]/td[1]/p[{n}]", t) for n, t in ((1, "a one"), (2, "b two"), (3, "c three"))]),
+    ("<p>a<br>b</p>", [("/body[1]/p[1]", "ab")]),
+    ("<div><span><em>Just some inline text.</em></span></div>", [("/body[1]/div[1]", "Just some inline text.")]),
+    ("<table><tr><td>xy</td></tr></table>", [("/body[1]/table[1]/tbody[1]/tr[1]/td[1]", "xy")]),
+    ("<div>lost<p>kept</p></div>", [("/body[1]/div[1]/p[1]", "kept")]),
+    ("<p>open<p>next", [("/body[1]/p[1]", "open"), ("/body[1]/p[2]", "next")]),
+    ("", []), ("</p></div>", []),
+]
+
+
+def test_leaf_blocks(spark):
+    rows = html.leaf_blocks(spark.createDataFrame([(i, s) for i, (s, _) in enumerate(BLOCKS)], "id int, html string"), ["id"], "html").orderBy("id", "order_index").collect()
+    for i, (_, want) in enumerate(BLOCKS):
+        assert [(r.xpath, r.text) for r in rows if r.id == i] == want
+
+
+def by_tree(source):
+    body = html_tree.body_of(source)
+    html_tree.wrap_rows(body)
+    html_tree.split_breaks(body)
+    return [(*x, n) for n, x in enumerate(html_tree.long_enough(html_tree.leaves(body), 2))]
+
+
+def soup(rnd):
+    """A page of tags that open and close anyhow, with attributes, entities, notes, scripts and line breaks."""
+    tags = ["p", "div", "li", "ul", "td", "tr", "tbody", "h1", "b", "a", "br", "span", "aside", "dt", "dl", "section", "img", "script", "style", "body", "blockquote"]
+    attrs = ["", "", "", ' id="i%d"', ' name="n%d"', ' href="#x%d"', ' href="http://y/%d"', ' epub:type="noteref" href="n%d"', ' epub:type="footnote"', ' class="c" id=q%d', " hidden"]
+    out = []
+    for _ in range(rnd.randint(1, 60)):
+        kind, tag = rnd.random(), rnd.choice(tags)
+        if kind < 0.4:
+            a = rnd.choice(attrs)
+            out.append(f"<{tag}{a % rnd.randint(0, 9) if '%d' in a else a}>" + ("x</%s>" % tag if tag in ("script", "style") else ""))
+        elif kind < 0.6:
+            out.append(f"</{tag}>")
+        elif kind < 0.7:
+            out.append("<br><br/>" if rnd.random() < 0.7 else "<br>")
+        else:
+            out.append(rnd.choice(["text ", "a &amp;b", " ", "é\n", "x", "[1]", "&nbsp;z", "long words here"]))
+    return rnd.choice(["", "<html><head><title>t</title></head>", "<body>"]) + "".join(out)
+
+
+def test_rows_of_pages_are_those_of_the_tree(spark):
+    """Hundreds of pages of tag soup: each column of each leaf as the other reading has it.  (Where a table has more than rows after its rows, the rows stay where they are.)"""
+    rnd = random.Random(12)
+    pages = [(i, soup(rnd)) for i in range(400)] + [(400, "<div>" * 300 + "deep"), (401, "<p>" + "<b>" * 3000 + "x y"), (402, "plain"), (403, None)]
+    pages += [(404, "<table><caption>c</caption><tr><td>a b<td>c d<tr><td><table><tr><td>in in</table></table><table><thead><tr><th>h h<tbody><tr><td>x x</table>")]
+    got = {}
+    for r in html.leaf_blocks(spark.createDataFrame(pages, "id int, html string"), ["id"], "html").orderBy("id", "order_index").collect():
+        got.setdefault(r.id, []).append((r.seq, r.xpath, r.tag, r.text, r.html, r.anchors, [tuple(x) for x in r.links], r.hidden, r.order_index))
+    for i, source in pages:
+        assert got.get(i, []) == (by_tree(source) if source is not None else []), source
 
 
 def test_leaf_rows(spark):
@@ -35,9 +75,10 @@ def test_leaf_rows(spark):
     assert got[0].links[0].href == "n.html#n1" and got[0].links[0].kind == "note" and got[1].anchors == ["n1"] and got[0].anchors == []
 
 
-def test_anchors_outside_blocks_are_the_next_ones():
-    body = html.body_of('<body><a id="top"></a><p>One</p><div id="d"><p id="q">Two</p></div><p id="gone">x</p><p>Last</p><a name="end"></a></body>')
-    assert [x[5] for x in html.long_enough(html.leaves(body), 2)] == [["top"], ["d", "q"], ["gone", "end"]]
+def test_anchors_outside_blocks_are_the_next_ones(spark):
+    source = '<body><a id="top"></a><p>One</p><div id="d"><p id="q">Two</p></div><p id="gone">x</p><p>Last</p><a name="end"></a></body>'
+    got = html.leaf_blocks(spark.createDataFrame([(1, source)], "id int, html string"), ["id"], "html").orderBy("seq").collect()
+    assert [r.anchors for r in got] == [["top"], ["d", "q"], ["gone", "end"]]
 
 
 def test_scripts_and_stores(spark, tmp_path):
@@ -71,11 +112,11 @@ def test_books_without_reading_order():
     assert [r[5] for r in epub.spine_rows("b", out.getvalue())] == ["OEBPS/c2.html", "OEBPS/c10.html", "OEBPS/note.html"]
 
 
-def test_deep_pages():
+def test_deep_pages(spark):
     deep = "<div>" * 4000 + "<p>bottom</p>" + "</div>" * 4000 + "<p>after</p>"
-    assert [(p.count("/"), t) for p, t in blocks(deep)] == [(4002, "bottom"), (2, "after")]
     inline = "<p>" + "<b>" * 3000 + "bold" + "</b>" * 3000 + "</p>"
-    assert list(html.leaves(html.body_of(inline)))[0][4].count("<b>") == 3000
+    got = html.leaf_blocks(spark.createDataFrame([(1, deep), (2, inline)], "id int, html string"), ["id"], "html").orderBy("id", "seq").collect()
+    assert [(r.xpath.count("/"), r.text) for r in got] == [(4002, "bottom"), (2, "after"), (2, "bold")] and got[2].html.count("<b>") == 3000
 
 
 def book(parts, toc, extra=""):
