@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,9 +17,13 @@ MARKETING = (
 # Pairs of marks around a title, and of brackets at its end.
 QUOTES = [('"', '"'), ("'", "'"), ("“", "”"), ("‘", "’"), ("《", "》")]
 BRACKETS = [("（", "）"), ("(", ")"), ("[", "]"), ("【", "】")]
-ORDINALS = "first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|new|revised"
-#: Nested marks or brackets that are taken off; titles have two or three.
-DEPTH = 4
+# Ends of a title that name its edition.
+EDITIONS = [
+    r"(?:[。.!?]\s*)?第[一二三四五六七八九十0-9]+版[^。.!?]*[。.!?]?$",
+    r"(?i)(?:[.;]\s*)?(?:first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|new|revised)\s+edition(?![A-Za-z0-9_]).*$",
+]
+#: Passes that are made on every title; only a title that still changes then is gone over until it does not.
+PASSES = 2
 SPACE = r"[\s\x{3000}\x{00A0}]"
 
 
@@ -25,6 +31,14 @@ def _trim(x: Column) -> Column:
     return F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
 
 
+def settled(text: Column, once: Callable[[Column], Column]) -> Column:
+    """``once`` until nothing changes; a pass that changes something takes away two characters at least, so half the length in passes is enough."""
+    for _ in range(PASSES):
+        text = once(text)
+    whole = lambda t: F.aggregate(F.sequence(F.lit(0), F.floor(F.length(t) / 2).cast("int")), t, lambda out, _: once(out))
+    return let(text, lambda t: F.when(once(t) == t, t).otherwise(whole(t)))
+
+
 def spaced(title: Column) -> Column:
     """White space collapsed, none before closing or after opening punctuation."""
     out = F.regexp_replace(title, f"{SPACE}+", " ")
@@ -33,11 +47,12 @@ def spaced(title: Column) -> Column:
 
 
 def without_quotes(title: Column) -> Column:
-    out = _trim(title)
-    for _ in range(DEPTH):
+    def once(out: Column) -> Column:
         for left, right in QUOTES:
             out = F.regexp_replace(out, f"(?s)^{left}(?=.{{2}}){SPACE}*(.*?){SPACE}*{right}$", "$1")
-    return out
+        return out
+
+    return settled(_trim(title), once)
 
 
 def unwrapped(title: Column) -> Column:
@@ -49,14 +64,15 @@ def unwrapped(title: Column) -> Column:
 
 def without_brackets(title: Column) -> Column:
     """Bracketed descriptors at the end go, as long as something stands before them."""
-    out = _trim(title)
-    for _ in range(DEPTH):
+    def once(out: Column) -> Column:
         for left, right in BRACKETS:
             a, b = (f"\\{c}" if c in "()[]" else c for c in (left, right))
             # Text without brackets, or with nested pairs of one level.
             inner = f"[^{a}{b}]*(?:{a}[^{a}{b}]*{b}[^{a}{b}]*)*"
             out = F.regexp_replace(out, rf"(?s)^(.*\S){SPACE}*{a}{inner}{b}$", "$1")
-    return out
+        return out
+
+    return settled(_trim(title), once)
 
 
 def without_marketing(title: Column) -> Column:
@@ -77,8 +93,9 @@ def without_marketing(title: Column) -> Column:
 
 
 def without_edition(title: Column) -> Column:
-    out = F.regexp_replace(title, r"(?:[。.!?]\s*)?第[一二三四五六七八九十0-9]+版[^。.!?]*[。.!?]?$", "")
-    return _trim(F.regexp_replace(out, rf"(?i)(?:[.;]\s*)?(?:{ORDINALS})\s+edition(?![A-Za-z0-9_]).*$", ""))
+    for end in EDITIONS:
+        title = F.regexp_replace(title, end, "")
+    return _trim(title)
 
 
 def clean_title(title: Column) -> Column:

@@ -105,3 +105,17 @@ def test_progress_fault(spark):
     f = numbers.progress_fault(*map(F.col, ("p", "c", "x", "r", "k", "l")))
     rows = [(50, 1, "x", 0, 0, "l"), (101, 1, "x", 0, 0, "l"), (50, 0, "x", 0, 0, "l"), (50, 1, "x" * 501, 0, 0, "l"), (50, 1, "x", 51, 0, "l"), (50, 1, "x", 0, 0, "l" * 61)]
     assert [r[0] for r in values(spark, rows, "p int, c int, x string, r int, k int, l string", f)] == [None, *numbers.FAULTS]
+
+
+def test_nested_marks_of_any_depth(spark):
+    marks = [("“", "”"), ("《", "》"), ('"', '"'), ("'", "'")]
+    rows = []
+    for depth in (1, 3, 5, 12):
+        title = "Name"
+        for n in range(depth):
+            left, right = marks[n % 4]
+            title = left + title + right
+        rows += [(title, "quotes"), ("Name" + "(a)[b] " * depth, "brackets")]
+    df = spark.createDataFrame([*rows, (None, "quotes"), ("", "brackets"), ("'", "quotes")], "t string, kind string")
+    got = df.select("t", F.when(F.col("kind") == "quotes", titles.without_quotes(F.col("t"))).otherwise(titles.without_brackets(F.col("t"))).alias("x")).collect()
+    assert [r.x for r in got] == ["Name"] * len(rows) + [None, "", "'"]
