@@ -60,3 +60,13 @@ def test_copies_keep_their_lines(spark):
 def test_stages_on_no_rows(spark, name):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("false")
     assert dict(corpus_pipeline.STAGES)[name](spark, docs, FOLDER).count() == 0
+
+
+def test_line_dedup_leaves_other_columns_alone(spark):
+    """Columns with the operator's own names or odd ones, and a table without n_chars."""
+    rows = [(i, f"page {i}\nMenu", "s", 7, 8, "a", "b") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines int, n_dropped int, `x.y` string, row string")
+    got = corpus_pipeline.lines(spark, docs, FOLDER)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(i, f"page {i}", "s", 7, 8, "a", "b") for i in range(6)]
+    counted = corpus_pipeline.lines(spark, docs.select("doc_id", "text", "source", F.lit(11).cast("long").alias("n_chars")), FOLDER)
+    assert {r.n_chars for r in counted.collect()} == {6}
