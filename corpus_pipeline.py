@@ -26,11 +26,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Copies of a text count as one page: they are taken out later, and one of them has to keep its lines.
     """
     name = lambda c: "`" + c.replace("`", "``") + "`"
-    whole = docs.select(F.struct(*[F.col(name(c)).alias(c) for c in docs.columns]).alias("row"), "source", "text")
-    kept = line_dedup.drop_boilerplate(whole, "source", "text")
-    length = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None
-    new = {"text": F.col("text"), "n_chars": length}
-    return kept.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
+    others = [F.col(name(c)).alias(c) for c in docs.columns if c not in ("source", "text")]
+    row = F.struct(*others) if others else F.lit(True)
+    kept = line_dedup.drop_boilerplate(docs.select(row.alias("row"), "source", "text"), "source", "text")
+    of = {c: F.col(c) if c in ("source", "text") else F.col("row")[c] for c in docs.columns}
+    if "n_chars" in of:
+        of["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(of["n_chars"])
+    return kept.select(*[of[c].alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
