@@ -76,7 +76,9 @@ def local_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.local_saves(rows, "user_id", ["ts", "event_id"]).select("event_id", "xpath")
 
 
-@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'cf' WHEN 1 THEN 'railway' ELSE CASE WHEN s_nationkey IN (1, 2, 3) THEN 'cf' ELSE 'railway' END END AS backend FROM supplier")
+@query("""
+    WITH r AS (SELECT s_suppkey, s_nationkey, CASE s_suppkey % 3 WHEN 0 THEN 'cf' WHEN 1 THEN 'other' END AS wish FROM supplier)
+    SELECT s_suppkey, CASE WHEN wish = 'cf' THEN 'cf' WHEN wish IS NOT NULL THEN 'railway' WHEN s_nationkey IN (1, 2, 3) THEN 'cf' ELSE 'railway' END AS backend FROM r""")
 def job_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An explicit wish, else the list of users, else the default."""
     key = F.col("s_suppkey")

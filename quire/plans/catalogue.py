@@ -244,7 +244,11 @@ def book_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(F.col("id").alias("book"), F.concat(F.col("s")[0], F.lit(";")).alias("gone"), F.concat(F.col("s")[1], F.lit(";")).alias("put"))
 
 
-@query("SELECT page_id, page_id % 3 > 0 AS inside FROM pages")
+@query("""
+    WITH k AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'a/../../' ELSE 'a/../' END || regexp_replace(url, '[^a-zA-Z0-9]', '_', 'g') AS key FROM pages),
+    s AS (SELECT page_id, key, list_transform(string_split(replace(key, chr(92), '/'), '/'), lambda p: CASE WHEN p = '..' THEN -1 WHEN p IN ('', '.') THEN 0 ELSE 1 END) AS steps FROM k),
+    d AS (SELECT page_id, key, list_transform(range(1, len(steps) + 1), lambda i: list_sum(steps[1 : i])) AS depths FROM s)
+    SELECT page_id, key <> '' AND NOT starts_with(key, '/') AND list_min(depths) >= 0 AND depths[-1] > 0 AS inside FROM d""")
 def stored_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether paths made of the pages' addresses may be keys of stored objects."""
     key = F.concat(F.when(F.col("page_id") % 3 == 0, F.lit("a/../../")).otherwise(F.lit("a/../")), F.regexp_replace("url", "[^a-zA-Z0-9]", "_"))

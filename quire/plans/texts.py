@@ -114,7 +114,10 @@ def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", X.slugify(F.concat("p_name", F.lit(" / "), "p_type", F.lit("!"))).alias("slug"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'First ' || s_name WHEN s_suppkey % 3 = 1 THEN s_name || ', A, B' ELSE s_name END AS author FROM supplier")
+@query("""
+    WITH r AS (SELECT s_suppkey, s_name || CASE s_suppkey % 3 WHEN 0 THEN ', First' WHEN 1 THEN ', A, B' ELSE '' END AS raw FROM supplier),
+    p AS (SELECT *, list_transform(string_split(raw, ','), lambda x: trim(x)) AS parts FROM r)
+    SELECT s_suppkey, CASE WHEN len(parts) = 2 AND parts[1] <> '' AND parts[2] <> '' THEN parts[2] || ' ' || parts[1] ELSE trim(raw) END AS author FROM p""")
 def author_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
     raw = F.concat("s_name", F.when(key % 3 == 0, ", First").when(key % 3 == 1, ", A, B").otherwise(""))
