@@ -186,7 +186,7 @@ SIDECAR = ".meta.json"
 def safe_key(key: str) -> str:
     """A key as a path below the root; refused if it is empty, absolute or leads out of it."""
     path = posixpath.normpath(key or "")
-    if not key or path.startswith(("/", "..")) or path == "." or "\\" in key or "\0" in key or key.endswith(SIDECAR):
+    if not key or path.startswith(("/", "..")) or path == "." or any(c in key for c in "\\\0\n") or key.endswith(SIDECAR):
         raise ValueError(f"key {key!r} is refused")
     return path
 

@@ -2,7 +2,8 @@
 
 Rows lie in buckets by their key.  A batch writes the buckets that it changes to new folders and then puts up a new manifest: a file that names the folder of every
 bucket and the last batch of each stream.  A manifest is put in its place by one rename that fails if its number is taken, so a reader sees a whole version or the one
-before, two writers never both win, and a batch that is delivered again finds itself named and changes nothing.
+before, two writers never both win, and a batch that is delivered again finds itself named and changes nothing.  The rename has to fail where the name is taken, as that
+of HDFS does; in a store whose renames copy, one writer at a time is needed.
 """
 
 from __future__ import annotations
