@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import CJK, count_of, let, strip_citations, strip_quoted
+from quire.functions.text import CJK, count_of, let, squeeze_cjk, strip_hosts, strip_quoted, strip_urls
 
 #: Words that are let through, as technical terms or because they are too common to tell.
 LET_THROUGH = [
@@ -40,12 +40,10 @@ def residue(text: Column, common_words: list[str], allowed: Column | None = None
 
     ``common_words`` is the list of words that never belong in a mostly CJK text; ``allowed`` an array of words to let through.
     """
-    allowed = F.coalesce(allowed, F.array().cast("array<string>")) if allowed is not None else F.array().cast("array<string>")
-    common, through = F.lit(common_words).cast("array<string>"), F.lit(LET_THROUGH)
     none = F.array().cast("array<string>")
     tokens = lambda x: F.regexp_extract_all(x, F.lit("([a-zA-Z]{3,})"), F.lit(1))
-    known = lambda w: F.array_contains(through, w) | F.array_contains(allowed, w)
-    single = lambda s: F.filter(tokens(strip_quoted(s)), lambda w: (F.lower(w) == w) & ~known(w) & (F.array_contains(common, w) | w.rlike(SHAPE)))
+    known = lambda w: w.isin(LET_THROUGH) if allowed is None else w.isin(LET_THROUGH) | F.array_contains(F.coalesce(allowed, none), w)
+    single = lambda s: F.filter(tokens(strip_quoted(s)), lambda w: (F.lower(w) == w) & (w.isin(common_words) | w.rlike(SHAPE)) & ~known(w))
     rest = lambda s: F.filter(tokens(s), lambda w: (F.upper(w) != w) & ~known(F.lower(w)))
     # Tokens are of A-Z and a-z alone, so comparing them in another case tells their shape.
     titled = lambda w: F.initcap(w) == w
@@ -55,7 +53,9 @@ def residue(text: Column, common_words: list[str], allowed: Column | None = None
     def by_letters(s: Column, cjk: Column) -> Column:
         return F.when(mostly(cjk, count_of(s, "a-zA-Z"), MOSTLY), single(s)).when(cjk == 0, rest(s)).otherwise(let(rest(s), lambda ws: F.when(F.forall(ws, titled) | pinyin(ws), none).otherwise(ws)))
 
-    return let(strip_citations(text), lambda s: let(count_of(s, CJK), lambda cjk: by_letters(s, cjk)))
+    # Of a long run of CJK characters only the number matters.  URLs may end inside one, so they go before.
+    squeezed = lambda s, x: let(strip_hosts(x), lambda y: let(F.length(s) - F.length(x) + count_of(y, CJK), lambda cjk: by_letters(y, cjk)))
+    return let(strip_urls(text), lambda s: let(squeeze_cjk(s), lambda x: squeezed(s, x)))
 
 
 def is_candidate(text: Column) -> Column:

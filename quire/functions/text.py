@@ -13,7 +13,7 @@ def let(value: Column, body) -> Column:
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word boundary between ASCII word characters and anything else, whatever the regex engine takes ``\b`` for.
-EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 #: CJK punctuation, kana, Han and Hangul syllables.
 CJK = "　-鿿가-힯"
 
@@ -48,8 +48,11 @@ def highlight(text: Column, query: str, before: str = "<mark>", after: str = "</
 
 
 def count_of(text: Column, characters: str) -> Column:
-    """How many characters of the class the text has; null has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(f"[{characters}]")), F.lit(0)).cast("long")
+    """How many characters of the class the text has; null has none.
+
+    They are taken out run by run, as counting hits would make an object of each.
+    """
+    return let(text, lambda s: F.coalesce(F.length(s) - F.length(F.regexp_replace(s, f"[{characters}]+", "")), F.lit(0)).cast("long"))
 
 
 #: Code, characters that count for it, the count from which on it is chosen; in the order of the decision.
@@ -110,19 +113,43 @@ HOST_ENDINGS = "com|org|net|gov|edu|io|co|cn|jp|de|fr|uk|us|ru|au|tv|info|news|m
 FILE_ENDINGS = "shtml|html?|pdf|txt|aspx?|jsp|php|csv|json|xml"
 
 
+def _spaced(text: Column, pattern: str, holds) -> Column:
+    """Each match becomes a space; ``holds`` tells cheaply of most texts that they have none."""
+    return let(text, lambda s: F.when(holds(s), F.regexp_replace(s, pattern, " ")).otherwise(s))
+
+
+def strip_urls(text: Column) -> Column:
+    return _spaced(text, r"(?i)https?://\S+", lambda s: F.contains(s, F.lit("://")))
+
+
+def strip_hosts(text: Column) -> Column:
+    """What ``strip_citations`` takes out after URLs; all of it is ASCII."""
+    # What a match begins with is looked for before edges: in CJK text that is one look a character instead of four.
+    out = _spaced(text, r"(?=[\w.+-])" + EDGE + r"[\w.+-]++@[\w-]+(?:\.[\w-]+)+" + EDGE, lambda s: F.contains(s, F.lit("@")))
+    host = r"(?i)(?=[\w-])" + EDGE + rf"(?:[\w-]++\.)+(?:{HOST_ENDINGS})(?:\.[a-z]{{2}})?(?:/[\w\-./?#=&%~+]*)?"
+    out = _spaced(out, host, lambda s: s.rlike(rf"(?i)\.(?:{HOST_ENDINGS})"))
+    return _spaced(out, rf"(?i)\.(?:{FILE_ENDINGS})" + EDGE, lambda s: s.rlike(rf"(?i)\.(?:{FILE_ENDINGS})"))
+
+
 def strip_citations(text: Column) -> Column:
     """URLs, e-mail addresses, bare host names with paths, and file endings become a space each."""
-    out = F.regexp_replace(text, r"(?i)https?://\S+", " ")
-    out = F.regexp_replace(out, EDGE + r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+" + EDGE, " ")
-    out = F.regexp_replace(out, r"(?i)" + EDGE + rf"(?:[\w-]+\.)+(?:{HOST_ENDINGS})(?:\.[a-z]{{2}})?(?:/[\w\-./?#=&%~+]*)?", " ")
-    return F.regexp_replace(out, rf"(?i)\.(?:{FILE_ENDINGS})" + EDGE, " ")
+    return strip_hosts(strip_urls(text))
+
+
+#: The most characters that a quotation has.
+QUOTED = 120
+
+
+def squeeze_cjk(text: Column) -> Column:
+    """A run of CJK characters that no quotation can hold becomes the shortest such run."""
+    return F.regexp_replace(text, f"(?<![{CJK}])[{CJK}]{{{QUOTED + 2},}}+", "书" * (QUOTED + 1))
 
 
 def strip_quoted(text: Column) -> Column:
     """Short spans in quotation marks or round brackets become a space each."""
-    for left, right, most in (("“", "”", 120), ("‘", "’", 120), ('"', '"', 120), ("'", "'", 80), ("（", "）", 120), (r"\(", ")", 120)):
+    for left, right, most in (("“", "”", QUOTED), ("‘", "’", QUOTED), ('"', '"', QUOTED), ("'", "'", 80), ("（", "）", QUOTED), (r"\(", ")", QUOTED)):
         close = "\\)" if right == ")" else right
-        text = F.regexp_replace(text, f"{left}[^{right}]{{0,{most}}}{close}", " ")
+        text = _spaced(text, f"{left}[^{right}]{{0,{most}}}{close}", lambda s, left=left[-1]: F.contains(s, F.lit(left)))
     return text
 
 

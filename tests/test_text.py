@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +122,66 @@ def test_nested_marks_of_any_depth(spark):
     df = spark.createDataFrame([*rows, (None, "quotes"), ("", "brackets"), ("'", "quotes")], "t string, kind string")
     got = df.select("t", F.when(F.col("kind") == "quotes", titles.without_quotes(F.col("t"))).otherwise(titles.without_brackets(F.col("t"))).alias("x")).collect()
     assert [r.x for r in got] == ["Name"] * len(rows) + [None, "", "'"]
+
+
+# -- what large texts cost --------------------------------------------------------------------------------------
+
+
+EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+CITATIONS = [
+    r"(?i)https?://\S+", EDGE + r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+" + EDGE,
+    r"(?i)" + EDGE + rf"(?:[\w-]+\.)+(?:{text.HOST_ENDINGS})(?:\.[a-z]{{2}})?(?:/[\w\-./?#=&%~+]*)?", rf"(?i)\.(?:{text.FILE_ENDINGS})" + EDGE,
+]
+QUOTATIONS = ["“[^”]{0,120}”", "‘[^’]{0,120}’", '"[^"]{0,120}"', "'[^']{0,80}'", "（[^）]{0,120}）", r"\([^)]{0,120}\)"]
+
+
+def test_counts_make_no_array_of_hits(spark):
+    """Characters are counted without an object for each, and texts without what a pattern needs pass it by."""
+    counted = spark.createDataFrame([("书書a1 不B한é",), (None,), ("",), ("\U00020000书",)], "x string")
+    df = counted.select(text.count_of(F.col("x"), text.CJK).alias("cjk"), text.count_of(F.col("x"), "a-zA-Z").alias("latin"))
+    assert [tuple(r) for r in df.collect()] == [(4, 2), (0, 0), (0, 0), (1, 0)]
+    left = counted.select(residue.residue(F.col("x"), WORDS).alias("w"), text.detect_language(F.col("x")).alias("l"), text.batch_tokens(F.col("x")).alias("n"))
+    for rows in (df, left):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "[a-zA-Z]," not in plan and f"[{text.CJK}]," not in plan
+
+
+def test_residue_of_long_runs(spark):
+    """Runs of CJK characters about as long as the longest quotation, in quotations, URLs and beside words, count as they did."""
+    rnd = random.Random(4)
+    runs = ["书" * n for n in (1, 40, 118, 119, 120, 121, 122, 123, 300)]
+    parts = [*runs, "“", "”", "(", ")", " ", "http://a.b/", "simply ", "Wang", "fixedly", "dog ", "x@y.com", "，", "words " * 40]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 9))) for _ in range(1500)]
+
+    def by_hand(x):
+        for pattern in CITATIONS:
+            x = re.sub(pattern, " ", x, flags=re.ASCII)
+        cjk, latin = len(re.findall(f"[{text.CJK}]", x)), len(re.findall("[a-zA-Z]", x))
+        words = lambda y: re.findall("[a-zA-Z]{3,}", y)
+        rest = [w for w in words(x) if w.upper() != w and w.lower() not in residue.LET_THROUGH]
+        if cjk and cjk / (cjk + latin) >= residue.MOSTLY:
+            for pattern in QUOTATIONS:
+                x = re.sub(pattern, " ", x)
+            return [w for w in words(x) if w.islower() and w not in residue.LET_THROUGH and (w in WORDS or re.search(residue.SHAPE, w))]
+        titled = [w.capitalize() == w for w in rest]
+        pinyin = len(rest) >= 2 and any(titled) and all(t or (w.islower() and len(w) <= 5) for w, t in zip(rest, titled))
+        return [] if cjk and (all(titled) or pinyin) else rest
+
+    got = values(spark, [(x,) for x in texts], "x string", residue.residue(F.col("x"), WORDS))
+    assert [g for (g,) in got] == [by_hand(x) for x in texts] and len({tuple(g) for (g,) in got}) > 50
+    assert values(spark, [("书" * 9000 + " simply",)], "x string", F.length(text.squeeze_cjk(F.col("x")))) == [(text.QUOTED + 8,)]
+
+
+def test_guarded_patterns_equal_plain_ones(spark):
+    """Citations and quotations by one pattern after the other, in Python, over odd mixtures of their parts."""
+    rnd = random.Random(3)
+    parts = ["http", "HTTPS", "://", ":", "a", "b-c", "-", "_", "+", ".", ".", "@", "@", "书", "é", " ", "com", "Co", "uk", "html", "pdf", "/x?y=1", "“", "”", "‘", "’", '"', "'", "（", "）", "(", ")", "word " * 20]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 14))) for _ in range(3000)]
+
+    def by_hand(x, patterns):
+        for pattern in patterns:
+            x = re.sub(pattern, " ", x, flags=re.ASCII)
+        return x
+
+    got = values(spark, [(x,) for x in texts], "x string", text.strip_citations(F.col("x")), text.strip_quoted(F.col("x")))
+    assert got == [(by_hand(x, CITATIONS), by_hand(x, QUOTATIONS)) for x in texts]
