@@ -51,9 +51,9 @@ def corpus_scan(segments: DataFrame, chapters: DataFrame, books: DataFrame, word
 def term_checks(rows: DataFrame, glossary: DataFrame, source: str, target: str) -> DataFrame:
     """One row for each term that is in a row's source, with ``kept``: whether its translation is in the target.
 
-    Terms are found by an index over them, so no row meets terms that it does not hold (``operators/terms.py``).
+    Terms and translations are found by an index over them, so no row meets terms that it does not hold (``operators/terms.py``).
     """
-    return found_terms(rows, F.col(source), glossary, "term").withColumn("kept", F.contains(F.lower(F.col(target)), F.lower(F.col("translation"))))
+    return found_terms(rows, source, glossary, "term", target, "translation")
 
 
 def metrics(rows: DataFrame, keys: list[str], residue: Column, checks: Column, kept: Column) -> DataFrame:

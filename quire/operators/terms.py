@@ -1,8 +1,9 @@
 """Many terms against many texts, without looking at each text once for each term.
 
 Of every term a hash and an anchor are kept: the hash of its first 1, 2, 4 or 8 characters, as many as it has.  Rolling hashes of a text are formed for these four lengths
-at once; where one is an anchor, the whole hashes of the lengths that terms with this anchor have are looked up.  What is found joins the terms by their hash, and
-``contains`` decides.  The index is arrays of numbers of at most TERMS_AT_ONCE terms; texts are passed once for each such part of the terms.
+at once; where one is an anchor, the whole hashes of the lengths that terms with this anchor have are looked up.  What is found is given as the pieces of the text
+themselves, each once, and joins the terms by equality, so that no hit costs another look at its text.  The index is arrays of numbers of at most TERMS_AT_ONCE terms (and
+as many translations, if they are looked for); texts are passed once for each such part of the terms.
 """
 
 from __future__ import annotations
@@ -11,9 +12,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 #: Different terms of one index (24 bytes each, and a filter of a byte for each of 2**FILTER_BITS slots).
 TERMS_AT_ONCE, FILTER_BITS = 500_000, 22
@@ -85,7 +85,7 @@ class Index:
     """Terms by anchor, and their whole hashes."""
 
     def __init__(self, full: np.ndarray, n: np.ndarray, anchor: np.ndarray):
-        self.empty = full[n == 0][:1]
+        self.empty = [""] if (n == 0).any() else []
         full, n, anchor = full[n > 0], n[n > 0], anchor[n > 0]
         self.full = np.unique(full)
         self.parts = []
@@ -97,11 +97,11 @@ class Index:
             slots[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
             self.parts.append((q, keys, np.append(at, len(pairs)), pairs[:, 1].astype(np.int64), slots))
 
-    def find(self, texts: list[str]) -> list[np.ndarray]:
-        """The hashes of the terms in each text."""
+    def find(self, texts: list[str]) -> list[list[str]]:
+        """The different pieces of each text that have a term's hash, that is the terms in it."""
         codes, begin = _codes(texts)
         rolling, sums = _rolling(codes), _Sums(codes)
-        where, found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        where, size = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for q, keys, at, lengths, slots in self.parts:
             if not len(keys):
                 continue
@@ -117,12 +117,13 @@ class Index:
             whole = sums.of(place, n)
             j = np.minimum(np.searchsorted(self.full, whole), len(self.full) - 1)
             same = self.full[j] == whole
-            where.append(place[same]), found.append(whole[same])
-        where, found = np.concatenate(where), np.concatenate(found)
+            where.append(place[same]), size.append(n[same])
+        where, size = np.concatenate(where), np.concatenate(size)
         of = np.searchsorted(begin, where, side="right") - 1
-        pairs = np.unique(np.rec.fromarrays([of, found], names="text,term"))
-        cuts = np.searchsorted(pairs["text"], np.arange(len(texts) + 1))
-        return [np.concatenate([self.empty, pairs["term"][a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
+        order = np.argsort(of, kind="stable")
+        start = (where - begin[of])[order]
+        cuts, start, stop = np.searchsorted(of[order], np.arange(len(texts) + 1)).tolist(), start.tolist(), (start + size[order]).tolist()
+        return [[*self.empty, *{text[i:j] for i, j in zip(start[a:b], stop[a:b])}] for text, a, b in zip(texts, cuts, cuts[1:])]
 
 
 def _spans(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
@@ -139,44 +140,48 @@ def _spans(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
         yield at, own
 
 
-def _hash_terms(column: str):
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            full, n, anchor = hashed(batch[column].tolist())
-            yield batch.assign(__hash=full.view(np.int64), __length=n, __anchor=anchor.view(np.int64))
+def _hash_terms(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        full, n, anchor = hashed(batch["word"].tolist())
+        yield pd.DataFrame({"full": full.view(np.int64), "n": n, "anchor": anchor.view(np.int64)})
 
-    return run
 
+def _finder(words: DataFrame):
+    """A function from texts to arrays of those of the ``words`` (a column of that name without nulls, TERMS_AT_ONCE or twice as many rows at most) that are in them."""
+    own = words.mapInPandas(_hash_terms, "full long, n long, anchor long").distinct().toPandas()
+    told = words.sparkSession.sparkContext.broadcast(Index(own["full"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(np.int64), own["anchor"].to_numpy(np.int64).view(np.uint64)))
 
-def _finder(told):
     def run(texts: pd.Series) -> pd.Series:
         out = [None] * len(texts)
         for at, own in _spans(texts.tolist()):
             for i, found in zip(at, told.value.find(own)):
-                out[i] = found.view(np.int64)
+                out[i] = found
         return pd.Series(out, dtype=object)
 
-    return F.pandas_udf(run, "array<bigint>")
+    return F.pandas_udf(run, "array<string>")
 
 
-def found_terms(rows: DataFrame, text: Column, terms: DataFrame, term: str) -> DataFrame:
+def found_terms(rows: DataFrame, text: str, terms: DataFrame, term: str, target: str | None = None, translation: str | None = None) -> DataFrame:
     """rows joined with those of ``terms`` whose term is in ``text``, both in lower case; an empty term is in every text, a null one in none.
 
-    Columns are those of rows and of terms, whose names must differ.
+    Columns are those of rows and of terms, whose names must differ.  With ``target``, also ``kept``: whether the term's ``translation`` is in that column, in lower case too;
+    null if one of them is.
     """
-    spark = rows.sparkSession
     low = terms.where(F.col(term).isNotNull()).withColumn("__term", F.lower(F.col(term)))
-    schema = StructType([*low.schema]).add("__hash", "long").add("__length", "long").add("__anchor", "long")
-    keyed = low.mapInPandas(_hash_terms("__term"), schema)
-    index = keyed.select("__hash", "__length", "__anchor").distinct()
-    total = index.count()
-    parts, out = max(1, -(-total // TERMS_AT_ONCE)), None
-    met = F.broadcast(keyed) if terms.count() <= BROADCAST_TERMS else keyed
+    low = low.withColumn("__translation", F.lower(F.col(translation))) if target else low
+    several = lambda c: low.select(F.col(c).alias("word")).where("word IS NOT NULL").distinct()
+    parts, out = max(1, -(-several("__term").count() // TERMS_AT_ONCE)), None
+    few = terms.count() <= BROADCAST_TERMS
+    whole = low
     for part in range(parts):
-        # At most about TERMS_AT_ONCE rows of three numbers.
-        own = index.where(F.pmod("__hash", F.lit(parts)) == part).toPandas()
-        told = spark.sparkContext.broadcast(Index(own["__hash"].to_numpy(np.int64).view(np.uint64), own["__length"].to_numpy(np.int64), own["__anchor"].to_numpy(np.int64).view(np.uint64)))
-        found = rows.withColumn("__low", F.lower(text)).withColumn("__found", _finder(told)("__low")).withColumn("__hash", F.explode("__found"))
-        hits = found.join(met, "__hash").where(F.contains("__low", "__term")).select(*rows.columns, *terms.columns)
+        low = whole.where(F.pmod(F.xxhash64("__term"), F.lit(parts)) == part)
+        # The same column is looked through once, for both.
+        words = several("__term").union(several("__translation")).distinct() if target == text else several("__term")
+        found = rows.withColumn("__found", _finder(words)(F.lower(F.col(text))))
+        if target:
+            found = found.withColumn("__there", F.col("__found") if target == text else _finder(several("__translation"))(F.lower(F.col(target))))
+        found = found.withColumn("__term", F.explode("__found"))
+        hits = found.join(F.broadcast(low) if few else low, "__term")
+        hits = hits.select(*rows.columns, *terms.columns, *([F.array_contains("__there", F.col("__translation")).alias("kept")] if target else []))
         out = hits if out is None else out.unionByName(hits)
     return out

@@ -178,6 +178,19 @@ def test_many_terms_without_a_nested_loop(spark):
     assert got.count() == 200 and got.where(~F.endswith(F.col("text"), F.concat(F.substring("term", 6, 99), F.lit("!")))).count() == 0
 
 
+def test_hits_do_not_look_at_their_texts_again(spark):
+    """Terms and translations that look alike, in one column and in two; no hit passes or lowers a whole text."""
+    glossary = [("Dog", "hund"), ("dog", "HUND"), ("hot dog", "wurst"), ("", "wurst"), ("cat", ""), ("dog", None), ("İx", "é"), ("a" * 40, "😀"), (None, "hund")]
+    texts = [(1, "A hot DOG, é", "Wurst"), (2, "dog hund cat", None), (3, None, "hund"), (4, "i̇x İX " + "a" * 41 + "😀", "É hund"), (5, "", "")]
+    rows, terms_ = spark.createDataFrame(texts, "i int, text string, other string"), spark.createDataFrame(glossary, "term string, translation string")
+    for target in ("text", "other"):
+        got = evaluation.term_checks(rows, terms_, "text", target)
+        want = rows.crossJoin(terms_).where("contains(lower(text), lower(term))").selectExpr("*", f"contains(lower({target}), lower(translation)) AS kept")
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr) and got.columns == want.columns
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Contains(" not in plan and "Contains" not in plan.replace("array_contains", "")
+
+
 # -- search -----------------------------------------------------------------------------------------------------
 
 
