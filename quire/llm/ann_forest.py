@@ -23,6 +23,9 @@ TREES, BITS, SEED = 128, 32, 20_240
 #: Share of held-out rows' neighbours that is to be found, how many rows are held out, and the share of a shard that is looked at if this suffices.
 TARGET, HELD_OUT, SHARE = 0.94, 48, 0.1
 
+#: A range of more rows is taken as a slice, not row by row.
+LONG = 100
+
 
 def hashes(points: np.ndarray) -> np.ndarray:
     """TREES x rows hash strings, the first bit the highest."""
@@ -47,6 +50,11 @@ class Forest:
         self.codes = np.take_along_axis(codes, self.order, axis=1)
         # Deeper than this no two strings of a shard agree but by being near.
         self.deepest = min(BITS, int(n).bit_length() + 4)
+        # Where the strings with each prefix of ``tabled`` bits begin: shorter prefixes are found there without a search.
+        self.tabled = min(self.deepest, int(n).bit_length())
+        self.begin = np.zeros((TREES, (1 << self.tabled) + 1), dtype=np.int32)
+        for own, prefix in zip(self.begin, self.codes >> (BITS - self.tabled)):
+            np.cumsum(np.bincount(prefix, minlength=1 << self.tabled), out=own[1:])
         self.stop, self.look = self._measured(codes, k)
 
     def _measured(self, codes: np.ndarray, k: int) -> tuple[int, int]:
@@ -82,6 +90,10 @@ class Forest:
 
     def ranges(self, codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """For each tree (row) and query (column), where the strings that share the first ``length`` bits begin, and how many they are."""
+        if length <= self.tabled:
+            prefix, trees = codes >> (BITS - length), np.arange(TREES)[:, None]
+            a, b = (self.begin[trees, x << (self.tabled - length)].astype(np.int64) for x in (prefix, prefix + 1))
+            return a, b - a
         low = codes >> (BITS - length) << (BITS - length)
         high = low + (1 << (BITS - length))
         a = np.stack([np.searchsorted(own, x) for own, x in zip(self.codes, low)])
@@ -105,9 +117,12 @@ class Forest:
 
     def _points(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         """For each row, in how many of the ranges (``first`` and ``size``) of all trees' orders it is."""
-        first, size = first[size > 0], size[size > 0]
+        order, long = self.order.ravel(), size > LONG
+        parts = [order[a:b] for a, b in zip(first[long].tolist(), (first + size)[long].tolist())]
+        short = (size > 0) & ~long
+        first, size = first[short], size[short]
         at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return np.bincount(self.order.ravel()[at], minlength=len(self.points))
+        return np.bincount(np.concatenate([order[at], *parts]), minlength=len(self.points))
 
     def search(self, queries: np.ndarray, own: np.ndarray, kth: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for at, q, row, edge in zip(self.candidates(queries), queries, own, kth):

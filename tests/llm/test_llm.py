@@ -214,6 +214,25 @@ def test_forest_of_few_rows():
         assert n < 400 or len(at) < 300
 
 
+@pytest.mark.parametrize("n", [1, 3, 700])
+def test_prefixes_by_table(n):
+    """Ranges of short prefixes are looked up, not searched, and are those of all strings with the prefix; points count the ranges that a row is in."""
+    rng = np.random.default_rng(n)
+    points = rng.standard_normal((n, 8))
+    points[n // 2 :] = points[0]
+    forest, codes = ann_forest.Forest(points), ann_forest.hashes(np.concatenate([points[:20], rng.standard_normal((20, 8))]))
+    strings, want = forest.codes, np.zeros((codes.shape[1], n), dtype=int)
+    for level in range(1, forest.deepest + 1):
+        forest.codes = strings if level > n.bit_length() else None
+        first, size = forest.ranges(codes, level)
+        same = strings[:, None] >> (ann_forest.BITS - level) == codes[:, :, None] >> (ann_forest.BITS - level)
+        assert (size == same.sum(axis=2)).all() and (np.where(size > 0, first, 0) == np.where(size > 0, same.argmax(axis=2), 0)).all()
+        for q in range(codes.shape[1]):
+            np.add.at(want[q], forest.order[same[:, q]], 1)
+            got = forest._points(first[:, q] + np.arange(ann_forest.TREES) * n, size[:, q])
+            assert got.sum() == size[:, q].sum() and (got == np.bincount(forest.order[same[:, q]], minlength=n)).all()
+
+
 def test_empty_vectors(spark):
     """An empty vector counts as zeros: it takes part in the exact search, and not in the other."""
     df = spark.createDataFrame([(0, []), (1, [1.0, 2.0]), (2, [-3.0]), (3, None)], "vec_id long, embedding array<double>")
